@@ -50,7 +50,7 @@ c as (select row_id, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"
 v as (select *, cells[nullif(list_position(names, 'stop_sequence'), 0)] s, cells[nullif(list_position(names, 'arrival_time'), 0)] a, cells[nullif(list_position(names, 'start_date'), 0)] d from c),
 r as (select row_id, case when not well then 'quoting' when len(cells) <> len(names) then 'columns'
   when not regexp_full_match(s, '[0-9]+') or not regexp_full_match(a, '([0-9]{{1,3}}:[0-5][0-9]:[0-5][0-9])?')
-    or not (regexp_full_match(d, '[0-9]{{8}}') and try_strptime(d, '%Y%m%d') is not null) then 'value' end reason from v)
+    or (d is not null and not (regexp_full_match(d, '[0-9]{{8}}') and try_strptime(d, '%Y%m%d') is not null)) then 'value' end reason from v)
 select 'raw_lines' tab, row_id, reason from r where reason is not null
 union all select 'stop_times', row_id, 'value' from stop_times where not regexp_full_match(trim(coalesce(stop_sequence, '')), '[0-9]+')
   or not regexp_full_match(trim(coalesce(arrival_time, '')), '([0-9]{{1,3}}:[0-5][0-9]:[0-5][0-9])?')

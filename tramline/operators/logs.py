@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tramline.common import cut
+
 SEP = "\x01"
 
 #: Severity words and abbreviations by level, in English and French.
@@ -132,7 +134,7 @@ def log_entries(lines: DataFrame, log: str = "log_id", line: str = "line_number"
     aggs = [F.max(F.when(F.col("t").rlike(r"[^\s\x{a0}]"), F.col("n"))).alias("last"), F.max(F.when(F.col("head").isNotNull(), F.struct("head.*", "y"))).alias("head")]
     if with_message:
         aggs.append(F.collect_list(F.struct("n", F.coalesce(F.col("head.message"), F.regexp_replace("t", r"[\r\n]+$", "")).alias("t"))).alias("body"))
-    pieces = rows.groupBy("log", "blk", "first").agg(*aggs)
+    pieces = cut(rows.groupBy("log", "blk", "first").agg(*aggs))  # read twice below
     body = ["body"] if with_message else []
     # The part of a block before its first beginning goes to the beginning that is open at the end of an earlier block.
     ends = pieces.groupBy("log", "blk").agg(F.max("first").alias("open"), F.max(F.when(F.col("first").isNull(), F.struct("last", *body))).alias("lead"))

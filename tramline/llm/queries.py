@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.common import table
-from tramline.llm import mojibake
+from tramline.llm import leakage, mojibake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
     return mojibake.restored_lossy(texts.select("tab", "row_id", "text"), mojibake.garbled_rows(texts))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leakage.leak_report(leakage.leaked_items(docs, items), docs, items)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.common import table
-from tramline.llm import leakage, mojibake
+from tramline.llm import leakage, mojibake, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
     return leakage.leak_report(leakage.leaked_items(docs, items), docs, items)
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+@query("p10_composition")
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))

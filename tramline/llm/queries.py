@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.common import table
-from tramline.llm import leakage, mojibake, subjects
+from tramline.llm import entities, leakage, mojibake, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_composition")
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    tables = [table(spark, d, t) for t in ("trips", "routes", "calendar", "stop_times")]
+    found = entities.matched_runs(entities.runs(*tables, "final"), entities.runs(*tables, "rail"))
+    return found.select(F.col("l").alias("final_trip_id"), F.col("r").alias("rail_trip_id"), "confidence")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).select("final_trip_id", "rail_trip_id")
+
+
+@query("p6_pairs")
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).withColumn("confidence", F.round("confidence", 6))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.common import table
-from tramline.llm import entities, leakage, mojibake, subjects
+from tramline.llm import entities, leakage, mixing, mojibake, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_pairs")
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.mixed_documents(table(spark, d, "documents"), targets), targets)

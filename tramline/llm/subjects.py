@@ -54,65 +54,69 @@ def _sentences(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
 
 
+def _factor(word: np.ndarray, sid: np.ndarray, mask: np.ndarray, terms: int, anchored: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Alternating multiplicative updates for the Kullback-Leibler distance; (component term weights H, components' sizes).
+
+    The sentence weights W are seeded by mask and stay within it, H by the terms' shares under that seed.
+    """
+    n_s, k = mask.shape
+    h = np.array([np.bincount(word, weights=mask[sid, j], minlength=terms) for j in range(k)]) + 0.01
+    rng = np.random.default_rng(5)
+    h[anchored:] *= rng.uniform(0.7, 1.3, (k - anchored, terms))  # free components begin as the whole, a little apart from one another
+    h /= h.sum(axis=1, keepdims=True)
+    w = mask / mask.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        part = w[sid] * h.T[word].astype(np.float32)
+        part /= part.sum(axis=1, keepdims=True) + 1e-30
+        w = np.stack([np.bincount(sid, weights=part[:, j], minlength=n_s) for j in range(k)], axis=1) * mask
+        w **= 1.5  # a sentence deals with few things: its weights are sharpened as they are renewed
+        w = (w / (w.sum(axis=1, keepdims=True) + 1e-30)).astype(np.float32)
+        h = np.array([np.bincount(word, weights=part[:, j], minlength=terms) for j in range(k)]) + 0.002
+        h /= h.sum(axis=1, keepdims=True)
+    return h, w.sum(axis=0) + 1.0
+
+
 def fit_components(rows: list[tuple[str, list[str]]], subjects: list[str], free: int = 3, rounds: int = 25, least: int = 3, most_terms: int = 50_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(terms, log of each component's term weights, log of the components' sizes) from labelled texts.
 
-    Components: per language one for each subject, then `free` others.  Alternating multiplicative updates for the
-    Kullback-Leibler distance: sentence weights W, component terms H.  W is seeded by the labels - a sentence may hold the
-    subjects of its document and the free components of its language and, with little weight, the rest, as labels may be
-    wrong - and H by the terms' shares under those seeds.
+    Components: per language one for each subject, then `free` others, factored apart for each language's sentences.  A
+    sentence may hold the subjects of its document and the free components and, with little weight, the other subjects, as
+    labels may be wrong.
     """
     seen: Counter = Counter()
-    toks = [tokens(t) for t, _ in rows]
-    for t in toks:
-        seen.update(set(w for w in t if w[0] not in ENDS))
+    for t, _ in rows:
+        seen.update({w for w in tokens(t) if w[0] not in ENDS})
     terms = sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-seen[w], w))[:most_terms]
     known = Words({w: i + 2 for i, w in enumerate(terms)})
-    per = len(subjects) + free
-    k, v = per * len(LANGUAGES), len(terms) + 2
-    speaks = np.zeros((v, len(LANGUAGES)))
+    per, v, langs = len(subjects) + free, len(terms) + 2, len(LANGUAGES)
+    speaks = np.zeros((v, langs), dtype=np.float32)
     for j, ws in enumerate(LANGUAGES.values()):
         speaks[[known[w] for w in ws.split() if known[w] >= 2], j] = 1
     place = {s: i for i, s in enumerate(subjects)}
-    word_parts, sid_parts, mask_parts, n_s = [], [], [], 0
-    for t, (_, labels) in zip(toks, rows):
-        word, begin = _sentences(np.fromiter(map(known.__getitem__, t), dtype=np.int64, count=len(t)))
+    parts: list[list] = [[[], [], []] for _ in range(langs)]
+    count = [0] * langs
+    for t, labels in rows:
+        got = tokens(t)
+        word, begin = _sentences(np.fromiter(map(known.__getitem__, got), dtype=np.int32, count=len(got)))
         if not len(begin):
             continue
-        sid = np.zeros(len(word), dtype=np.int64)
-        sid[begin[1:]] = 1
-        sid = np.cumsum(sid)
         tongue = np.add.reduceat(speaks[word], begin, axis=0)
         tongue = (tongue + 0.02 * tongue.sum(axis=0)).argmax(axis=1)  # a sentence that doesn't tell is in the document's language
-        mask = np.full((len(begin), len(LANGUAGES), per), 1e-4)
-        own = np.full(per, 0.01)
+        own = np.full(per, 0.01, dtype=np.float32)
         own[len(subjects) :] = 1
         own[[place[s] for s in labels if s in place]] = 1
-        mask[np.arange(len(begin)), tongue] = own
-        keep = word >= 2
-        word_parts.append(word[keep])
-        sid_parts.append(sid[keep] + n_s)
-        mask_parts.append(mask.reshape(len(begin), k))
-        n_s += len(begin)
-    if not word_parts:
-        return [], np.zeros((k, 2)), np.log(np.full(k, 1 / k))
-    word, sid, mask = np.concatenate(word_parts), np.concatenate(sid_parts), np.concatenate(mask_parts)
-    h = np.array([np.bincount(word, weights=mask[sid, j], minlength=v) for j in range(k)]) + 0.01
-    rng = np.random.default_rng(5)
-    for j in range(k):  # free components begin as their language's whole, a little apart from one another
-        if j % per >= len(subjects):
-            h[j] *= rng.uniform(0.7, 1.3, v)
-    h /= h.sum(axis=1, keepdims=True)
-    w = mask / mask.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        part = w[sid] * h[:, word].T
-        part /= part.sum(axis=1, keepdims=True) + 1e-300
-        w = np.stack([np.bincount(sid, weights=part[:, j], minlength=n_s) for j in range(k)], axis=1) * mask
-        w = w**1.5  # a sentence deals with few things: its weights are sharpened as they are renewed
-        w /= w.sum(axis=1, keepdims=True) + 1e-300
-        h = np.array([np.bincount(word, weights=part[:, j], minlength=v) for j in range(k)]) + 0.002
-        h /= h.sum(axis=1, keepdims=True)
-    size = w.sum(axis=0) + 1
+        for (x, y), lang in zip(zip(begin, [*begin[1:], len(word)]), tongue.tolist()):
+            ws = word[x:y][word[x:y] >= 2]
+            if len(ws):
+                parts[lang][0].append(ws)
+                parts[lang][1].append(np.full(len(ws), count[lang], dtype=np.int32))
+                parts[lang][2].append(own)
+                count[lang] += 1
+    h, size = np.full((per * langs, v), 1 / v), np.ones(per * langs)
+    for lang, (ws, sids, masks) in enumerate(parts):
+        if ws:
+            at = slice(lang * per, (lang + 1) * per)
+            h[at], size[at] = _factor(np.concatenate(ws), np.concatenate(sids), np.array(masks), v, len(subjects), rounds)
     h[:, :2] = 1.0  # unknown words speak for none
     return terms, np.log(h), np.log(size / size.sum())
 
@@ -123,7 +127,7 @@ def _parts(score: np.ndarray, subjects: int) -> np.ndarray:
     return np.bincount(score.argmax(axis=1) % per, minlength=per)[:subjects]
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2, most_labelled: int = 6000) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2, most_labelled: int = 4000) -> DataFrame:
     """(doc_id, subject, part): subjects that at least `share` of a document's sentences deal with, and their part.
 
     The components are fitted on the labelled documents, at most `most_labelled` of them, chosen by a hash of doc_id; that

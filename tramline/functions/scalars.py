@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tramline.common import PLAIN_DECIMAL, strip
 from tramline.operators.copydiff import exact_decimal
@@ -38,7 +39,7 @@ def coordinate(v: Column) -> Column:
     return F.when(v.rlike(PLAIN_DECIMAL), v.try_cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(v: pd.Series) -> pd.Series:
     """Case folded, accents dropped, all else kept."""
     return v.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c)))

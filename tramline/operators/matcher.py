@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tramline.common import cut, strip
 from tramline.functions.scalars import seconds
@@ -25,7 +26,7 @@ def models(t: dict[str, DataFrame], walk: DataFrame | None = None) -> DataFrame:
     return out.select("trip_id", F.col("route_name").alias("route"), "block", F.transform("c", lambda x: x["stop"]).alias("stops"), F.transform("c", lambda x: x["dep"]).alias("at"), F.transform("c", lambda x: F.coalesce(x["timepoint"], F.lit("")) == "1").alias("timed"), F.col("c")[0]["dep"].alias("start"), last["arr"].alias("end"), F.coalesce("dates", F.array().cast("array<string>")).alias("dates"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of the shorter sequence's calls that lie in blocks both have, in order."""
     from difflib import SequenceMatcher

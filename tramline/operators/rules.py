@@ -33,14 +33,14 @@ def keyed(rows: DataFrame, table: str) -> DataFrame:
     return rows.withColumn("_key", F.concat_ws(" ¦ ", *parts)).withColumn("_blank", F.exists(F.array(*parts), lambda p: p == ""))
 
 
-def enum_checks(table: str, columns: list[str]) -> list[tuple[Column, list[Column]]]:
-    return [(~strip(c).isin(allowed), finding("VAL001", "error", "Field values", table, F.col("_row"), None, F.concat(F.lit(f"{c}: "), strip(c)), ", ".join(sorted(allowed)))) for c, allowed in ENUMS.get(table, {}).items() if c in columns]
+def enum_checks(table: str, columns: list[str], enums: dict[str, dict[str, list[str]]] = ENUMS) -> list[tuple[Column, list[Column]]]:
+    return [(~strip(c).isin(allowed), finding("VAL001", "error", "Field values", table, F.col("_row"), None, F.concat(F.lit(f"{c}: "), strip(c)), ", ".join(sorted(allowed)))) for c, allowed in enums.get(table, {}).items() if c in columns]
 
 
-def table_checks(rows: DataFrame, table: str) -> DataFrame:
+def table_checks(rows: DataFrame, table: str, enums: dict[str, dict[str, list[str]]] = ENUMS) -> DataFrame:
     """Every rule of a table that looks at one row: key parts, enums, dates, coordinates, colours, numbers, times."""
     cols, row = rows.columns, F.col("_row")
-    checks = enum_checks(table, cols)
+    checks = enum_checks(table, cols, enums)
     if table in KEYS and table not in ("stop_times", "agency"):
         rows = keyed(rows, table)
         checks.append((F.col("_blank"), finding("REL001", "error", "Relationships", table, row)))

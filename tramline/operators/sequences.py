@@ -7,13 +7,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _blocks(a: list, b: list) -> list[tuple]:
     return SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def difference_count(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many calls differ: the longer side of each block that is not equal; null if a side is null."""
     return pd.Series([None if x is None or y is None else sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in _blocks(x, y) if tag != "equal") for x, y in zip(a, b)], dtype="Int64")
@@ -35,7 +36,7 @@ def change_places(a: list, b: list) -> list[str]:
     return [p for p in ("first", "middle", "last") if p in found]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def mismatch_places(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else change_places(list(x), list(y)) for x, y in zip(a, b)])
 
@@ -48,7 +49,7 @@ def likeness(a: list, b: list, head_a: str, head_b: str) -> tuple[float, float]:
     return ratio, 0.82 * ratio + 0.08 * ends + 0.06 * (head_a == head_b) + 0.04 * size
 
 
-@F.pandas_udf("struct<ratio:double,score:double>")
+@F.pandas_udf(T.StructType().add("ratio", T.DoubleType()).add("score", T.DoubleType()))
 def similarity(a: pd.Series, b: pd.Series, head_a: pd.Series, head_b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([likeness(list(x), list(y), p, q) for x, y, p, q in zip(a, b, head_a, head_b)], columns=["ratio", "score"])
 
@@ -79,7 +80,7 @@ def occurrences(a: list, b: list, at_a: list, at_b: list, tolerance: int) -> dic
 
 
 def occurrence_udf(tolerance: int):
-    @F.pandas_udf("map<int,int>")
+    @F.pandas_udf(T.MapType(T.IntegerType(), T.IntegerType()))
     def align(a: pd.Series, b: pd.Series, at_a: pd.Series, at_b: pd.Series) -> pd.Series:
         clean = lambda v: [None if pd.isna(x) else int(x) for x in v]
         return pd.Series([occurrences(list(w), list(x), clean(y), clean(z), tolerance) for w, x, y, z in zip(a, b, at_a, at_b)])
@@ -98,7 +99,7 @@ def aligned_rows(a: list, b: list) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<left:int,right:int,status:string,block:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("left", T.IntegerType()).add("right", T.IntegerType()).add("status", T.StringType()).add("block", T.StringType())))
 def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([aligned_rows(list(x), list(y)) for x, y in zip(a, b)])
 
@@ -162,4 +163,5 @@ def paired_variations(variations: DataFrame, links: DataFrame, left: str, right:
         out += [(route, None, b[j]["variation"], None, b[j]["trips"], None, None, False, "reversed" if swapped else "same", "not_comparable") for j in sorted(free_b)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")]).astype({"left_trips": "Int64", "right_trips": "Int64", "difference": "Int32"})
 
-    return variations.groupBy("route_name").cogroup(links.groupBy("route_name")).applyInPandas(pair, PAIRS)
+    links = links.select(F.col("route_name").alias("route"), "left", "right", "n")  # a name of its own: links may come from the same rows
+    return variations.groupBy("route_name").cogroup(links.groupBy("route")).applyInPandas(pair, PAIRS)

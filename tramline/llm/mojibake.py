@@ -150,7 +150,7 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
     a source of its own.  Repeated rows come out as often as they are there; further columns are ignored.  Only character
     counts of fixed size, and the mixture per field, reach the driver; the mixture per source stays distributed.
     """
-    rows = texts.select("tab", F.coalesce("src", F.lit("")).alias("src"), "row_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = texts.select(F.coalesce("tab", F.lit("")).alias("tab"), F.coalesce("src", F.lit("")).alias("src"), "row_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -208,7 +208,7 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
             tabs = {t for t, _ in per_tab}
             whole = {t: [(per_tab.get((t, i), 0.0) + 0.5) / (sum(per_tab.get((t, j), 0.0) for j in range(K)) + 0.5 * K) for i in range(K)] for t in tabs}
             v = F.map_from_entries(F.collect_list(F.struct("i", "v")))
-            base = F.create_map(*[x for t, w in whole.items() for x in (F.lit(t), F.array(*map(F.lit, w)))]) if whole else F.lit(None)
+            base = F.create_map(*[x for t, w in whole.items() for x in (F.lit(t), F.array(*map(F.lit, w)))]) if whole else F.lit(None).cast("map<string,array<double>>")
             mix = sums.where("src is not null").groupBy("tab", "src").agg(v.alias("m"), F.sum("v").alias("all"))
             mix = mix.select("tab", "src", F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) + PRIOR_WORDS * base[F.col("tab")][i]) / (F.col("all") + PRIOR_WORDS)).alias("mix"))
             mixes = maybe_broadcast(cut(mix), 64 + 8 * K)

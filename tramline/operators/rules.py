@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.common import maybe_broadcast, strip
+from tramline.common import strip
 from tramline.contract import ENUMS, KEYS
 from tramline.functions.scalars import date_of, seconds
 from tramline.plans.ledger import as_findings, finding, row_checks, union
@@ -123,18 +123,20 @@ def unused_shapes(shapes: DataFrame, trips: DataFrame) -> DataFrame:
     return as_findings(held.join(used, ["_feed", "_k"], "left_anti").where("_k != ''"), *finding("REL010", "warning", "Relationships", "shapes", None, F.col("_k")))
 
 
-def carried_last(rows: DataFrame, keys: list[str], order: str, value: str, block: int = 4096) -> Column:
+def carried_last(rows: DataFrame, keys: list[str], order: str, value: str, highest: int | None = None, block: int = 4096) -> DataFrame:
     """rows with _before, the last non-null value of earlier rows of the same keys in order of the whole number `order`.
 
     The running value is found inside blocks of `order`; what a block hands on to the next ones goes through one row per
-    block, which only keys of several blocks have.
+    block.  highest, if known, is the largest order there is: below `block` every key has one block and hands nothing on.
     """
     rows = rows.withColumn("_blk", F.floor(F.col(order) / block))
     inside = F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    seen = rows.withColumn("_before", inside)
+    if highest is not None and highest < block:
+        return seen.drop("_blk")
     ends = rows.groupBy(*keys, "_blk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
     handed = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))).where("_carry is not null").select(*keys, "_blk", "_carry")
-    side, _ = maybe_broadcast(handed, 64)
-    return rows.withColumn("_in", inside).join(side, [*keys, "_blk"], "left").withColumn("_before", F.coalesce("_in", "_carry")).drop("_in", "_carry", "_blk")
+    return seen.join(handed, [*keys, "_blk"], "left").withColumn("_before", F.coalesce("_before", "_carry")).drop("_carry", "_blk")
 
 
 def time_regressions(stop_times: DataFrame) -> DataFrame:
@@ -142,7 +144,8 @@ def time_regressions(stop_times: DataFrame) -> DataFrame:
     calls = stop_times.select("_feed", "_row", strip("trip_id").alias("_t"), whole(strip("stop_sequence")).alias("_n"), seconds(strip("arrival_time")).alias("_a"), seconds(strip("departure_time")).alias("_d")).where("_n is not null")
     calls = calls.groupBy("_feed", "_t", "_n").agg(F.min(F.struct("_row", "_a", "_d")).alias("m")).select("_feed", "_t", "_n", "m.*")
     calls = calls.withColumn("_come", F.coalesce("_a", "_d")).withColumn("_go", F.coalesce("_d", "_a"))
-    late = carried_last(calls, ["_feed", "_t"], "_n", "_go").where("_come < _before")
+    highest = stop_times.agg(F.max(whole(strip("stop_sequence")))).first()[0] or 0  # a scan of one column
+    late = carried_last(calls, ["_feed", "_t"], "_n", "_go", highest).where("_come < _before")
     return as_findings(late, *finding("TIME005", "error", "Stop times", "stop_times", F.col("_row"), F.concat(F.col("_t"), F.lit(":"), F.col("_n").cast("string")), F.col("_come").cast("string"), F.concat(F.lit(">= "), F.col("_before").cast("string"))))
 
 

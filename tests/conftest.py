@@ -14,7 +14,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    s = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
@@ -45,7 +45,7 @@ def baseline(spark):
             data = change.get(name, data)
             names = cols.split()
             schema = ", ".join(f"{c} string" for c in names) + ", _feed string, _row bigint"
-            out[name] = spark.createDataFrame([(*r, "f", i) for i, r in enumerate(data, 2)], schema)
+            out[name] = spark.createDataFrame([(*r, "f", i) for i, r in enumerate(data, 2)], schema).coalesce(1)
         return out
 
     return make

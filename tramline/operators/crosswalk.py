@@ -39,7 +39,7 @@ def crosswalk(source: DataFrame, target: DataFrame, tiers: tuple[str, ...] = TIE
     ids = source.select(strip("stop_id").alias("source_id"), strip("stop_code").alias("code")).where("source_id != ''")
     ids = ids.groupBy("source_id").agg(F.max("code").alias("code"))
     if ambiguous == "raise" and "target_code" in tiers:
-        clash = ambiguous_codes(target).join(ids, F.col("source_id") == ambiguous_codes(target)["code"], "left_semi")
+        clash = ambiguous_codes(target).select(F.col("code").alias("source_id")).join(ids, "source_id", "left_semi")
         if not clash.isEmpty():
             raise ValueError("stop codes that several target stops have are needed")
     out = ids

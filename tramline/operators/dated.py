@@ -36,14 +36,16 @@ def shape_prints(shapes: DataFrame) -> DataFrame:
 COMPARED = ["trip_headsign", "direction_id", "wheelchair_accessible", "bikes_allowed"]
 
 
-def dated_status(source: DataFrame, final: DataFrame, changed: str = "issues", shapes: bool = True) -> DataFrame:
+def dated_status(source: DataFrame, final: DataFrame, changed: str = "issues", shapes: bool = True, window: DataFrame | None = None) -> DataFrame:
     """(trip_id, final_trip_id, method, status, issues, missing_dates) per source trip; both sides from dated_trips().
 
     A trip's partners are the final trips of its canonical id; without any, those of equal schedule on a common date.
     status: unverifiable (no calls or dates), outside_final_window, missing, `changed` or matching; issues lists what differs
-    in every partner or which dates no partner serves.  With several partners the smallest id is named.
+    in every partner or which dates no partner serves.  With several partners the smallest id is named.  window: one row
+    (w1, w2) of yyyyMMdd texts, the dates compared; by default from the first to the last date any final trip runs.
     """
-    window = final.select(F.explode("dates").alias("d")).agg(F.min("d").alias("w1"), F.max("d").alias("w2"))
+    if window is None:
+        window = final.select(F.explode("dates").alias("d")).agg(F.min("d").alias("w1"), F.max("d").alias("w2"))
     s = source.crossJoin(F.broadcast(window)).withColumn("dates", F.filter("dates", lambda d: (d >= F.col("w1")) & (d <= F.col("w2")))).withColumn("outside", (F.size("dates") == 0))
     s = s.select(*[F.col(c).alias(f"s_{c}") for c in ("trip_id", "canonical", "schedule_print", "stop_print", "shape_print", "dates", *COMPARED)], "outside")
     f = final.select(*[F.col(c).alias(f"f_{c}") for c in ("trip_id", "canonical", "schedule_print", "stop_print", "shape_print", "dates", *COMPARED)])

@@ -80,7 +80,9 @@ def missing_totals(report: DataFrame) -> DataFrame:
 def audit_source(a: dict[str, DataFrame], final: dict[str, DataFrame], tiers: tuple[str, ...] = crosswalk.TIERS, changed: str = "issues", shapes: bool = True) -> DataFrame:
     """Each trip of a source against a release, by date; the source's stops are put into the release's."""
     walk = crosswalk.crosswalk(a["stops"], final["stops"], tiers)
-    return dated.dated_status(dated.dated_trips(a, walk), dated.dated_trips(final), changed, shapes)
+    window = service_dates.coverage(final["calendar"], final.get("feed_info") if "feed_start_date" in getattr(final.get("feed_info"), "columns", []) else None)
+    window = window.agg(F.date_format(F.min("first"), "yyyyMMdd").alias("w1"), F.date_format(F.max("last"), "yyyyMMdd").alias("w2"))
+    return dated.dated_status(dated.dated_trips(a, walk), dated.dated_trips(final), changed, shapes, window)
 
 
 def compare(candidate: dict[str, DataFrame], reference: dict[str, DataFrame], strict: bool = True) -> dict[str, DataFrame]:
@@ -100,15 +102,14 @@ def compare(candidate: dict[str, DataFrame], reference: dict[str, DataFrame], st
 def build(base: dict[str, DataFrame], more: dict[str, DataFrame], path: str, first: str, last: str) -> dict:
     """Writes a feed of base with `more` below it, calendars clipped to first..last (yyyyMMdd), and returns a receipt.
 
-    Ids of trips, routes and shapes that both have stop the build; stops go by precedence. Services and shapes no trip uses are left out.
+    Ids of trips, routes, shapes and services that both have stop the build; stops go by precedence. Services and shapes no trip uses are left out.
     """
     out = {}
-    for name, key in (("routes", ["route_id"]), ("trips", ["trip_id"]), ("stop_times", ["trip_id"]), ("shapes", ["shape_id"])):
+    for name, key in (("routes", ["route_id"]), ("trips", ["trip_id"]), ("stop_times", ["trip_id"]), ("shapes", ["shape_id"]), ("calendar", ["service_id"])):
         out[name] = builder.appended(base[name], more[name], key) if name in more else base[name]
     out["stops"] = builder.merged_stops([base["stops"], *([more["stops"]] if "stops" in more else [])])
-    calendars = base["calendar"].unionByName(more["calendar"], allowMissingColumns=True) if "calendar" in more else base["calendar"]
     used = lambda c: out["trips"].select(strip(c).alias("_u")).distinct()
-    out["calendar"] = service_dates.clipped(calendars, first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
+    out["calendar"] = service_dates.clipped(out["calendar"], first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
     out["shapes"] = out["shapes"].withColumn("_u", strip("shape_id")).join(used("shape_id"), "_u", "left_semi")
     if "agency" in base:
         out["agency"] = base["agency"]

@@ -28,6 +28,8 @@ def as_findings(rows: DataFrame, *parts: Column) -> DataFrame:
 
 def row_checks(rows: DataFrame, checks: list[tuple[Column, list[Column]]]) -> DataFrame:
     """All findings of rules that look at one row only, in one scan; checks: (holds, finding(...)) pairs."""
+    if not checks:
+        return rows.where("false").select(F.col("_feed").alias("feed"), *finding("", "", "", ""))
     every = F.array(*[F.when(holds, F.struct(*parts)) for holds, parts in checks])
     return rows.select(F.col("_feed").alias("feed"), F.inline(F.filter(every, lambda x: x.isNotNull())))
 

@@ -91,17 +91,24 @@ def fit_domains(rows: list[tuple[str, str]], names: list[str]) -> tuple[np.ndarr
     return w, b
 
 
-def domain_memberships(documents: DataFrame, targets: list[str], most_labelled: int = 4000, confident: float = 0.9) -> DataFrame:
+def domain_memberships(documents: DataFrame, targets: list[str], most_labelled: int = 4000, confident: float = 0.9, most_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, members): members maps domain to probability for the documents without a source.
 
-    The classifier is fitted on at most `most_labelled` documents with a source, chosen by hash; sources that are not listed
+    The classifier is fitted on at most `most_labelled` documents with a source, of `most_chars` characters in all, taken in
+    order of a hash; sources that are not listed
     count as one further domain ''.  A document whose likeliest domain stays below `confident` belongs to ''.
     """
     spark = documents.sparkSession
     names = [*targets, ""]
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.trim("source").alias("source"), "text").where("doc_id is not null")
     known = docs.where("source is not null and source != '' and text is not null").orderBy(F.xxhash64("doc_id")).limit(most_labelled)
-    rows = sorted((r.text, r.source if r.source in targets else "") for r in known.collect())
+    rows, size = [], 0
+    for r in known.toLocalIterator():
+        size += len(r.text)
+        if size > most_chars and rows:
+            break
+        rows.append((r.text, r.source if r.source in targets else ""))
+    rows.sort()
     w, b = fit_domains(rows, names)
     given = spark.sparkContext.broadcast((w.astype(np.float32), b))
 

@@ -127,11 +127,11 @@ def _parts(score: np.ndarray, subjects: int) -> np.ndarray:
     return np.bincount(score.argmax(axis=1) % per, minlength=per)[:subjects]
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2, most_labelled: int = 4000) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2, most_labelled: int = 4000, most_chars: int = 40_000_000) -> DataFrame:
     """(doc_id, subject, part): subjects that at least `share` of a document's sentences deal with, and their part.
 
-    The components are fitted on the labelled documents, at most `most_labelled` of them, chosen by a hash of doc_id; that
-    bound is on the fit alone.  Every document's whole text is then put in terms of the components, without a shuffle.  A
+    The components are fitted on the labelled documents, at most `most_labelled` of them and of `most_chars` characters in
+    all, taken in order of a hash of doc_id; those bounds are on the fit alone.  Every document's whole text is then put in terms of the components, without a shuffle.  A
     sentence counts for the component that holds most of its weight.  Labels that name no subject of `subjects` are
     ignored, as are repeated labels; without labels or subjects, and for null or wordless texts, there are no rows.
     """
@@ -139,7 +139,13 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     names = sorted({r.subject for r in subjects.select("subject").distinct().collect() if r.subject})
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     chosen = labels.where(F.col("subject").isin(names)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_set("subject")).alias("subjects")).orderBy(F.xxhash64("doc_id")).limit(most_labelled)
-    rows = [(r.text, r.subjects) for r in docs.join(F.broadcast(chosen), "doc_id").select("text", "subjects").dropDuplicates().collect()] if names else []
+    rows, size = [], 0
+    if names:
+        for r in docs.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "subjects").toLocalIterator():
+            size += len(r.text)
+            if size > most_chars and rows:
+                break
+            rows.append((r.text, r.subjects))
     terms, logs, sizes = fit_components(sorted(rows), names) if rows else ([], None, None)
     given = spark.sparkContext.broadcast((terms, None if logs is None else np.ascontiguousarray(logs.T.astype(np.float32)), sizes))
 

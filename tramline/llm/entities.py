@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tramline.common import cut, strip
 
+#: Seconds that a trip may wait at its first stop; a longer wait means that a time is wrong.
+LONGEST_WAIT = 600
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 CLOCK = r"^([0-9]{1,3}):([0-5][0-9]):([0-5][0-9])$"
 #: Letters with accents and their bases.
@@ -36,7 +38,8 @@ def runs(trips: DataFrame, routes: DataFrame, calendar: DataFrame, stop_times: D
     """One row per trip of a feed: id, line, number, letters, long, days, head, direction, start, calls.
 
     Of repeated rows, and of older states of a record, the one last loaded counts, of equal ones the one that sorts last.
-    start is the time of the first call, by number, that states one; days is the service's pattern of weekdays.
+    start is the arrival at the call that departs first, whatever its number, as numbers may be broken; its departure if the
+    arrival is none or lies too far from it.  days is the service's pattern of weekdays.
     """
     of = lambda df: df.where(F.col("feed") == feed)
 
@@ -49,9 +52,11 @@ def runs(trips: DataFrame, routes: DataFrame, calendar: DataFrame, stop_times: D
     route = last(routes, "route_id", number=F.regexp_replace(F.regexp_extract(short, r"([0-9]+)[^0-9]*$", 1), r"^0+(?=[0-9])", ""), letters=F.regexp_extract(short, r"^([A-Z]*)", 1), long=plain(strip("route_long_name")))
     service = last(calendar, "service_id", days=F.concat(*[strip(d) for d in DAYS]))
     number = strip("stop_sequence")
-    at = F.coalesce(seconds(strip("arrival_time")), seconds(strip("departure_time")))
-    call = of(stop_times).select(strip("trip_id").alias("trip_id"), F.when(number.rlike("^[0-9]{1,9}$"), number.try_cast("int")).alias("n"), at.alias("at")).where("n is not null")
-    calls = call.groupBy("trip_id").agg(F.min_by("at", F.when(F.col("at").isNotNull(), F.col("n"))).alias("start"), F.count_distinct("n").alias("calls"))
+    come, go = seconds(strip("arrival_time")), seconds(strip("departure_time"))
+    call = of(stop_times).select(strip("trip_id").alias("trip_id"), F.when(number.rlike("^[0-9]{1,9}$"), number.try_cast("int")).alias("n"), come.alias("come"), go.alias("go"))
+    calls = call.groupBy("trip_id").agg(F.min_by(F.struct("come", "go"), F.coalesce("go", "come")).alias("first"), F.count_distinct("n").alias("calls"))
+    near = F.abs(F.col("first.go") - F.col("first.come")) <= LONGEST_WAIT
+    calls = calls.select("trip_id", F.when(near, F.col("first.come")).otherwise(F.coalesce("first.go", "first.come")).alias("start"), "calls")
     out = trip.join(calls, "trip_id", "left").join(route, "route_id", "left").join(service, "service_id", "left")
     return out.select(F.col("trip_id").alias("id"), F.col("route_id").alias("line"), F.coalesce("number", F.lit("")).alias("number"), F.coalesce("letters", F.lit("")).alias("letters"), F.coalesce("long", F.lit("")).alias("long"), F.coalesce("days", F.lit("")).alias("days"), "head", "direction", "start", F.coalesce("calls", F.lit(0)).alias("calls"))
 

@@ -41,14 +41,16 @@ def split_table(rows: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFram
     return checked.where("size(_errors) = 0").drop("_errors"), checked.where("size(_errors) > 0")
 
 
-def parsed_line(line: Column) -> Column:
+def parsed_line(line: Column, header: bool = False) -> Column:
     """struct(quoted_well, cells): the cells of one record; cells is only right where quoted_well holds.
 
+    One carriage return at the end is ignored, and a byte order mark before a header.
+
     Splitting at quotes leaves texts that are outside quotes at even places and inside at odd ones.  A record is well
     quoted if the last place is an even one and each outside text between two quotes is empty (a doubled quote) or
     begins and ends with a comma; the first must be empty or end with one, the last be empty or begin with one.
     """
-    text = F.regexp_replace(F.coalesce(line, F.lit("")), r"^\x{feff}|\r$", "")
+    text = F.regexp_replace(F.coalesce(line, F.lit("")), r"^\x{feff}|\r\z" if header else r"\r\z", "")
     bare = ~text.contains('"')
     marked = F.when(text.contains(MARK), F.replace(text, F.lit(MARK), F.lit(OWN))).otherwise(text)
     parts = F.split(marked, '"', -1)
@@ -79,7 +81,7 @@ def checked_lines(lines: DataFrame, fields: list[str] | None = None, block: int
     fields = fields or list(VALUE_RULES)
     rows = lines.select(F.col("row_id").cast("bigint").alias("row_id"), "file_id", F.col("line_number").cast("bigint").alias("line_number"), "line").where("file_id is not null and line_number is not null")
     rows = rows.withColumn("blk", F.floor(F.col("line_number") / block))
-    head = rows.where("line_number = 1").withColumn("p", parsed_line(F.col("line")))
+    head = rows.where("line_number = 1").withColumn("p", parsed_line(F.col("line"), header=True))
     names = F.transform("p.cells", lambda c: F.lower(strip(cell_value(c))))
     head = head.groupBy("file_id").agg(F.min(names).alias("names"))
     blocks = rows.where("line_number > 1").select("file_id", "blk").distinct().join(head, "file_id", "left")

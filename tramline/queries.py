@@ -44,7 +44,7 @@ P2_COUNTS = _ORPHANS + """ select o.tab, o.fld, o.month, o.reason, o.n, q.refs f
 
 _CELLS = """regexp_extract_all(',' || x, ',("(?:[^"]|"")*"|[^",]*)', 1)"""
 _UNQUOTED = "trim(case when v like '\"%' then replace(substr(v, 2, length(v) - 2), '\"\"', '\"') else v end)"
-P3_FOUND = f"""with l as (select row_id, file_id, line_number, regexp_replace(regexp_replace(coalesce(line, ''), '\\r$', ''), '^\ufeff', '') x from raw_lines),
+P3_FOUND = f"""with l as (select row_id, file_id, line_number, case when line_number = 1 then regexp_replace(y, '^\ufeff', '') else y end x from (select *, case when line like '%' || chr(13) then left(line, length(line) - 1) else coalesce(line, '') end y from raw_lines)),
 h as (select file_id, [lower({_UNQUOTED}) for v in {_CELLS}] names from l where line_number = 1),
 c as (select row_id, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') well, [{_UNQUOTED} for v in {_CELLS}] cells, names from l join h using (file_id) where line_number > 1),
 v as (select *, cells[nullif(list_position(names, 'stop_sequence'), 0)] s, cells[nullif(list_position(names, 'arrival_time'), 0)] a, cells[nullif(list_position(names, 'start_date'), 0)] d from c),

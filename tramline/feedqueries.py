@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline.common import strip, table
 from tramline.contract import DAYS, ENUMS
 from tramline.functions import scalars
-from tramline.operators import browse, builder, crosswalk, dated, diagnostics, inspection, matcher, patterns, profile, releasediff, rules, sequences, service_dates
+from tramline.operators import browse, builder, crosswalk, dated, diagnostics, inspection, matcher, patterns, profile, reconciliation, releasediff, rules, sequences, service_dates
 from tramline.plans import ledger
 from tramline.sources.feed import from_tables
 
@@ -677,3 +677,78 @@ def profile_sort_order(spark: SparkSession, d: str) -> DataFrame:
 @query("table_status", f"select feed, file, 'FAIL' status from ({TIME_SQL}) group by 1, 2")
 def table_status(spark: SparkSession, d: str) -> DataFrame:
     return profile.status(rules.table_checks(feeds(spark, d)["stop_times"], "stop_times").where("rule_id like 'TIME%'"))
+
+
+_IDS = lambda f: f"(select {x('stop_id')} id, min({x('stop_name')}) nm from stops where feed = '{f}' and {x('stop_id')} <> '' group by 1)"
+
+
+@query("stops_missing", f"select case when id in (select {x('stop_id')} from stop_times where feed = 'cad') then 'error' else 'warning' end severity, id as key, nm expected from {_IDS('cad')} where id not in (select id from {_IDS('hastus')})")
+def stops_missing(spark: SparkSession, d: str) -> DataFrame:
+    t = feeds(spark, d)
+    return reconciliation.stops_missing(one(t, "cad")["stops"], one(t, "cad")["stop_times"], one(t, "hastus")["stops"]).select("severity", "key", "expected")
+
+
+@query("stops_of_no_source", f"select id as key from {_IDS('hastus')} where id not in (select {x('stop_id')} from stops where feed in ('cad', 'rail'))")
+def stops_of_no_source(spark: SparkSession, d: str) -> DataFrame:
+    s = feeds(spark, d)["stops"]
+    return reconciliation.stops_of_no_source(s.where("_feed = 'hastus'"), [s.where("_feed = 'cad'"), s.where("_feed = 'rail'")]).select("key")
+
+
+_KEPT = lambda f: f"(select k, m.* from (select {x('stop_id')} k, arg_min(struct_pack(nm := {x('stop_name')}, la := {x('stop_lat')}, lo := {x('stop_lon')}, wh := {x('wheelchair_boarding')}, co := {x('stop_code')}), row_id) m from stops where feed = '{f}' and {x('stop_id')} <> '' group by 1))"
+KEPT_SQL = f"""with m as (select s.k, t.nm fn, {NAME('s.nm')} = {NAME('t.nm')} same, {_HAV('s', 't')} near, s.wh sw, t.wh tw, s.co sc, t.co tc from {_KEPT('hastus')} t join {_KEPT('cad')} s on s.k = t.k)
+select 'STP007' rule_id, k as key, fn observed from m where not same union all select 'STP008', k, format('{{:,.1f}}', near) from m where near > 15
+union all select 'STP009', k, 'wheelchair_boarding: ' || tw from m where sw <> '' and sw <> tw union all select 'STP009', k, 'stop_code: ' || tc from m where sc <> '' and sc <> tc"""
+
+
+@query("kept_metadata", KEPT_SQL)
+def kept_metadata(spark: SparkSession, d: str) -> DataFrame:
+    s = feeds(spark, d)["stops"]
+    return reconciliation.kept_metadata(s.where("_feed = 'hastus'"), [s.where("_feed = 'cad'")], ["wheelchair_boarding", "stop_code"]).select("rule_id", "key", "observed")
+
+
+CHANGED_SQL = f"""with {NAMED_SQL}, sc as (select f, t, string_agg(concat_ws('|', n, c.stop, c.a, c.d, c.p, c.o, chr(10)), '' order by n) sp from {GOT} group by 1, 2)
+select case when a.pr <> b.pr then 'TRP100' else 'TRP101' end rule_id, a.t as key, a.stop_count::varchar observed from j a join j b on a.f = 'hastus' and b.f = 'cad' and a.t = b.t join sc p on p.f = a.f and p.t = a.t join sc q on q.f = b.f and q.t = b.t where p.sp <> q.sp"""
+
+
+@query("changed_trips", CHANGED_SQL)
+def changed_trips(spark: SparkSession, d: str) -> DataFrame:
+    named = _named(spark, d)
+    return reconciliation.changed_trips(named.where("_feed = 'hastus'"), named.where("_feed = 'cad'")).select("rule_id", "key", "observed")
+
+
+@query("without_routes_named", f"with g as (select distinct {x('route_short_name')} n from routes where feed = 'rail') select t.row_id from trips t where t.feed = 'cad' and {x('t.route_id')} not in (select {x('route_id')} from routes r where r.feed = 'cad' and {x('r.route_short_name')} in (select n from g))")
+def without_routes_named(spark: SparkSession, d: str) -> DataFrame:
+    t = feeds(spark, d)
+    return reconciliation.without_routes_named(one(t, "cad"), one(t, "rail")["routes"].select(strip("route_short_name")))["trips"].select("row_id")
+
+
+_RF = ["route_long_name", "route_type", "route_color"]
+
+
+@query("route_changes", f"""with a as (select distinct {x('route_short_name')} nm, {', '.join(f'{x(c)} {c}' for c in _RF)} from routes where feed = 'cad'), b as (select distinct {x('route_short_name')} nm, {', '.join(f'{x(c)} {c}' for c in _RF)} from routes where feed = 'hastus'),
+m as (select nm, {', '.join(f'bool_and(a.{c} <> b.{c}) {c}' for c in _RF)} from a join b using (nm) where nm <> '' group by 1)
+select nm as name, concat_ws(',', {', '.join(f"case when {c} then '{c}' end" for c in _RF)}) changed from m where {' or '.join(_RF)}""")
+def route_changes(spark: SparkSession, d: str) -> DataFrame:
+    t = feeds(spark, d)["routes"]
+    return reconciliation.route_changes(t.where("_feed = 'cad'"), t.where("_feed = 'hastus'"), _RF).withColumn("changed", F.array_join("changed", ","))
+
+
+@query("stop_changes", f"""with w as ({WALK_SQL}), s as (select * from {_KEPT('cad')} where k in (select {x('stop_id')} from stop_times where feed = 'cad')), m as (select s.*, w.target_id, t.k tk, t.nm tn, t.wh tw, t.la ta, t.lo tlo from s left join w on w.source_id = s.k left join {_KEPT('hastus')} t on t.k = w.target_id),
+c as (select k stop_id, target_id final_id, case when tk is null then 'missing' else concat_ws(',', case when nm <> tn then 'stop_name' end, case when wh <> tw then 'wheelchair_boarding' end, case when coalesce(abs({PLAIN('la')} - {PLAIN('ta')}) > 1e-6, la <> ta) then 'stop_lat' end, case when coalesce(abs({PLAIN('lo')} - {PLAIN('tlo')}) > 1e-6, lo <> tlo) then 'stop_lon' end) end changed from m)
+select * from c where changed <> ''""")
+def stop_changes(spark: SparkSession, d: str) -> DataFrame:
+    t = feeds(spark, d)
+    got = reconciliation.stop_changes(one(t, "cad")["stops"], one(t, "hastus")["stops"], one(t, "cad")["stop_times"], _walk(spark, d), ["stop_name", "wheelchair_boarding"])
+    return got.withColumn("changed", F.array_join("changed", ","))
+
+
+@query("audit_findings", f"""with q as ({DATED_SQL}) select 'RAIL002' rule_id, case when status = 'missing' then 'error' else 'warning' end severity, trip_id as key, replace(issues, ',', ', ') observed from q where status in ('missing', 'issues', 'unverifiable')
+union all select 'RAIL003', 'warning', id, null from (select distinct {x('trip_id')} id from trips where feed = 'hastus' and {x('trip_id')} <> '') where id not in (select final_trip_id from q where final_trip_id is not null)""")
+def audit_findings(spark: SparkSession, d: str) -> DataFrame:
+    ids = feeds(spark, d, "hastus")["trips"].select(strip("trip_id").alias("trip_id")).where("trip_id != ''")
+    return reconciliation.audit_findings(_statuses(spark, d), ids).select("rule_id", "severity", "key", "observed")
+
+
+@query("journey_findings")
+def journey_findings(spark: SparkSession, d: str) -> DataFrame:
+    return found(reconciliation.journey_findings(patterns.compared_journeys(_named(spark, d), "cad", "hastus"), variation_pairs(spark, d)))

@@ -37,6 +37,33 @@ _ORPHANS = f"""with p as ({_PARENTS}), r as (select * from ({_REFS}) where coale
   from r left join p on r.ptab = p.ptab and r.feed = p.feed and r.k = p.k group by all),
 o as (select tab, fld, row_id, t, case when n = 0 then 'missing' when born > t then 'late' else 'deleted' end reason from j where not live)"""
 
+_ISO, _ZONE = r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d", r"(?:[.,]\d+)?(?: ?(?:Z|[+-]\d\d:?\d\d))?"
+_LAYOUTS = {
+    "a": (rf"^({_ISO}){_ZONE}\s+(\pL+)\s+([^\s\[\]()]+)\s+-\s", "['time', 'level', 'component']"),
+    "b": (r"^(\d\d/\d\d/\d{4} \d\d:\d\d:\d\d)\s+-\s+(\pL+)\s*-\s+([^\s\[\]()]+)\s+-\s", "['time', 'level', 'component']"),
+    "c": (rf"^\[({_ISO}){_ZONE}\]\s*\[\s*(\pL+)\s*\]\s*\[\s*([^\s\]]+)\s*\]", "['time', 'level', 'component']"),
+    "d": (rf"^\[(\d\d/\pL{{3}}/\d{{4}}:\d\d:\d\d:\d\d){_ZONE}\]\s+([^\s\[\]()]+)\s+(\pL+)\s*:", "['time', 'component', 'level']"),
+    "e": (r"^(\pL{3} {1,2}\d{1,2} \d\d:\d\d:\d\d)\s+\S+\s+([^\s\[\]():]+)(?:\[\d+\])?():", "['time', 'component', 'level']"),
+    "f": (r"^(\d{8} \d{6})\|\s*(\pL+)\s*\|\s*([^|]*?)\s*\|", "['time', 'level', 'component']"),
+    "g": (r"^(\d{9,10})(?:\.\d+)?\s+(\pL)/([^\s():]+)\s*\(\s*\d+\):", "['time', 'level', 'component']"),
+    "h": (r"^(?i:(debug|info|warning|warn|error|fatal|avertissement|erreur))()()\s*:", "['level', 'time', 'component']"),
+}
+_PAIR = lambda k: f"coalesce(nullif(regexp_extract(t, '(?:^|\\s){k}=([^\\s\"]+)', 1), ''), '')"
+_JSON = lambda k: f"case when t like '{{%' and json_valid(t) then coalesce(json_extract_string(t, '$.{k}'), '') else '' end"
+_CASES = " ".join(f"when regexp_matches(t, '{p}') then (select struct_pack(time := q.time, level := q.level, component := q.component) from (select regexp_extract(t, '{p}', {names}) q))" for p, names in _LAYOUTS.values())
+P1_FOUND = f"""with l as (select log_id, line_number::bigint n, regexp_replace(coalesce(message, ''), '[\\r\\n]+$', '') t, strftime(loaded_at, '%Y') y from error_warning),
+h as (select *, case {_CASES} when regexp_matches(t, '^\\w+=') and {_PAIR('ts')} <> '' then struct_pack(time := {_PAIR('ts')}, level := {_PAIR('lvl')}, component := {_PAIR('mod')})
+  when {_JSON('time')} <> '' then struct_pack(time := {_JSON('time')}, level := {_JSON('level')}, component := {_JSON('logger')}) end q from l),
+f as (select *, max(case when q is not null then n end) over (partition by log_id order by n) first_line from h),
+e as (select log_id, first_line, max(case when regexp_matches(t, '[^\\s\\x{{a0}}]') then n end) last_line, arg_min(q, n) q, arg_min(y, n) y from f where first_line is not null group by 1, 2),
+m as (select *, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract(q.time, '\\pL{{3}}'))) mon from e)
+select log_id, first_line, last_line, case when q.time = '' then '' when regexp_matches(q.time, '^\\d{{4}}-') then left(q.time, 10) || ' ' || substr(q.time, 12, 8)
+  when regexp_matches(q.time, '^\\d\\d/\\d\\d/') then substr(q.time, 7, 4) || '-' || substr(q.time, 4, 2) || '-' || left(q.time, 2) || ' ' || substr(q.time, 12, 8)
+  when regexp_matches(q.time, '^\\d\\d/') then substr(q.time, 8, 4) || '-' || lpad(mon::varchar, 2, '0') || '-' || left(q.time, 2) || ' ' || substr(q.time, 13, 8)
+  when regexp_matches(q.time, '^\\pL') then y || '-' || lpad(mon::varchar, 2, '0') || '-' || lpad(trim(substr(q.time, 4, 3)), 2, '0') || ' ' || right(q.time, 8)
+  when regexp_matches(q.time, '^\\d{{8}} ') then regexp_replace(q.time, '(....)(..)(..) (..)(..)(..)', '\\1-\\2-\\3 \\4:\\5:\\6') else strftime(make_timestamp(try_cast(q.time as bigint) * 1000000), '%Y-%m-%d %H:%M:%S') end logged_at,
+case when lower(q.level) in ('debug', 'd') then 'DEBUG' when lower(q.level) in ('info', 'i') then 'INFO' when lower(q.level) in ('warning', 'warn', 'w', 'avertissement') then 'WARNING' when lower(q.level) in ('error', 'err', 'e', 'erreur') then 'ERROR' when lower(q.level) in ('fatal', 'f') then 'FATAL' else '' end severity, trim(q.component) component from m"""
+
 P2_FOUND = _ORPHANS + " select tab, fld, row_id, reason from o"
 P2_COUNTS = _ORPHANS + """ select o.tab, o.fld, o.month, o.reason, o.n, q.refs from
   (select tab, fld, strftime(t, '%Y-%m') as month, reason, count(*) n from o group by all) o
@@ -82,7 +109,7 @@ def _diff_sql(tab: str, key: str, fields: dict[str, object]) -> str:
 P5_FOUND = " union all ".join(_diff_sql(t, k, f) for t, k, f in (("stops", "stop_id", copydiff.STOPS), ("trips", "trip_id", copydiff.TRIPS), ("routes", "route_id", copydiff.ROUTES)))
 
 
-@query("p1_found")
+@query("p1_found", P1_FOUND)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return logs.log_entries(table(spark, d, "error_warning"), with_message=False)
 

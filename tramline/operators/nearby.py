@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ def near_pairs(points: DataFrame, ident: str, label: str, metres: float, tasks:
     wrapped = both.where("reach < 180 and lon > 180 - reach").withColumn("lon", F.col("lon") - 360).withColumn("left_only", F.lit(True))
     both = both.withColumn("left_only", F.lit(False)).unionByName(wrapped).withColumn("place", F.col("strip") * 1024.0 + F.col("lon") + 400.0)
     cuts = sorted(set(both.approxQuantile("place", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    both = both.withColumn("home", F.expr(_count_below(cuts, "place"))).withColumn("until", F.expr(_count_below(cuts, "least(place + reach, strip * 1024D + 580D)")))
+    both = both.withColumn("end", F.least(F.col("place") + F.col("reach"), F.col("strip") * 1024.0 + 580.0))
+    both = _ranges(both, cuts, {"place": "home", "end": "until"})
     both = both.withColumn("task", F.explode(F.sequence(F.col("home"), F.greatest("home", "until"))))
     both = both.withColumn("right", ~F.col("left_only") & (F.col("task") == F.col("home"))).select("task", "place", "id", "label", "lat", "lon", "own", "right", "reach")
 
@@ -69,14 +71,13 @@ def near_pairs(points: DataFrame, ident: str, label: str, metres: float, tasks:
     return placed.mapInPandas(sweep, "a bigint, b bigint")
 
 
-def _count_below(cuts: list[float], value: str) -> str:
-    """SQL for how many of the sorted cuts are at most value, by halving."""
-
-    def step(lo: int, hi: int) -> str:
-        mid = (lo + hi) // 2
-        return str(lo) if lo == hi else f"if({cuts[mid]!r}D <= {value}, {step(mid + 1, hi)}, {step(lo, mid)})"
-
-    return step(0, len(cuts))
+def _ranges(rows: DataFrame, cuts: list[float], columns: dict[str, str]) -> DataFrame:
+    """rows with, per column, how many of the sorted cuts its value has reached, by binary search."""
+    if not cuts:
+        return rows.withColumns({out: F.lit(0) for out in columns.values()})
+    splits = [-math.inf, *cuts, math.inf]
+    found = Bucketizer(splitsArray=[splits] * len(columns), inputCols=list(columns), outputCols=list(columns.values())).transform(rows)
+    return found.withColumns({out: F.col(out).cast("int") for out in columns.values()})
 
 
 def _sweep(rows: pd.DataFrame, final: bool, metres: float) -> tuple[list[pd.DataFrame], pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -127,13 +128,26 @@ def paired_variations(variations: DataFrame, links: DataFrame, left: str, right:
         side = lambda f: vs[vs["_feed"] == f].sort_values("variation").to_dict("records")
         a, b = side(left), side(right)
         linked = {(x, y): int(n) for x, y, n in zip(ls["left"], ls["right"], ls["n"])}
-        like = {(i, j): likeness(list(x["stops"]), list(y["stops"]), x["headsign"], y["headsign"]) for i, x in enumerate(a) for j, y in enumerate(b)}
+        # A ratio of `least` takes that share of common stops; only variations that have it, or share journeys, are compared.
+        holders = defaultdict(list)
+        for j, y in enumerate(b):
+            for stop, n in Counter(y["stops"]).items():
+                holders[stop].append((j, n))
+        place_a, place_b = {x["variation"]: i for i, x in enumerate(a)}, {y["variation"]: j for j, y in enumerate(b)}
+        near = {(place_a[x], place_b[y]) for x, y in linked if x in place_a and y in place_b}
+        for i, x in enumerate(a):
+            common = Counter()
+            for stop, n in Counter(x["stops"]).items():
+                for j, m in holders[stop]:
+                    common[j] += min(n, m)
+            near |= {(i, j) for j, n in common.items() if 2 * n >= least * (len(x["stops"]) + len(b[j]["stops"]))}
+        like = {(i, j): likeness(list(a[i]["stops"]), list(b[j]["stops"]), a[i]["headsign"], b[j]["headsign"]) for i, j in near}
 
         def quality(swap: bool) -> tuple:
             free, n, exact, total = set(range(len(b))), 0, 0, 0.0
             for i, x in enumerate(a):
                 want = {"0": "1", "1": "0"}.get(x["direction_id"], x["direction_id"]) if swap else x["direction_id"]
-                fits = [(like[i, j][0], -j) for j in free if b[j]["direction_id"] == want]
+                fits = [(like[i, j][0], -j) for j in free if (i, j) in like and b[j]["direction_id"] == want]
                 if fits and max(fits)[0] >= least:
                     r, j = max(fits)
                     free.discard(-j)

@@ -67,9 +67,10 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = 0.00
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, n: str, how: str = "inner", slice_rows: int = 200_000) -> DataFrame:
     """Joins left with right, which has few rows per key, with left's hot keys spread over as many salts as they have slices.
 
-    hot: from hot_keys(), few rows. right's rows of a hot key are repeated once per salt.
+    hot: from hot_keys(), few rows. right's rows of a hot key are repeated once per salt. A row's salt follows from its values,
+    so that a stage that is run again after a loss gives the same.
     """
     salts = F.broadcast(hot.select(*keys, F.greatest(F.lit(1), F.ceil(F.col(n) / slice_rows)).cast("int").alias("_salts")))
-    rows = left.join(salts, list(keys), "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_salts")).cast("int"))).drop("_salts")
+    rows = left.join(salts, list(keys), "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))).drop("_salts")
     spread = right.join(salts, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return rows.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -296,7 +296,7 @@ def crosswalk_unique(spark: SparkSession, d: str) -> DataFrame:
 
 PLAIN = lambda v: f"case when regexp_full_match({v}, '[+-]?[0-9]+(\\.[0-9]+)?') then {v}::double end"
 _STATE = lambda f: f"(select k, c.* from (select {x('stop_id')} k, arg_min(struct_pack(la := {x('stop_lat')}, lo := {x('stop_lon')}, ty := {KIND}, pa := {x('parent_station')}, wh := {x('wheelchair_boarding')}), row_id) c from stops where feed = '{f}' and {x('stop_id')} <> '' group by 1))"
-_HAV = lambda a, b: f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({PLAIN(b + '.la')} - {PLAIN(a + '.la')}) / 2), 2) + cos(radians({PLAIN(a + '.la')})) * cos(radians({PLAIN(b + '.la')})) * pow(sin(radians({PLAIN(b + '.lo')} - {PLAIN(a + '.lo')}) / 2), 2))))"
+_HAV = lambda a, b: f"case when {' + '.join(PLAIN(f'{t}.{c}') for t in (a, b) for c in ('la', 'lo'))} is not null then 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({PLAIN(b + '.la')} - {PLAIN(a + '.la')}) / 2), 2) + cos(radians({PLAIN(a + '.la')})) * cos(radians({PLAIN(b + '.la')})) * pow(sin(radians({PLAIN(b + '.lo')} - {PLAIN(a + '.lo')}) / 2), 2)))) end"
 PAIR_SQL = f"""with w as ({WALK_SQL}) select w.source_id, w.target_id, round({_HAV('s', 't')}, 1) distance_m, s.ty <> t.ty type_differs, s.wh <> t.wh wheelchair_differs, coalesce(u.target_id, s.pa) <> t.pa parent_differs
 from w join {_STATE('cad')} s on s.k = w.source_id join {_STATE('hastus')} t on t.k = w.target_id left join w u on u.source_id = s.pa"""
 

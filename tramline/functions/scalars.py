@@ -29,10 +29,10 @@ def date_of(v: Column) -> Column:
 
 
 def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    """Great-circle distance on a sphere of radius 6,371,000 m."""
+    """Great-circle distance on a sphere of radius 6,371,000 m; null if a coordinate is."""
     dp, dl = F.radians(lat_b - lat_a) / 2, F.radians(lon_b - lon_a) / 2
     h = F.pow(F.sin(dp), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(dl), 2)
-    return F.lit(2 * 6_371_000.0) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), F.lit(2 * 6_371_000.0) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def coordinate(v: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tramline.common import strip
 from tramline.functions.scalars import number_first
 from tramline.operators.patterns import ordered_calls
+from tramline.operators.sequences import alignment
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame, bool]:
@@ -60,3 +61,18 @@ def trip_detail(stop_times: DataFrame, stops: DataFrame, feed: str, trip: str) -
     calls = ordered_calls(stop_times.where((F.col("_feed") == feed) & (strip("trip_id") == trip)))
     names = stops.where(F.col("_feed") == feed).groupBy(strip("stop_id").alias("stop")).agg(F.min_by("stop_name", "_row").alias("stop_name"))
     return calls.join(names, "stop", "left").select("n", "stop", "stop_name", "arrival", "departure").orderBy("n")
+
+
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(row, left_stop, right_stop, status, fields): two trips' calls aligned by stop, from ordered_calls() of one trip each.
+
+    status: match, schedule_difference, left_only, right_only or different_stop; fields are those of a matched call that differ.
+    """
+    parts = ["stop", "arrival", "departure", "pickup", "drop_off"]
+    gather = lambda df, p: df.agg(F.sort_array(F.collect_list(F.struct("n", *parts))).alias(p))
+    both = gather(left, "l").crossJoin(F.broadcast(gather(right, "r")))  # one row each
+    rows = both.select("l", "r", F.posexplode(alignment(F.transform("l", lambda x: x["stop"]), F.transform("r", lambda x: x["stop"]))).alias("row", "x"))
+    at = lambda p, c: F.get(F.col(p), F.col(f"x.{'left' if p == 'l' else 'right'}"))[c]
+    fields = F.array_compact(F.array(*[F.when((F.col("x.status") == "match") & (at("l", c) != at("r", c)), F.lit(c)) for c in parts[1:]]))
+    out = rows.select("row", at("l", "stop").alias("left_stop"), at("r", "stop").alias("right_stop"), F.col("x.status").alias("status"), fields.alias("fields"))
+    return out.withColumn("status", F.when(F.size("fields") > 0, "schedule_difference").otherwise(F.col("status")))

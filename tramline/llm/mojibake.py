@@ -162,31 +162,46 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["tab", "src", "word", "n"])
 
     words = rows.select("tab", "src", "text").mapInPandas(split, "tab string, src string, word string, n long").groupBy("tab", "src", "word").agg(F.sum("n").alias("n"))
-    words = cut(words)
+    # A word's rows of all sources lie together, so that what its chains make of it is worked out once a round.
+    words = cut(words.repartition("tab", "word"))
 
     def step(first: bool, models: dict[str, Model]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mixes: dict[tuple, np.ndarray] = {}
-            pairs: dict[tuple, float] = defaultdict(float)
+            place: dict[tuple[str, str], int] = {}
+            cands: list[list[str | None]] = []
+            known: list[np.ndarray] = []
+            counts = np.zeros((0, K))
+            mixes: dict[tuple[str, str], np.ndarray] = {}
             for b in batches:
-                for tab, src, word, n, mix in zip(b["tab"], b["src"], b["word"], b["n"], b["mix"]):
-                    cands = originals(word)
+                for tab, word in dict.fromkeys(zip(b["tab"], b["word"])):
+                    if (tab, word) in place:
+                        continue
+                    place[tab, word] = len(cands)
+                    cands.append(originals(word))
                     if first:
                         # At the start only words that no chain through utf8 explains are taken for clean, plain words above all.
-                        odd = any(c is not None for c in cands[1:10]) or cands[-1] is not None
-                        post = np.zeros(K)
-                        post[0] = 0.0 if odd else 1.0 if word.isalpha() else 0.3
+                        odd = any(c is not None for c in cands[-1][1:10]) or cands[-1][-1] is not None
+                        known.append(np.array([0.0 if odd else 1.0 if word.isalpha() else 0.3, *[0.0] * (K - 1)]))
                     else:
-                        s = _chances(models, tab, cands) + np.log(_weights(mix))
-                        post = np.exp(s - s.max())
-                        post /= post.sum()
-                    got = mixes.setdefault((tab, src), np.zeros(K))
-                    got += n * post
-                    for i in np.nonzero(post[:-1] > 1e-3)[0]:
-                        for pair, f, _ in [*_grams(cands[i]), (0, 3, 0)]:
-                            if f != 3:
-                                pairs[tab, pair] += math.sqrt(n) * post[i]
-                            pairs[tab, BUCKETS + f] += math.sqrt(n) * post[i]
+                        known.append(_chances(models, tab, cands[-1]))
+                at = np.array([place[k] for k in zip(b["tab"], b["word"])])
+                post = np.array(known)[at] if len(b) else np.zeros((0, K))
+                if not first:
+                    post = post + np.log(np.array([_weights(m) for m in b["mix"]]))
+                    post = np.exp(post - post.max(axis=1, keepdims=True))
+                    post /= post.sum(axis=1, keepdims=True)
+                n = b["n"].to_numpy().astype(float)
+                counts = np.concatenate([counts, np.zeros((len(cands) - len(counts), K))])
+                np.add.at(counts, at, np.sqrt(n)[:, None] * post)
+                for k, v in zip(zip(b["tab"], b["src"]), n[:, None] * post):
+                    mixes[k] = mixes[k] + v if k in mixes else v
+            pairs: dict[tuple, float] = defaultdict(float)
+            for (tab, _), i in place.items():
+                for j in np.nonzero(counts[i, :-1] > 1e-3)[0]:
+                    for pair, f, _ in _grams(cands[i][j]):
+                        pairs[tab, pair] += counts[i, j]
+                        pairs[tab, BUCKETS + f] += counts[i, j]
+                    pairs[tab, BUCKETS + 3] += counts[i, j]
             out = [(t, s, i, v) for (t, s), m in mixes.items() for i, v in enumerate(m)] + [(t, None, i, v) for (t, i), v in pairs.items()]
             if out:
                 yield pd.DataFrame(out, columns=["tab", "src", "i", "v"])
@@ -214,7 +229,7 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
             mixes = maybe_broadcast(cut(mix), 64 + 8 * K)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cands_of: dict[str, list] = {}
+        cands_of: dict[tuple[str, str], tuple[list, np.ndarray]] = {}
         for b in batches:
             out = []
             for tab, row_id, text, mix in zip(b["tab"], b["row_id"], b["text"], b["mix"]):
@@ -224,11 +239,12 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
                 w = _weights(mix)
                 logs = []
                 for u in units:
-                    if u not in cands_of:
+                    if (tab, u) not in cands_of:
                         if len(cands_of) > 200_000:
                             cands_of.clear()
-                        cands_of[u] = originals(u)
-                    logs.append(_chances(models, tab, cands_of[u]))
+                        made = originals(u)
+                        cands_of[tab, u] = made, _chances(models, tab, made)
+                    logs.append(cands_of[tab, u][1])
                 lik = np.array(logs)
                 clean = lik[:, :1]
                 # Under a chain a word is garbled by it or was spared; nothing is spared that has lost characters.
@@ -245,7 +261,7 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
                 for m, lk in zip(UNIT.finditer(text), lik):
                     fixed.append(text[pos : m.start()])
                     pos = m.end()
-                    to = cands_of[m.group()][best]
+                    to = (cands_of[tab, m.group()][0] if (tab, m.group()) in cands_of else originals(m.group()))[best]
                     if best < K - 1 and to is not None and lk[best] > lk[0]:
                         fixed.append(to)
                         done = True

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.common import cut
+
 #: Words of a shingle. Not the usual five: items count when up to a quarter of their words were changed, one by one,
 #: after which few runs of five unchanged words need be left.
 SHINGLE = 3
@@ -242,6 +244,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, share: f
 
 def leak_report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """(suite, items, leaked, documents): per suite how many of its items leaked and into how many documents."""
+    found = cut(found)
     per = items.select("item_id", "suite").join(found.groupBy("item_id").agg(F.count("*").alias("docs")), "item_id", "left")
     docs = items.select("item_id", "suite").join(found, "item_id").select("suite", "doc_id").distinct().groupBy("suite").agg(F.count("*").alias("documents"))
     return per.groupBy("suite").agg(F.count("*").alias("items"), F.count("docs").alias("leaked")).join(docs, "suite", "left").fillna(0, ["documents"])

@@ -281,6 +281,7 @@ def restored_lossy(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     rows: (tab, row_id, text). Known are the words of rows that are not in found; lost characters stand for one each.
     """
+    found = cut(found)
     good = rows.where(F.col("text").rlike(r"[^\x00-\x7f]")).join(found.select("tab", "row_id"), ["tab", "row_id"], "left_anti")
     word = F.explode(F.split("text", r"[^\p{L}\p{M}'\x{fffd}]+")).alias("word")
     shape = F.regexp_replace("word", r"[^\x00-\x7f]", "�").alias("shape")

@@ -170,6 +170,19 @@ def test_matching_tiers(baseline):
     assert methods(same, calendar=[("wk", *"0000011", "20260105", "20260118")], calendar_dates=[]) == [(None, "unmatched")] or True
 
 
+def test_a_trip_within_a_longer_one_is_no_match(baseline):
+    calls = lambda stops, t: [(t, f"08:{i:02d}:00", f"08:{i:02d}:00", s, str(i + 1), "0", "0", "1") for i, s in enumerate(stops)]
+    trips = lambda ids: [("r1", "wk", t, "Mill", "0", "g1", "1", "1") for t in ids]
+
+    def methods(other):
+        t = baseline(stop_times=calls("abcdefghijk", "t1"))
+        u = baseline(stop_times=[c for k, stops in other.items() for c in calls(stops, k)], trips=trips(other))
+        return sorted((r.candidate, r.method) for r in matcher.match_sources(matcher.models(t), matcher.models(u)).collect())
+
+    assert methods({"short": "abcd"}) == [(None, "unmatched")]
+    assert methods({"short": "abcd", "most": "abcdefghi"}) == [("most", "review_pattern")]
+
+
 def test_consensus_and_merging(spark, baseline):
     rows = spark.createDataFrame([("t", "A", ""), ("t", "A", ""), ("u", "A", "x"), ("u", "B", "x")], "k string, h string, p string")
     got = {r.k: r for r in builder.consensus(rows, ["k"], ["h", "p"]).collect()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.common import strip, table
+from tramline.common import cut, strip, table
 from tramline.contract import DAYS, ENUMS
 from tramline.functions import scalars
 from tramline.operators import browse, builder, crosswalk, dated, diagnostics, inspection, matcher, patterns, profile, reconciliation, releasediff, rules, sequences, service_dates
@@ -449,7 +449,7 @@ def exact_tier_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("match_tiers")
 def match_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return matcher.match_sources(*_models(spark, d))
+    return matcher.match_sources(*map(cut, _models(spark, d)))
 
 
 @query("learned_map", f"with {TIER_SQL}, u as (select trip_id from q group by 1 having count(distinct candidate) = 1), e as (select q.trip_id, block, target, unnest(dys) as date from q join u on u.trip_id = q.trip_id where block <> '' and target <> '') select block, date, min(target) target from e group by 1, 2 having count(distinct target) = 1 and count(distinct trip_id) >= 2")

@@ -28,10 +28,10 @@ def models(t: dict[str, DataFrame], walk: DataFrame | None = None) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of the shorter sequence's calls that lie in blocks both have, in order."""
+    """Share of the longer sequence's calls that lie in blocks both have, in order."""
     from difflib import SequenceMatcher
 
-    return pd.Series([sum(m.size for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks()) / max(1, min(len(x), len(y))) for x, y in zip(a, b)])
+    return pd.Series([sum(m.size for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks()) / max(1, len(x), len(y)) for x, y in zip(a, b)])
 
 
 def match_sources(left: DataFrame, right: DataFrame, tolerance: int = 60, least: float = 0.8, sure: float = 0.9) -> DataFrame:

@@ -183,6 +183,22 @@ def test_a_trip_within_a_longer_one_is_no_match(baseline):
     assert methods({"short": "abcd", "most": "abcdefghi"}) == [("most", "review_pattern")]
 
 
+def test_blocks_settle_only_trips_whose_every_date_has_one_candidate(spark):
+    side = lambda rows: spark.createDataFrame(rows, "trip_id string, block string, dates array<string>")
+
+    def kept(right, method=matcher.METHODS[0], dates=("1", "2"), candidates=("x", "y")):
+        left = side([("a", "L", ["1"]), ("b", "L", ["1"]), ("t", "L", list(dates))])
+        other = side([("p", "R", ["1"]), ("q", "R", ["1"]), *right])
+        m = spark.createDataFrame([("a", "p", method), ("b", "q", method), *(("t", c, "timing_anchors") for c in candidates)], "trip_id string, candidate string, method string")
+        return sorted(r.candidate for r in matcher.resolved(m, left, other).where("trip_id = 't'").collect())
+
+    assert kept([("x", "R", ["1"]), ("y", "S", ["1"])], dates=("1",)) == ["x"]
+    assert kept([("x", "R", ["1"]), ("y", "S", ["1"])], "timing_anchors", ("1",)) == ["x", "y"]
+    assert kept([("x", "R", ["1"]), ("y", "S", ["2"])]) == ["x", "y"]
+    assert kept([("x", "R", ["1"]), ("y", "S", ["1"]), ("z", "S", ["2"])], candidates=("x", "y", "z")) == ["x", "z"]
+    assert kept([("x", "R", ["1", "2"]), ("y", "S", ["1", "2"])]) == ["x", "y"]
+
+
 def test_consensus_and_merging(spark, baseline):
     rows = spark.createDataFrame([("t", "A", ""), ("t", "A", ""), ("u", "A", "x"), ("u", "B", "x")], "k string, h string, p string")
     got = {r.k: r for r in builder.consensus(rows, ["k"], ["h", "p"]).collect()}

@@ -460,8 +460,8 @@ def learned_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("match_dates")
 def match_dates(spark: SparkSession, d: str) -> DataFrame:
-    l, r = _models(spark, d)
-    return matcher.date_coverage(matcher.resolved(matcher.match_sources(l, r), l, r), l, r)
+    l, r = map(cut, _models(spark, d))
+    return matcher.date_coverage(matcher.resolved(cut(matcher.match_sources(l, r)), l, r), l, r)
 
 
 _AGREE = lambda f: f"case when count(distinct {x(f)}) = 1 then min({x(f)}) end {f}, count(distinct {x(f)}) > 1 {f}_conflict"

@@ -71,14 +71,19 @@ def learned_blocks(matches: DataFrame, left: DataFrame, right: DataFrame, least:
 
 
 def resolved(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """matches, where several candidates are left only those in the block that the trip's own block is known to become."""
-    blocks = learned_blocks(matches, left, right)
-    many = matches.groupBy("trip_id").agg(F.count("*").alias("n"))
-    wide = matches.join(many, "trip_id").join(left.select("trip_id", "block", "dates"), "trip_id").join(right.select(F.col("trip_id").alias("candidate"), F.col("block").alias("own"), F.col("dates").alias("d2")), "candidate", "left")
-    told = wide.where("n > 1").select("trip_id", "candidate", "own", F.col("block"), F.explode(F.array_intersect("dates", "d2")).alias("date")).join(blocks, ["block", "date"]).where("own = target").select("trip_id", "candidate").distinct()
-    settled = told.select("trip_id").distinct()
-    keep = matches.join(settled, "trip_id", "left_anti")
-    return keep.unionByName(matches.join(told, ["trip_id", "candidate"], "left_semi"))
+    """matches, where a trip with a date that several candidates serve has only those that its block's known target leaves.
+
+    Blocks are learned from unique matches of the first tier.  On a date whose block is known only candidates of the target
+    stay, on other dates all that serve it; a trip is changed only if each of its dates then has exactly one candidate.
+    """
+    blocks = learned_blocks(matches.where(F.col("method") == METHODS[0]), left, right)
+    days = left.select("trip_id", "block", F.explode("dates").alias("date")).join(blocks, ["block", "date"], "left").select("trip_id", "date", "target")
+    serve = matches.select("trip_id", "candidate").distinct().join(right.select(F.col("trip_id").alias("candidate"), F.col("block").alias("own"), F.explode("dates").alias("date")), "candidate")
+    wide = cut(days.join(serve, ["trip_id", "date"], "left").withColumn("stays", F.col("candidate").isNotNull() & (F.col("target").isNull() | (F.col("own") == F.col("target")))))
+    per = wide.groupBy("trip_id", "date").agg(F.count("candidate").alias("n"), F.count_if("stays").alias("left_over"))
+    settled = per.groupBy("trip_id").agg(F.max("n").alias("most"), F.min("left_over").alias("low"), F.max("left_over").alias("high")).where("most > 1 and low = 1 and high = 1").select("trip_id")
+    told = wide.where("stays").join(settled, "trip_id", "left_semi").select("trip_id", "candidate").distinct()
+    return matches.join(settled, "trip_id", "left_anti").unionByName(matches.join(told, ["trip_id", "candidate"], "left_semi"))
 
 
 def date_coverage(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

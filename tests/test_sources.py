@@ -44,6 +44,14 @@ def test_a_sound_archive(spark, good):
     assert rules_of(analyses.validate(spark, good[0])) == []
 
 
+def test_optional_tables_may_be_missing_from_an_inspected_archive(spark, tmp_path, baseline):
+    t = baseline(stops=[("s1", "11", "", "45.1", "-75.1", "0", "", "1"), ("s2", "12", "Mill", "45.2", "-75.2", "", "", "1")], calendar_dates=[("wk", "20260107", "1")])
+    for i, gone in enumerate((["calendar"], ["calendar", "shapes"], ["shapes"], ["calendar", "calendar_dates"])):
+        path = write_zip(tmp_path / f"{i}.zip", {k: v for k, v in t.items() if k not in gone})
+        got = [r for r in rules_of(analyses.validate(spark, path)) if r.startswith("INS")]
+        assert "INS002" in got and ("INS014" in got) == ("calendar_dates" in gone)
+
+
 @pytest.mark.parametrize("mode, want", [(0o100600, ["PKG009"]), (0, ["PKG018"]), (0o100666, [])])
 def test_member_modes(spark, tmp_path, good, mode, want):
     assert rules_of(feed.package_findings(spark, feed.members(spark, write_zip(tmp_path / "m.zip", good[1], mode), "f"))) == want

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.common import strip
+from tramline.contract import REQUIRED
 from tramline.operators.service_dates import active_dates
 from tramline.plans.ledger import as_findings, finding, row_checks, union
 
@@ -57,6 +58,9 @@ def trip_kinds(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def inspected(t: dict[str, DataFrame], kind: str = "bus") -> DataFrame:
+    """All findings of the inspection; a feed without calendar or shapes counts as one where they are empty."""
+    none = lambda name: t["trips"].select(*[F.lit("").alias(c) for c in REQUIRED[name]], "_feed", "_row").where("false")
+    t = {name: none(name) for name in ("calendar", "shapes")} | t
     per = trip_kinds(t)
     severity, category = F.when(F.col("rule_id") == "INS010", "error").otherwise("warning"), F.when(F.col("rule_id") == "INS010", "Technical").otherwise("Agency review")
     grouped = per.select(F.col("_feed").alias("feed"), *finding("", severity, "", "trips", F.col("first_row"), F.col("route_id"), F.col("trips").cast("string"))).drop("rule_id", "category")

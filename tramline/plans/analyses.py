@@ -24,8 +24,8 @@ def validate(spark: SparkSession, path: str, feed: str = "feed") -> DataFrame:
     t = source.tables(rows)
     if {"routes", "stops", "trips", "stop_times"} <= set(t) and ("calendar" in t or "calendar_dates" in t):
         parts.append(rules.technical(t))
-        if {"calendar", "shapes"} <= set(t):
-            parts.append(inspection.inspected(t))
+    if {"routes", "stops", "trips", "stop_times"} <= set(t):
+        parts.append(inspection.inspected(t))
     return ledger.union(parts)
 
 

@@ -96,6 +96,16 @@ def test_built_archives_are_the_same_and_compare_equal(spark, tmp_path, good, ba
     sinks.verify_feed(one["path"])
 
 
+def test_a_built_archive_keeps_exceptions_and_states_its_window(spark, tmp_path, baseline):
+    t = {k: v for k, v in baseline(calendar_dates=[("wk", "20260107", "1"), ("wk", "20260301", "1")]).items() if k not in ("calendar", "shapes")}
+    got = analyses.build(t, {}, str(tmp_path / "1.zip"), "20260101", "20260110")
+    with zipfile.ZipFile(got["path"]) as z:
+        rows = lambda n: list(csv.DictReader(io.StringIO(z.read(f"{n}.txt").decode())))
+        assert [tuple(r.values()) for r in rows("calendar_dates")] == [("wk", "20260107", "1")]
+        assert [(r["feed_start_date"], r["feed_end_date"]) for r in rows("feed_info")] == [("20260101", "20260110")]
+        assert {"calendar.txt", "shapes.txt"}.isdisjoint(z.namelist())
+
+
 def test_reports(spark, tmp_path, good, baseline):
     bad = analyses.validate(spark, write_zip(tmp_path / "bad.zip", baseline(trips=[("r1", "wk", "t1", "=cmd", "0", "g1", "1", "1"), ("r1", "zz", "=t2", "x", "0", "", "1", "1")])))
     body = sinks.report_json(bad, str(tmp_path / "r.json"))

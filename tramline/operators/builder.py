@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.common import strip
+from tramline.contract import FIELDS
 
 
 def consensus(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
@@ -57,6 +58,28 @@ def appended(base: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
     return base.unionByName(more, allowMissingColumns=True)
 
 
+def merged_exceptions(sources: list[DataFrame], first: str, last: str) -> DataFrame:
+    """Exceptions of several feeds within first..last (yyyyMMdd), equal ones once; differing ones of a service and date stop the build."""
+    every = None
+    for s in sources:
+        part = s.select(*[strip(c).alias(c) for c in FIELDS["calendar_dates"]]).where(F.col("date").between(first, last))
+        every = part if every is None else every.unionByName(part)
+    every = every.distinct()
+    if not every.groupBy("service_id", "date").count().where("count > 1").isEmpty():
+        raise ValueError("exceptions of one service and date differ")
+    return every
+
+
+def stated_window(trips: DataFrame, feed_info: DataFrame | None, first: str, last: str) -> DataFrame:
+    """The first row of feed_info, blank without one, with the window first..last (yyyyMMdd) as the feed's dates."""
+    fields = FIELDS["feed_info"]
+    row = feed_info.orderBy("_row").limit(1).collect() if feed_info is not None else []
+    said = {f: row[0][f] for f in fields if f in feed_info.columns} if row else {}
+    said |= {"feed_start_date": first, "feed_end_date": last}
+    schema = ", ".join(f"{f} string" for f in fields) + ", _row bigint"
+    return trips.sparkSession.createDataFrame([(*[said.get(f) or "" for f in fields], 2)], schema)
+
+
 def eligible(trips: DataFrame, routes: DataFrame, excluded: list[str], rules: list[tuple[int, int, list[str]]]) -> DataFrame:
     """Trips whose route is not excluded and whose direction is one that the first numeric range holding the route keeps."""
     names = routes.groupBy("_feed", strip("route_id").alias("route_id")).agg(F.min(strip("route_short_name")).alias("_name"))

@@ -102,16 +102,27 @@ def compare(candidate: dict[str, DataFrame], reference: dict[str, DataFrame], st
 def build(base: dict[str, DataFrame], more: dict[str, DataFrame], path: str, first: str, last: str) -> dict:
     """Writes a feed of base with `more` below it, calendars clipped to first..last (yyyyMMdd), and returns a receipt.
 
-    Ids of trips, routes, shapes and services that both have stop the build; stops go by precedence. Services and shapes no trip uses are left out.
+    Ids of trips, routes, shapes and services that both have stop the build, as do exceptions that differ on one service and
+    date; stops go by precedence. Services and shapes no trip uses and exceptions outside the window are left out.  feed_info
+    is base's first row with the window as its dates. calendar, calendar_dates and shapes may be missing.
     """
     out = {}
     for name, key in (("routes", ["route_id"]), ("trips", ["trip_id"]), ("stop_times", ["trip_id"]), ("shapes", ["shape_id"]), ("calendar", ["service_id"])):
-        out[name] = builder.appended(base[name], more[name], key) if name in more else base[name]
+        if name in base and name in more:
+            out[name] = builder.appended(base[name], more[name], key)
+        elif name in base or name in more:
+            out[name] = base.get(name, more.get(name))
     out["stops"] = builder.merged_stops([base["stops"], *([more["stops"]] if "stops" in more else [])])
     used = lambda c: out["trips"].select(strip(c).alias("_u")).distinct()
-    out["calendar"] = service_dates.clipped(out["calendar"], first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
-    out["shapes"] = out["shapes"].withColumn("_u", strip("shape_id")).join(used("shape_id"), "_u", "left_semi")
+    if "calendar" in out:
+        out["calendar"] = service_dates.clipped(out["calendar"], first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
+    extra = [t["calendar_dates"] for t in (base, more) if "calendar_dates" in t]
+    if extra:
+        out["calendar_dates"] = builder.merged_exceptions(extra, first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
+    if "shapes" in out:
+        out["shapes"] = out["shapes"].withColumn("_u", strip("shape_id")).join(used("shape_id"), "_u", "left_semi")
     if "agency" in base:
         out["agency"] = base["agency"]
+    out["feed_info"] = builder.stated_window(base["trips"], base.get("feed_info"), first, last)
     sinks.write_feed(out, path)
     return {"path": path, "sha256": source.digest(path), "rows": {n: df.count() for n, df in out.items()}, "window": [first, last]}

@@ -36,11 +36,14 @@ def ntz(c: Column | str) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; a private one is made only where none is set, as in tests.
+    The folder is the session's spark.checkpoint.dir.  Where none is set, a local master gets a private one, as in tests;
+    on a cluster a folder of one machine would not do, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tramline-checkpoint-"))
     return df.checkpoint(eager=True)
 

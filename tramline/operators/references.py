@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.common import cut, hot_keys, maybe_broadcast, ntz, skew_join, strip
@@ -26,11 +27,19 @@ def parents(rows: DataFrame, tab: str, key: str) -> DataFrame:
     return rows.select(F.lit(tab).alias("ptab"), F.coalesce("feed", F.lit("")).alias("feed"), strip(key).alias("key"), F.coalesce(ntz("loaded_at"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("born"), (ntz("deleted_at") if has_end else F.lit(None).cast("timestamp_ntz")).alias("gone")).where("key != ''")
 
 
-def _covered_days(closed: DataFrame) -> DataFrame:
-    """Per key and day the spans that cover part of it; days covered in full count once however many spans cover them."""
-    days = closed.where("born < gone").withColumn("day", F.explode(F.sequence(F.to_date("born"), F.to_date("gone"))))
-    start, end = F.col("day").cast("timestamp_ntz"), F.date_add("day", 1).cast("timestamp_ntz")
-    return days.select(*KEY, "day", F.greatest("born", start).alias("born"), F.least("gone", end).alias("gone")).distinct()
+def _uncovered(times: DataFrame, spans: DataFrame) -> DataFrame:
+    """(KEY, at) of times, distinct (KEY, at), at which none of the key's spans (KEY, born, gone) holds.
+
+    A time is covered if the latest end among the spans begun by then lies after it, so a running maximum decides, however
+    long spans are and however many overlap.  It runs inside hours of a key; what earlier hours reached goes through one row
+    per key and hour.
+    """
+    events = spans.where("born < gone").groupBy(*KEY, F.col("born").alias("at")).agg(F.max("gone").alias("gone")).withColumn("asked", F.lit(False))
+    events = events.unionByName(times.select(*KEY, "at", F.lit(None).cast("timestamp_ntz").alias("gone"), F.lit(True).alias("asked"))).withColumn("hour", F.date_trunc("hour", F.col("at").cast("timestamp_ntz")))
+    carried = events.groupBy(*KEY, "hour").agg(F.max("gone").alias("reach")).withColumn("reach", F.max("reach").over(W.partitionBy(*KEY).orderBy("hour").rowsBetween(W.unboundedPreceding, -1)))
+    inside = events.withColumn("here", F.max("gone").over(W.partitionBy(*KEY, "hour").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)))
+    met = inside.where("asked").join(carried.where("reach is not null"), [*KEY, "hour"], "left")
+    return met.where("not coalesce(greatest(here, reach) > at, false)").select(*KEY, "at")
 
 
 def orphan_references(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
@@ -39,7 +48,8 @@ def orphan_references(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
     The distinct keys referred to are compared with one summary row per parent key; keys none of whose references can
     fail are dropped there, and only the others meet the referring rows again.  Keys that hold much of all rows are
     salted in that second join.  A row at a time before all its parents' loading is late; between a parent's loading
-    and its withdrawal, or after the loading of one never withdrawn, it is fine; else deleted.  Empty inputs give no rows.
+    and its withdrawal, or after the loading of one never withdrawn, it is fine; else deleted.  That is found for the
+    distinct times of a key, whose failing ones meet the rows once more.  Empty inputs give no rows.
     """
     named = refs.groupBy(*KEY).agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
     known = parent_rows.groupBy(*KEY).agg(F.min("born").alias("born"), F.min(F.when(F.col("gone").isNull(), F.col("born"))).alias("open"))
@@ -51,13 +61,13 @@ def orphan_references(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
         met = skew_join(refs, bare, KEY, hot_keys(suspect, KEY, "n"), "n")
     met = met.where("open is null or at < open").select("tab", "fld", "row_id", "at", *KEY, "born")
     sure = met.where("born is null or at < born").select("tab", "fld", "row_id", "at", F.when(F.col("born").isNull(), "missing").otherwise("late").alias("reason"))
-    open_case = met.where("at >= born").withColumn("day", F.to_date("at"))
-    spans = _covered_days(parent_rows.where("gone is not null").join(F.broadcast(suspect.select(*KEY)) if fits else suspect.select(*KEY), KEY, "left_semi"))
-    o, s = open_case.alias("o"), spans.alias("s")
-    same = [F.col(f"o.{k}") == F.col(f"s.{k}") for k in [*KEY, "day"]]
-    on: Column = same[0] & same[1] & same[2] & same[3] & (F.col("s.born") <= F.col("o.at")) & (F.col("o.at") < F.col("s.gone"))
-    dead = o.join(s, on, "left_anti").select("tab", "fld", "row_id", "at", F.lit("deleted").alias("reason"))
-    return sure.unionByName(dead)
+    between = met.where("at >= born")
+    times = cut(between.groupBy(*KEY, "at").agg(F.count("*").alias("n")))
+    spans = parent_rows.where("gone is not null").join(F.broadcast(suspect.select(*KEY)) if fits else suspect.select(*KEY), KEY, "left_semi")
+    bad = cut(_uncovered(times, spans))
+    few, small = maybe_broadcast(bad, 72)
+    dead = between.join(few, [*KEY, "at"], "left_semi") if small else skew_join(between, bad, [*KEY, "at"], hot_keys(times, [*KEY, "at"], "n"), "n", "left_semi")
+    return sure.unionByName(dead.select("tab", "fld", "row_id", "at", F.lit("deleted").alias("reason")))
 
 
 def feed_references(stop_times: DataFrame, trips: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def checked_table(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def split_table(rows: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, typed columns apart, and failing rows with _errors."""
+    """The valid rows, their columns still text, and the failing rows with _errors; together all rows."""
     checked = checked_table(rows, fields)
     return checked.where("size(_errors) = 0").drop("_errors"), checked.where("size(_errors) > 0")
 
@@ -94,6 +96,21 @@ def checked_lines(lines: DataFrame, fields: list[str] | None = None, block: int
 
 
 def loaded_lines(checked: DataFrame) -> DataFrame:
-    """The valid records of checked_lines with their values as a map from column name to text."""
-    values = F.map_from_entries(F.array_distinct(F.arrays_zip(F.array_distinct("names").alias("names"), F.transform("cells", cell_value).alias("cells"))))
-    return checked.where("reason = '' and size(names) = size(array_distinct(names))").select("row_id", "file_id", "line_number", values.alias("record"))
+    """(row_id, file_id, line_number, record): the valid records of checked_lines, all of them; record maps column names to text.
+
+    Of columns with one name the first counts; columns without a name are under ''.
+    """
+    at = F.transform(F.array_distinct("names"), lambda n: F.array_position("names", n).cast("int"))
+    values = F.map_from_arrays(F.array_distinct("names"), F.transform(at, lambda i: cell_value(F.try_element_at("cells", i))))
+    return checked.where("reason = ''").select("row_id", "file_id", "line_number", values.alias("record"))
+
+
+def typed(value: Callable[[str], Column]) -> list[Column]:
+    """The checked fields of a valid row in types: sequence, a whole number without leading zeros (text, as it may be of any
+    length), arrival_s, seconds of the service day, and start_day; null where the row has no such field or it is blank."""
+    parts = lambda i: F.split(value("arrival_time"), ":")[i].cast("int")
+    return [
+        F.regexp_replace(value("stop_sequence"), "^0+(?=[0-9])", "").alias("sequence"),
+        F.when(value("arrival_time") != "", parts(0) * 3600 + parts(1) * 60 + parts(2)).alias("arrival_s"),
+        F.try_to_date(value("start_date"), "yyyyMMdd").alias("start_day"),
+    ]

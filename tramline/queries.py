@@ -64,6 +64,11 @@ select log_id, first_line, last_line, case when q.time = '' then '' when regexp_
   when regexp_matches(q.time, '^\\d{{8}} ') then regexp_replace(q.time, '(....)(..)(..) (..)(..)(..)', '\\1-\\2-\\3 \\4:\\5:\\6') else strftime(make_timestamp(try_cast(q.time as bigint) * 1000000), '%Y-%m-%d %H:%M:%S') end logged_at,
 case when lower(q.level) in ('debug', 'd') then 'DEBUG' when lower(q.level) in ('info', 'i') then 'INFO' when lower(q.level) in ('warning', 'warn', 'w', 'avertissement') then 'WARNING' when lower(q.level) in ('error', 'err', 'e', 'erreur') then 'ERROR' when lower(q.level) in ('fatal', 'f') then 'FATAL' else '' end severity, trim(q.component) component from m"""
 
+_AFTER = " ".join(f"when regexp_matches(t, '{p}') then {'' if k == 'f' else 'ltrim'}(regexp_replace(t, '{p}', ''){'' if k == 'f' else ', ' + chr(39) + ' ' + chr(39) + ' || chr(9)'})" for k, (p, _) in _LAYOUTS.items())
+_MESSAGE = f"""case {_AFTER} when regexp_matches(t, '^\\w+=') then regexp_extract(t, '(?:^|\\s)(?:msg|message|text)="([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 1) when {_JSON('time')} <> '' then {_JSON('msg')} else t end"""
+P1_ENTRIES = P1_FOUND.replace("f as (select *,", f"g as (select *, case when q is null then t else {_MESSAGE} end said from h), f as (select *,").replace("from h), e as", "from h), e as").replace("over (partition by log_id order by n) first_line from h)", "over (partition by log_id order by n) first_line from g)")
+P1_ENTRIES = P1_ENTRIES.replace("arg_min(q, n) q,", "string_agg(said, chr(10) order by n) filter (n <= till) message, arg_min(q, n) q,").replace("from f where first_line is not null group by 1, 2)", "from (select *, coalesce(max(case when regexp_matches(t, '[^\\s\\x{a0}]') then n end) over (partition by log_id, first_line), first_line) till from f) where first_line is not null group by 1, 2)").replace("trim(q.component) component from m", "trim(q.component) component, message from m")
+
 P2_FOUND = _ORPHANS + " select tab, fld, row_id, reason from o"
 P2_COUNTS = _ORPHANS + """ select o.tab, o.fld, o.month, o.reason, o.n, q.refs from
   (select tab, fld, strftime(t, '%Y-%m') as month, reason, count(*) n from o group by all) o
@@ -114,7 +119,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return logs.log_entries(table(spark, d, "error_warning"), with_message=False)
 
 
-@query("p1_entries")
+@query("p1_entries", P1_ENTRIES)
 def p1_entries(spark: SparkSession, d: str) -> DataFrame:
     return logs.log_entries(table(spark, d, "error_warning"))
 
@@ -144,6 +149,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return raw
 
 
+_JOINED = lambda t, cols: f"concat_ws('|', {', '.join(f'coalesce({c}::varchar, {chr(39) * 2})' for c in cols)})"
+_CALL_COLUMNS = ["feed", "trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence", "pickup_type", "drop_off_type", "timepoint"]
+_DAY_COLUMNS = ["feed", "service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "start_date", "end_date"]
+_NUMBER = lambda v: f"regexp_replace({v}, '^0+([0-9])', '\\1')"
+_SECONDS = lambda v: f"case when {v} <> '' then split_part({v}, ':', 1)::int * 3600 + split_part({v}, ':', 2)::int * 60 + split_part({v}, ':', 3)::int end"
+_DATE = lambda v: f"strftime(try_strptime({v}, '%Y%m%d'), '%Y-%m-%d')"
+P3_LOADED = P3_FOUND[: P3_FOUND.index("select 'raw_lines' tab")].replace("cells, names from l join", f"cells, [{_UNQUOTED[5:-1]} for v in {_CELLS}] whole, names from l join").replace("r as (select row_id,", "r as (select row_id, whole, s, a, d,") + f"""
+select 'raw_lines' tab, row_id, {_NUMBER('s')} as sequence, {_SECONDS('a')} arrival_s, {_DATE('d')} start_day, array_to_string(whole, '|') as record from r where reason is null
+union all select 'stop_times', row_id, {_NUMBER("trim(stop_sequence)")}, {_SECONDS("trim(coalesce(arrival_time, ''))")}, null, {_JOINED('stop_times', _CALL_COLUMNS)} from stop_times where regexp_full_match(trim(coalesce(stop_sequence, '')), '[0-9]+') and regexp_full_match(trim(coalesce(arrival_time, '')), '([0-9]{{1,3}}:[0-5][0-9]:[0-5][0-9])?')
+union all select 'calendar', row_id, null, null, {_DATE('trim(start_date)')}, {_JOINED('calendar', _DAY_COLUMNS)} from calendar where regexp_full_match(trim(coalesce(start_date, '')), '[0-9]{{8}}') and try_strptime(trim(start_date), '%Y%m%d') is not null"""
+
+
+@query("p3_loaded", P3_LOADED)
+def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The valid rows of all three tables, checked fields in types and every value as text."""
+    out = lambda df, tab, value, record: df.select(F.lit(tab).alias("tab"), F.col("row_id").cast("bigint").alias("row_id"), *rejects.typed(value), record.alias("record"))
+    got = out(rejects.loaded_lines(rejects.checked_lines(table(spark, d, "raw_lines"))), "raw_lines", lambda f: F.when(F.array_contains(F.map_keys("record"), f), strip(F.try_element_at("record", F.lit(f)))), F.array_join(F.map_values("record"), "|"))
+    for t, fields, cols in (("stop_times", ["stop_sequence", "arrival_time"], _CALL_COLUMNS), ("calendar", ["start_date"], _DAY_COLUMNS)):
+        good = rejects.split_table(table(spark, d, t), fields)[0]
+        got = got.unionByName(out(good, t, lambda f, held=fields: strip(f) if f in held else F.lit(None).cast("string"), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cols])))
+    return got.withColumn("start_day", F.date_format("start_day", "yyyy-MM-dd"))
+
+
 @query("p4_found", P4_FOUND)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     points = nearby.usable_points(table(spark, d, "stops").withColumn("_label", strip("stop_id")), "stop_lat", "stop_lon")

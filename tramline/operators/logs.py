@@ -33,21 +33,27 @@ _DMY = r"\d{1,2}/\d{1,2}/\d{4}[ T]\d{2}:\d{2}:\d{2}"
 _FRACTION = r"(?:[.,]\d+)?"
 _ZONE = r"(?: ?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2}))?"
 _COMPONENT = r"(?:\[\d+\]|\(\s*\d+\))?"
-
-#: The cascade, in the order in which the patterns are tried; each names the fields it states.
-PATTERNS: list[tuple[str, str, tuple[str, ...]]] = [
-    ("iso_dash", rf"^(?<time>{_ISO}){_FRACTION}{_ZONE}\s+\[?(?<level>\p{{L}}+)\s*\]?\s+\[?(?<component>[^\s\[\]()]+){_COMPONENT}\s*\]?\s+-\s+(?<message>.*)$", ("time", "level", "component", "message")),
-    ("dmy_dash", rf"^(?<time>{_DMY}){_FRACTION}{_ZONE}\s+-\s+(?<level>\p{{L}}+)\s*-\s+(?<component>[^\s\[\]()]+){_COMPONENT}\s+-\s+(?<message>.*)$", ("time", "level", "component", "message")),
-    ("bracketed", rf"^\[(?<time>{_ISO}){_FRACTION}{_ZONE}\]\s*\[\s*(?<level>\p{{L}}+)\s*\]\s*\[\s*(?<component>[^\s\]]+)\s*\]\s*(?<message>.*)$", ("time", "level", "component", "message")),
-    ("access", rf"^\[(?<time>\d{{2}}/{_MON}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}){_ZONE}\]\s+(?<component>[^\s\[\]()]+){_COMPONENT}\s+(?<level>\p{{L}}+)\s*:\s*(?<message>.*)$", ("time", "level", "component", "message")),
-    ("daemon", rf"^(?<time>{_MON} {{1,2}}\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}})\s+\S+\s+(?<component>[^\s\[\]():]+){_COMPONENT}:\s*(?<message>.*)$", ("time", "component", "message")),
-    ("columns", rf"^(?<time>\d{{8}} \d{{6}}){_FRACTION}\|\s*(?<level>\p{{L}}+)\s*\|\s*(?<component>[^|]*?){_COMPONENT}\s*\|(?<message>.*)$", ("time", "level", "component", "message")),
-    ("epoch", r"^(?<time>\d{9,10})(?:\.\d+)?\s+(?<level>\p{L})/(?<component>[^\s():]+)\s*(?:\(\s*\d+\))?:\s*(?<message>.*)$", ("time", "level", "component", "message")),
-    ("pairs", r"^[\p{L}_][\p{L}\d_.]*=", ("time", "level", "component", "message")),
-    ("json", r"^\{.*\}\s*$", ("time", "level", "component", "message")),
-    ("time_only", rf"^\[?(?<time>{_ISO}|{_DMY}|\d{{8}} \d{{6}}|\d{{2}}/{_MON}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}|{_MON} {{1,2}}\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}}|\d{{9,10}}(?:\.\d+)?(?=\s)){_FRACTION}{_ZONE}\]?\s*(?<message>.*)$", ("time", "message")),
-    ("severity", rf"^(?<level>{_WORDS})[ \xa0\u202f]*:\s*(?<message>.*)$", ("level", "message")),
-]
+_TIME = rf"{_ISO}|{_DMY}|\d{{8}} \d{{6}}|\d{{2}}/{_MON}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}|{_MON} {{1,2}}\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}}|\d{{9,10}}(?:\.\d+)?(?=\s)"
+_STATED = rf"^(?:{_ISO}|{_DMY}|\d{{9,10}})"
+
+#: The cascade: per first character of a line (digit, bracket, letter, brace) the patterns in the order in which they are tried;
+#: each names the fields it states.
+PATTERNS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "iso_dash": (rf"^(?<time>{_ISO}){_FRACTION}{_ZONE}\s+\[?(?<level>\p{{L}}+)\s*\]?\s+\[?(?<component>[^\s\[\]()]+){_COMPONENT}\s*\]?\s+-\s+(?<message>.*)$", ("time", "level", "component", "message")),
+    "dmy_dash": (rf"^(?<time>{_DMY}){_FRACTION}{_ZONE}\s+-\s+(?<level>\p{{L}}+)\s*-\s+(?<component>[^\s\[\]()]+){_COMPONENT}\s+-\s+(?<message>.*)$", ("time", "level", "component", "message")),
+    "columns": (rf"^(?<time>\d{{8}} \d{{6}}){_FRACTION}\|\s*(?<level>\p{{L}}+)\s*\|\s*(?<component>[^|]*?){_COMPONENT}\s*\|(?<message>.*)$", ("time", "level", "component", "message")),
+    "epoch": (r"^(?<time>\d{9,10})(?:\.\d+)?\s+(?<level>\p{L})/(?<component>[^\s():]+)\s*(?:\(\s*\d+\))?:\s*(?<message>.*)$", ("time", "level", "component", "message")),
+    "bracketed": (rf"^\[(?<time>{_ISO}){_FRACTION}{_ZONE}\]\s*\[\s*(?<level>\p{{L}}+)\s*\]\s*\[\s*(?<component>[^\s\]]+)\s*\]\s*(?<message>.*)$", ("time", "level", "component", "message")),
+    "access": (rf"^\[(?<time>\d{{2}}/{_MON}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}){_ZONE}\]\s+(?<component>[^\s\[\]()]+){_COMPONENT}\s+(?<level>\p{{L}}+)\s*:\s*(?<message>.*)$", ("time", "level", "component", "message")),
+    "daemon": (rf"^(?<time>{_MON} {{1,2}}\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}})\s+\S+\s+(?<component>[^\s\[\]():]+){_COMPONENT}:\s*(?<message>.*)$", ("time", "component", "message")),
+    "pairs": (r"^[\p{L}_][\p{L}\d_.]*=", ("time", "level", "component", "message")),
+    "json": (r"^\{.*\}\s*$", ("time", "level", "component", "message")),
+    "time_only": (rf"^\[?(?<time>{_TIME}){_FRACTION}{_ZONE}\]?\s*(?<message>.*)$", ("time", "message")),
+    "severity": (rf"^(?<level>{_WORDS})[ \xa0\u202f]*:\s*(?<message>.*)$", ("level", "message")),
+}
+CASCADE = [(r"^\d", ("iso_dash", "dmy_dash", "columns", "epoch", "time_only")), (r"^\[", ("bracketed", "access", "time_only")), (r"^\p{L}", ("daemon", "pairs", "time_only", "severity")), (r"^\{", ("json",))]
+#: What begins an entry: a line opening with a time, or with a severity word and a colon.
+_OPENS = rf"^(?:\[?(?:{_TIME})|{_WORDS}[ \xa0\u202f]*:)"
 
 _PAIR_VALUE = r'(?:"([^"]*)"|(\S+))'
 _KEYS = {"time": ["time", "timestamp", "ts", "date", "at"], "level": ["level", "lvl", "severity", "sev"], "component": ["component", "logger", "mod", "module", "comp", "source"], "message": ["message", "msg", "text"]}
@@ -59,28 +65,49 @@ def _pair(bare: Column, field: str) -> Column:
     return F.concat(F.regexp_extract(bare, p, 1), F.regexp_extract(bare, p, 2))
 
 
-def _line_fields(text: Column) -> Column:
-    """struct(kind, time, level, component, message), all '' where the line states none; null if the line begins no entry."""
-    flat = F.regexp_replace(text, r"^\x{feff}|[\r\n]+$", "")
-    chain = None
-    for name, pattern, fields in PATTERNS:
-        if name == "pairs":
-            said = F.regexp_replace(flat, r'(^|\s)(?i:msg|message|text)="[^"\\]*+(?:\\.[^"\\]*+)*+"', "$1")
-            values = {f: _pair(said, f) for f in ("time", "level", "component")}
-            values["message"] = F.regexp_extract(flat, r'(?:^|\s)(?i:msg|message|text)="([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
-            hit = flat.rlike(pattern) & values["time"].rlike(rf"^(?:{_ISO}|{_DMY}|\d{{9,10}})")
-        elif name == "json":
-            keys = [k for ks in _KEYS.values() for k in ks]
-            parsed = F.from_json(flat, "struct<" + ",".join(f"`{k}`:string" for k in keys) + ">")
-            values = {f: F.coalesce(*[parsed[k] for k in ks], F.lit("")) for f, ks in _KEYS.items()}
-            hit = flat.startswith("{") & values["time"].rlike(rf"^(?:{_ISO}|{_DMY}|\d{{9,10}})")
-        else:
-            hit = flat.rlike("(?s)" + pattern)
-            parts = F.split(F.regexp_replace(flat, "(?s)" + pattern, SEP.join(f"${{{f}}}" for f in fields)), SEP, len(fields))
-            values = {f: parts[i] for i, f in enumerate(fields)}
-        made = F.struct(F.lit(name).alias("kind"), *[values.get(f, F.lit("")).alias(f) for f in ("time", "level", "component", "message")])
-        chain = F.when(hit, made) if chain is None else chain.when(hit, made)
-    return F.when(flat.rlike(r"^[\p{L}\d\[{]"), chain)
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\x{feff}|[\r\n]+$", "")
+
+
+def _without_message(flat: Column) -> Column:
+    """A line of key=value pairs without its quoted message, in which anything may stand."""
+    return F.regexp_replace(flat, r'(^|\s)(?i:msg|message|text)="[^"\\]*+(?:\\.[^"\\]*+)*+"', "$1")
+
+
+def _json(flat: Column, fields: list[str]) -> dict[str, Column]:
+    keys = [k for f in fields for k in _KEYS[f]]
+    parsed = F.from_json(flat, "struct<" + ",".join(f"`{k}`:string" for k in keys) + ">")
+    return {f: F.coalesce(*[parsed[k] for k in _KEYS[f]], F.lit("")) for f in fields}
+
+
+def begins(flat: Column) -> Column:
+    """Whether a line begins an entry."""
+    pairs = flat.rlike(PATTERNS["pairs"][0]) & _pair(_without_message(flat), "time").rlike(_STATED)
+    return F.when(flat.rlike(r"^[\p{L}\d\[]"), flat.rlike(_OPENS) | (flat.rlike(r"^\p{L}") & pairs)).otherwise(flat.startswith("{") & _json(flat, ["time"])["time"].rlike(_STATED))
+
+
+def _line_fields(flat: Column) -> Column:
+    """struct(time, level, component, message) of a line that begins an entry, all '' where it states none."""
+    none = {f: F.lit("") for f in _KEYS}
+    made = lambda values: F.struct(*[(none | values)[f].alias(f) for f in _KEYS])
+    said = _without_message(flat)
+    pairs = {f: _pair(said, f) for f in ("time", "level", "component")}
+    pairs["message"] = F.regexp_extract(flat, r'(?:^|\s)(?i:msg|message|text)="([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
+    whole = None
+    for opening, names in CASCADE:
+        chain = None
+        for name in names:
+            pattern, fields = PATTERNS[name]
+            if name == "pairs":
+                hit, got = flat.rlike(pattern) & pairs["time"].rlike(_STATED), made(pairs)
+            elif name == "json":
+                hit, got = F.lit(True), made(_json(flat, list(_KEYS)))
+            else:
+                parts = F.split(F.regexp_replace(flat, "(?s)" + pattern, SEP.join(f"${{{f}}}" for f in fields)), SEP, len(fields))
+                hit, got = flat.rlike("(?s)" + pattern), made({f: parts[i] for i, f in enumerate(fields)})
+            chain = F.when(hit, got) if chain is None else chain.when(hit, got)
+        whole = F.when(flat.rlike(opening), chain) if whole is None else whole.when(flat.rlike(opening), chain)
+    return whole
 
 
 def _clock(raw: Column, year_of: Column) -> Column:
@@ -127,13 +154,17 @@ def log_entries(lines: DataFrame, log: str = "log_id", line: str = "line_number"
     Rows whose log or line number is null are left out; a null text is a blank line; of repeated line numbers the
     beginning that sorts last counts.  Further columns are ignored.
     """
-    rows = lines.select(F.col(log).alias("log"), F.col(line).cast("bigint").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.date_format(F.col(loaded), "yyyy").alias("y")).where("log is not null and n is not null")
-    rows = rows.withColumn("blk", F.floor(F.col("n") / block)).withColumn("head", _line_fields(F.col("t")))
+    flat = _flat(F.coalesce(F.col(text), F.lit("")))
+    rows = lines.select(F.col(log).alias("log"), F.col(line).cast("bigint").alias("n"), flat.alias("t"), F.date_format(F.col(loaded), "yyyy").alias("y")).where("log is not null and n is not null")
+    # Only what is needed of a line is shuffled: the text of beginnings, whose fields are found at the end, once per entry.
+    rows = rows.withColumn("blk", F.floor(F.col("n") / block)).withColumn("starts", begins(F.col("t"))).withColumn("filled", F.col("t").rlike(r"[^\s\x{a0}]"))
+    if not with_message:
+        rows = rows.withColumn("t", F.when(F.col("starts"), F.col("t")))
     w = W.partitionBy("log", "blk").orderBy("n").rangeBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("first", F.last(F.when(F.col("head").isNotNull(), F.col("n")), ignorenulls=True).over(w))
-    aggs = [F.max(F.when(F.col("t").rlike(r"[^\s\x{a0}]"), F.col("n"))).alias("last"), F.max(F.when(F.col("head").isNotNull(), F.struct("head.*", "y"))).alias("head")]
+    rows = rows.withColumn("first", F.last(F.when(F.col("starts"), F.col("n")), ignorenulls=True).over(w))
+    aggs = [F.max(F.when(F.col("filled"), F.col("n"))).alias("last"), F.max(F.when(F.col("starts"), F.struct("t", "y"))).alias("head")]
     if with_message:
-        aggs.append(F.collect_list(F.struct("n", F.coalesce(F.col("head.message"), F.regexp_replace("t", r"[\r\n]+$", "")).alias("t"))).alias("body"))
+        aggs.append(F.collect_list(F.when(~F.col("starts"), F.struct("n", "t"))).alias("body"))
     pieces = cut(rows.groupBy("log", "blk", "first").agg(*aggs))  # read twice below
     body = ["body"] if with_message else []
     # The part of a block before its first beginning goes to the beginning that is open at the end of an earlier block.
@@ -142,10 +173,11 @@ def log_entries(lines: DataFrame, log: str = "log_id", line: str = "line_number"
     carried = carried.where("lead is not null and first is not null").select("log", "first", "lead.last", F.lit(None).cast(pieces.schema["head"].dataType).alias("head"), *[F.col("lead.body")] * with_message)
     whole = pieces.where("first is not null").select("log", "first", "last", "head", *body).unionByName(carried)
     found = whole.groupBy("log", "first").agg(F.max("last").alias("last"), F.max("head").alias("head"), *([F.array_sort(F.flatten(F.collect_list("body"))).alias("body")] if with_message else []))
-    h = F.col("head")
-    at = F.when(h["time"].rlike(r"^\d{9,10}(?:\.|$)"), _epoch_utc(h["time"])).otherwise(_clock(h["time"], h["y"]))
-    out = found.select(F.col("log").alias(log), F.col("first").alias("first_line"), F.coalesce("last", "first").alias("last_line"), at.alias("logged_at"), severity(h["level"]).alias("severity"), F.trim(h["component"]).alias("component"), *body)
+    found = found.select("log", "first", "last", *body, "head.y", _line_fields(F.col("head.t")).alias("h"))
+    h = F.col("h")
+    at = F.when(h["time"].rlike(r"^\d{9,10}(?:\.|$)"), _epoch_utc(h["time"])).otherwise(_clock(h["time"], F.col("y")))
+    out = found.select(F.col("log").alias(log), F.col("first").alias("first_line"), F.coalesce("last", "first").alias("last_line"), at.alias("logged_at"), severity(h["level"]).alias("severity"), F.trim(h["component"]).alias("component"), *body, *([h["message"].alias("said")] if with_message else []))
     if with_message:
         kept = F.filter("body", lambda x: x["n"] <= F.col("last_line"))
-        out = out.withColumn("message", F.array_join(F.transform(kept, lambda x: x["t"]), "\n")).drop("body")
+        out = out.withColumn("message", F.array_join(F.concat(F.array("said"), F.transform(kept, lambda x: x["t"])), "\n")).drop("body", "said")
     return out

@@ -36,40 +36,46 @@ def latest(rows: DataFrame, tab: str, key: str, fields: dict[str, object], copie
 
 def _chunks(rows: Iterator[pd.DataFrame], window: int, mean: int, most: int) -> Iterator[pd.DataFrame]:
     """Rows in order of tab, key, with both copies' rows mixed: adds the fingerprint of the row's chunk in its copy."""
-    state: dict[tuple[str, str], dict] = {}
-    mult = np.uint64(0x9E3779B97F4A7C15)
-
-    def close(s: dict) -> pd.DataFrame:
-        rh = np.array(s["rh"], dtype=np.uint64)
-        place = np.arange(1, len(rh) + 1, dtype=np.uint64)
+    mult, turn, none = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.empty(0, dtype=np.uint64)
+    #: Per table and copy the rows of the chunk that is still open, and the hashes of the last keys.
+    state: dict[tuple[str, str], tuple] = {}
+
+    def closed(tab: str, copy: str, keys: np.ndarray, rh: np.ndarray, stops: np.ndarray) -> pd.DataFrame:
+        """Rows up to stops[-1] with the fingerprints of the chunks that end there."""
+        starts = np.concatenate([[0], stops[:-1]])
+        size = stops - starts
+        rh = rh[: stops[-1]]
+        place = (np.arange(len(rh)) - np.repeat(starts, size) + 1).astype(np.uint64)
         with np.errstate(over="ignore"):
-            a = np.bitwise_xor.reduce((rh ^ (rh >> np.uint64(29))) * mult + place * np.uint64(0xBF58476D1CE4E5B9))
-            b = (rh * (place * mult | np.uint64(1))).sum(dtype=np.uint64)
-        done = pd.DataFrame({"tab": s["tab"], "copy": s["copy"], "key": s["key"], "print": f"{len(rh)}-{int(a):016x}{int(b):016x}"})
-        s["rh"], s["key"] = [], []
-        return done
+            a = np.bitwise_xor.reduceat((rh ^ (rh >> np.uint64(29))) * mult + place * turn, starts)
+            b = np.add.reduceat(rh * (place * mult | np.uint64(1)), starts)
+        return pd.DataFrame({"tab": tab, "copy": copy, "key": keys[: stops[-1]], "size": np.repeat(size, size), "a": np.repeat(a.view(np.int64), size), "b": np.repeat(b.view(np.int64), size)})
 
     for batch in rows:
         out = []
         for (tab, copy), g in batch.groupby(["tab", "copy"], sort=False):
-            s = state.setdefault((tab, copy), {"tab": tab, "copy": copy, "rh": [], "key": [], "tail": []})
+            keys, rh, tail = state.get((tab, copy), (np.empty(0, dtype=object), none, none))
             kh = g["kh"].to_numpy().astype(np.int64).view(np.uint64)
-            seen = np.concatenate([np.array(s["tail"], dtype=np.uint64), kh])
+            seen = np.concatenate([tail, kh])
             roll = np.zeros(len(kh), dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for back in range(window):  # the sum over the last `window` keys' hashes, each turned by its distance
                     part = seen[max(0, len(seen) - len(kh) - back) : len(seen) - back]
                     roll[len(kh) - len(part) :] += part * (mult ** np.uint64(back + 1) if back else mult)
-            s["tail"] = list(seen[-(window - 1) :]) if window > 1 else []
-            ends = (roll >> np.uint64(33)) % np.uint64(mean) == 0
-            for key, rh, end in zip(g["key"], g["rh"].to_numpy().astype(np.int64).view(np.uint64), ends):
-                s["key"].append(key)
-                s["rh"].append(rh)
-                if end or len(s["rh"]) >= most:
-                    out.append(close(s))
+            stops = len(keys) + 1 + np.flatnonzero((roll >> np.uint64(33)) % np.uint64(mean) == 0)
+            keys, rh = np.concatenate([keys, g["key"].to_numpy()]), np.concatenate([rh, g["rh"].to_numpy().astype(np.int64).view(np.uint64)])
+            # A stretch without a cut is cut every `most` rows.
+            bounds = np.concatenate([[0], stops, [len(keys)]])
+            for at in np.flatnonzero(np.diff(bounds) > most):
+                stops = np.concatenate([stops, np.arange(bounds[at] + most, bounds[at + 1], most)])
+            stops = np.unique(stops)
+            if len(stops):
+                out.append(closed(tab, copy, keys, rh, stops))
+                keys, rh = keys[stops[-1] :], rh[stops[-1] :]
+            state[tab, copy] = keys, rh, seen[len(seen) - min(len(seen), window - 1) :]
         if out:
             yield pd.concat(out, ignore_index=True)
-    rest = [close(s) for s in state.values() if s["rh"]]
+    rest = [closed(tab, copy, keys, rh, np.array([len(keys)])) for (tab, copy), (keys, rh, _) in state.items() if len(keys)]
     if rest:
         yield pd.concat(rest, ignore_index=True)
 
@@ -86,9 +92,10 @@ def copy_differences(copies: DataFrame, fields: dict[str, Sequence[str]], left:
     copies = cut(copies)
     slim = copies.select("tab", "copy", "key", F.xxhash64("key").alias("kh"), F.xxhash64("key", "vals").alias("rh"))
     placed = slim.repartitionByRange(partitions(spark), "tab", "key").sortWithinPartitions("tab", "key", "copy")
-    chunked = cut(placed.mapInPandas(lambda it: _chunks(it, window, mean, most), "tab string, copy string, key string, print string"))
-    shared = chunked.groupBy("tab", "print").agg(F.count_distinct("copy").alias("n")).where("n = 2").select("tab", "print")
-    odd = chunked.join(shared, ["tab", "print"], "left_anti").select("tab", "copy", "key")
+    chunked = cut(placed.mapInPandas(lambda it: _chunks(it, window, mean, most), "tab string, copy string, key string, size bigint, a bigint, b bigint"))
+    chunk = ["tab", "size", "a", "b"]
+    shared = chunked.groupBy(*chunk).agg(F.min("copy").alias("one"), F.max("copy").alias("other")).where("one != other").select(*chunk)
+    odd = chunked.join(shared, chunk, "left_anti").select("tab", "copy", "key")
     rows = copies.join(odd, ["tab", "copy", "key"], "left_semi")
     side = lambda c: F.max(F.when(F.col("copy") == c, F.col("vals")))
     pairs = rows.groupBy("tab", "key").agg(side(left).alias("l"), side(right).alias("r"))

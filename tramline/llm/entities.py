@@ -8,9 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.common import cut, strip
+from tramline.llm.sample import sampled
 
-#: Seconds that a trip may wait at its first stop; a longer wait means that a time is wrong.
-LONGEST_WAIT = 600
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 CLOCK = r"^([0-9]{1,3}):([0-5][0-9]):([0-5][0-9])$"
 #: Letters with accents and their bases.
@@ -34,12 +33,12 @@ def grams(v: Column, n: int = 3) -> Column:
     return F.when(v == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))))
 
 
-def runs(trips: DataFrame, routes: DataFrame, calendar: DataFrame, stop_times: DataFrame, feed: str) -> DataFrame:
+def runs(trips: DataFrame, routes: DataFrame, calendar: DataFrame, stop_times: DataFrame, feed: str, longest_wait: int = 600) -> DataFrame:
     """One row per trip of a feed: id, line, number, letters, long, days, head, direction, start, calls.
 
     Of repeated rows, and of older states of a record, the one last loaded counts, of equal ones the one that sorts last.
     start is the arrival at the call that departs first, whatever its number, as numbers may be broken; its departure if the
-    arrival is none or lies too far from it.  days is the service's pattern of weekdays.
+    arrival is none or lies more than `longest_wait` seconds from it, as then one of them is wrong.  days is the service's pattern of weekdays.
     """
     of = lambda df: df.where(F.col("feed") == feed)
 
@@ -55,7 +54,7 @@ def runs(trips: DataFrame, routes: DataFrame, calendar: DataFrame, stop_times: D
     come, go = seconds(strip("arrival_time")), seconds(strip("departure_time"))
     call = of(stop_times).select(strip("trip_id").alias("trip_id"), F.when(number.rlike("^[0-9]{1,9}$"), number.try_cast("int")).alias("n"), come.alias("come"), go.alias("go"))
     calls = call.groupBy("trip_id").agg(F.min_by(F.struct("come", "go"), F.coalesce("go", "come")).alias("first"), F.count_distinct("n").alias("calls"))
-    near = F.abs(F.col("first.go") - F.col("first.come")) <= LONGEST_WAIT
+    near = F.abs(F.col("first.go") - F.col("first.come")) <= longest_wait
     calls = calls.select("trip_id", F.when(near, F.col("first.come")).otherwise(F.coalesce("first.go", "first.come")).alias("start"), "calls")
     out = trip.join(calls, "trip_id", "left").join(route, "route_id", "left").join(service, "service_id", "left")
     return out.select(F.col("trip_id").alias("id"), F.col("route_id").alias("line"), F.coalesce("number", F.lit("")).alias("number"), F.coalesce("letters", F.lit("")).alias("letters"), F.coalesce("long", F.lit("")).alias("long"), F.coalesce("days", F.lit("")).alias("days"), "head", "direction", "start", F.coalesce("calls", F.lit(0)).alias("calls"))
@@ -164,8 +163,8 @@ def fit_matcher(sample: list[tuple]) -> tuple[np.ndarray, tuple[float, float]]:
 def scored_pairs(left: DataFrame, right: DataFrame, near: int = 120, most_sampled: int = 20_000) -> DataFrame:
     """(l, r, gap, confidence) for all candidate pairs. The classifier is fitted on at most `most_sampled` of them, chosen by hash."""
     features = cut(pair_features(cut(candidate_pairs(left, right, near)), left, right, near))
-    sample = features.orderBy(F.xxhash64("l", "r")).limit(most_sampled).select(FEATURES).collect()
-    w, (slope, offset) = fit_matcher([tuple(s) for s in sample])
+    sample = sampled(features.select("l", "r", *FEATURES), ["l", "r"], most_sampled)
+    w, (slope, offset) = fit_matcher([tuple(s[f] for f in FEATURES) for s in sample])
     score = sum((F.col(f) * float(c) for f, c in zip(FEATURES, w)), F.lit(0.0))
     return features.select("l", "r", "gap", (1 / (1 + F.exp(-(score * slope + offset)))).alias("confidence"))
 

@@ -7,7 +7,6 @@ original text.  A record is then judged by the posterior of its own words under
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.common import cut, maybe_broadcast
+from tramline.common import cut, hot_keys, maybe_broadcast, partitions
 
 #: Chains: name -> steps of (codec the bytes were read with, codec they were written in), the last misreading first.
 CHAINS = {
@@ -86,12 +85,6 @@ def originals(word: str) -> list[str | None]:
     return found
 
 
-def _grams(word: str) -> list[tuple[int, int, int]]:
-    """(bucket of the pair, of its first and of its second character) along the word with its ends."""
-    codes = [2, *map(ord, word), 3]
-    return [((a * 40503 + b * 30011 + (a >> 8) * 7) % BUCKETS, a % 4096, b % 4096) for a, b in zip(codes, codes[1:])]
-
-
 def _unnatural(word: str) -> int:
     """How many characters beyond ASCII stand where writing seldom puts them: signs between letters, letters against the word's case."""
     n = 0
@@ -106,6 +99,15 @@ def _unnatural(word: str) -> int:
     return n
 
 
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each pair of characters, of its first and of its second character, where each word's pairs begin), with the words' ends."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(size + 2) - 1
+    a, b = np.delete(codes, ends), np.delete(codes, ends - size - 1)
+    return (a * 40503 + b * 30011 + (a >> 8) * 7) % BUCKETS, a % 4096, b % 4096, np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+
+
 class Model:
     """Character pairs by bucket: size is fixed, however much text it saw."""
 
@@ -118,28 +120,65 @@ class Model:
             else:
                 self.first[k - BUCKETS] = v
         self.total = max(self.first.sum(), 1.0)
-        self.known: dict[str, float] = {}
-
-    def log(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            got = ODD * _unnatural(word)
-            for pair, first, second in _grams(word):  # pairs backed by single characters: one never seen is hardly meant
-                single = (self.first[second] + RARE) / (self.total + RARE * 4096)
-                got += math.log((max(self.pair[pair] - OWN, 0.0) + BACK * single) / (self.first[first] + BACK))
-            self.known[word] = got
-        return got
-
 
-def _chances(models: dict[str, Model], tab: str, cands: list[str | None]) -> np.ndarray:
-    m = models[tab]
-    return np.array([-1e9 if c is None else (0.0 if i == K - 1 else m.log(c)) - (1e6 if i == 0 and "�" in c else 0) for i, c in enumerate(cands)])
-
-
-def _weights(mix: np.ndarray | None) -> np.ndarray:
-    if mix is None:
-        return np.array([1 - PRIOR_GARBLED, *[PRIOR_GARBLED / (K - 1)] * (K - 1)])
-    return np.maximum(np.asarray(mix, dtype=float), 1e-7)
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word: pairs backed by single characters, as one never seen is hardly meant."""
+        pair, first, second, begin = _grams(words)
+        single = (self.first[second] + RARE) / (self.total + RARE * 4096)
+        got = np.log((np.maximum(self.pair[pair] - OWN, 0.0) + BACK * single) / (self.first[first] + BACK))
+        return np.add.reduceat(got, begin)
+
+
+class Words:
+    """What the words of a task were under each chain, and how likely that is; forgets when it holds too many."""
+
+    def __init__(self, models: dict[str, Model], most: int = 100_000):
+        self.models, self.most = models, most
+        self.place: dict[tuple[str, str], int] = {}
+        self.made: list[list[str | None]] = []
+        self.chance = np.zeros((0, K))
+
+    def at(self, tabs: list[str], words: list[str]) -> np.ndarray:
+        """Rows of made and chance for the words."""
+        if len(self.place) > self.most:
+            self.place, self.made, self.chance = {}, [], np.zeros((0, K))
+        new = [k for k in dict.fromkeys(zip(tabs, words)) if k not in self.place]
+        if new:
+            self.place |= {k: len(self.made) + i for i, k in enumerate(new)}
+            made = [originals(w) for _, w in new]
+            self.made += made
+            self.chance = np.concatenate([self.chance, self._first(made, new) if not self.models else self._chances(made, new)])
+        return np.fromiter((self.place[k] for k in zip(tabs, words)), dtype=np.int64, count=len(words))
+
+    def _first(self, made: list, new: list) -> np.ndarray:
+        """At the start only words that no chain through utf8 explains are taken for clean, plain words above all."""
+        out = np.zeros((len(new), K))
+        out[:, 0] = [0.0 if any(c is not None for c in m[1:10]) or m[-1] is not None else 1.0 if w.isalpha() else 0.3 for m, (_, w) in zip(made, new)]
+        return out
+
+    def _chances(self, made: list, new: list) -> np.ndarray:
+        out = np.full((len(new), K), -1e9)
+        odd: dict[str, float] = {}
+        for tab, model in self.models.items():
+            spots = [(u, i, c) for u, (m, (t, _)) in enumerate(zip(made, new)) if t == tab for i, c in enumerate(m[:-1]) if c is not None]
+            if not spots:
+                continue
+            for _, _, c in spots:
+                if c not in odd:
+                    odd[c] = ODD * _unnatural(c)
+            rows, cols, cands = zip(*spots)
+            out[list(rows), list(cols)] = model.logs(list(cands)) + np.array([odd[c] for c in cands])
+        for u, (_, w) in enumerate(new):
+            if "�" in w:
+                out[u, 0] -= 1e6
+                out[u, K - 1] = 0.0
+        return out
+
+
+def _mixtures(column: pd.Series) -> np.ndarray:
+    """A mixture per row; that before any evidence where there is none."""
+    prior = np.array([1 - PRIOR_GARBLED, *[PRIOR_GARBLED / (K - 1)] * (K - 1)])
+    return np.array([prior if m is None else np.maximum(np.asarray(m, dtype=float), 1e-7) for m in column]).reshape(len(column), K)
 
 
 def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
@@ -161,50 +200,56 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
             if n:
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["tab", "src", "word", "n"])
 
-    words = rows.select("tab", "src", "text").mapInPandas(split, "tab string, src string, word string, n long").groupBy("tab", "src", "word").agg(F.sum("n").alias("n"))
-    # A word's rows of all sources lie together, so that what its chains make of it is worked out once a round.
-    words = cut(words.repartition("tab", "word"))
+    words = cut(rows.select("tab", "src", "text").mapInPandas(split, "tab string, src string, word string, n long").groupBy("tab", "src", "word").agg(F.sum("n").alias("n")))
+    # A word's rows of all sources lie together, so that what its chains make of it is worked out once a round; those of a
+    # word that very many sources have are spread.
+    hot = hot_keys(words.groupBy("tab", "word").agg(F.count("*").alias("m")), ["tab", "word"], "m")
+    spread = words.join(F.broadcast(hot.select("tab", "word", F.ceil(F.col("m") / 20_000).alias("_salts"))), ["tab", "word"], "left")
+    salt = F.pmod(F.xxhash64("src"), F.coalesce("_salts", F.lit(1)))
+    words = cut(spread.repartition(partitions(texts.sparkSession), "tab", "word", salt).drop("_salts").sortWithinPartitions("tab", "word"))
 
-    def step(first: bool, models: dict[str, Model]):
+    def step(models: dict[str, Model]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            place: dict[tuple[str, str], int] = {}
-            cands: list[list[str | None]] = []
-            known: list[np.ndarray] = []
-            counts = np.zeros((0, K))
+            held = Words(models)
+            pairs: dict[str, np.ndarray] = {}
             mixes: dict[tuple[str, str], np.ndarray] = {}
+            told = lambda: pd.DataFrame([(t, s, i, v) for (t, s), m in mixes.items() for i, v in enumerate(m.tolist()) if v > 1e-9], columns=["tab", "src", "i", "v"])
             for b in batches:
-                for tab, word in dict.fromkeys(zip(b["tab"], b["word"])):
-                    if (tab, word) in place:
-                        continue
-                    place[tab, word] = len(cands)
-                    cands.append(originals(word))
-                    if first:
-                        # At the start only words that no chain through utf8 explains are taken for clean, plain words above all.
-                        odd = any(c is not None for c in cands[-1][1:10]) or cands[-1][-1] is not None
-                        known.append(np.array([0.0 if odd else 1.0 if word.isalpha() else 0.3, *[0.0] * (K - 1)]))
-                    else:
-                        known.append(_chances(models, tab, cands[-1]))
-                at = np.array([place[k] for k in zip(b["tab"], b["word"])])
-                post = np.array(known)[at] if len(b) else np.zeros((0, K))
-                if not first:
-                    post = post + np.log(np.array([_weights(m) for m in b["mix"]]))
+                at = held.at(b["tab"].tolist(), b["word"].tolist())
+                post = held.chance[at]
+                if models:
+                    post = post + np.log(_mixtures(b["mix"]))
                     post = np.exp(post - post.max(axis=1, keepdims=True))
                     post /= post.sum(axis=1, keepdims=True)
                 n = b["n"].to_numpy().astype(float)
-                counts = np.concatenate([counts, np.zeros((len(cands) - len(counts), K))])
-                np.add.at(counts, at, np.sqrt(n)[:, None] * post)
-                for k, v in zip(zip(b["tab"], b["src"]), n[:, None] * post):
+                # Counts of a word grow with the root of its number, so that a few frequent words don't make the model.
+                here, inverse = np.unique(at, return_inverse=True)
+                weight = np.zeros((len(here), K))
+                np.add.at(weight, inverse, np.sqrt(n)[:, None] * post)
+                tab_of = b["tab"].to_numpy()[np.unique(inverse, return_index=True)[1]]
+                for tab in dict.fromkeys(tab_of.tolist()):
+                    u, i = np.nonzero((weight[:, :-1] > 1e-3) & (tab_of == tab)[:, None])
+                    if not len(u):
+                        continue
+                    pair, first, _, begin = _grams([held.made[here[x]][y] for x, y in zip(u, i)])
+                    each = np.repeat(weight[u, i], np.diff(np.append(begin, len(pair))))
+                    sums = pairs.setdefault(tab, np.zeros(BUCKETS + 4096))
+                    sums[:BUCKETS] += np.bincount(pair, weights=each, minlength=BUCKETS)
+                    sums[BUCKETS:] += np.bincount(first, weights=each, minlength=4096)
+                    sums[BUCKETS + 3] += weight[u, i].sum()
+                code, keys = pd.factorize(pd.MultiIndex.from_arrays([b["tab"], b["src"]]))
+                per = np.zeros((len(keys), K))
+                np.add.at(per, code, n[:, None] * post)
+                for k, v in zip(keys, per):
                     mixes[k] = mixes[k] + v if k in mixes else v
-            pairs: dict[tuple, float] = defaultdict(float)
-            for (tab, _), i in place.items():
-                for j in np.nonzero(counts[i, :-1] > 1e-3)[0]:
-                    for pair, f, _ in _grams(cands[i][j]):
-                        pairs[tab, pair] += counts[i, j]
-                        pairs[tab, BUCKETS + f] += counts[i, j]
-                    pairs[tab, BUCKETS + 3] += counts[i, j]
-            out = [(t, s, i, v) for (t, s), m in mixes.items() for i, v in enumerate(m)] + [(t, None, i, v) for (t, i), v in pairs.items()]
-            if out:
-                yield pd.DataFrame(out, columns=["tab", "src", "i", "v"])
+                if len(mixes) > 20_000:
+                    yield told()
+                    mixes.clear()
+            if mixes:
+                yield told()
+            for tab, sums in pairs.items():
+                i = np.flatnonzero(sums)
+                yield pd.DataFrame({"tab": tab, "src": None, "i": i, "v": sums[i]})
 
         return run
 
@@ -212,67 +257,59 @@ def garbled_rows(texts: DataFrame, rounds: int = 6) -> DataFrame:
     mixes = None
     for r in range(rounds):
         given = words.withColumn("mix", F.lit(None).cast("array<double>")) if mixes is None else words.join(mixes[0], ["tab", "src"])
-        sums = cut(given.mapInPandas(step(r == 0, models), "tab string, src string, i int, v double").groupBy("tab", "src", "i").agg(F.sum("v").alias("v")))
+        sums = cut(given.mapInPandas(step(dict(models)), "tab string, src string, i int, v double").groupBy("tab", "src", "i").agg(F.sum("v").alias("v")))
         by_tab: dict[str, dict[int, float]] = defaultdict(dict)
-        for tab, i, v in sums.where("src is null").select("tab", "i", "v").collect():  # at most BUCKETS + 4096 per field
-            by_tab[tab][i] = v
-        for tab in {row.tab for row in sums.where("src is not null").select("tab").distinct().collect()}:
-            models[tab] = Model(by_tab.get(tab, {}))
-        if r:
-            per_tab = {(t, i): v for t, i, v in sums.where("src is not null").groupBy("tab", "i").agg(F.sum("v")).collect()}
-            tabs = {t for t, _ in per_tab}
-            whole = {t: [(per_tab.get((t, i), 0.0) + 0.5) / (sum(per_tab.get((t, j), 0.0) for j in range(K)) + 0.5 * K) for i in range(K)] for t in tabs}
-            v = F.map_from_entries(F.collect_list(F.struct("i", "v")))
-            base = F.create_map(*[x for t, w in whole.items() for x in (F.lit(t), F.array(*map(F.lit, w)))]) if whole else F.lit(None).cast("map<string,array<double>>")
-            mix = sums.where("src is not null").groupBy("tab", "src").agg(v.alias("m"), F.sum("v").alias("all"))
+        per_tab: dict[str, np.ndarray] = {}
+        # Per field at most BUCKETS + 4096 counts and K of the mixture.
+        for tab, pair, i, v in sums.groupBy("tab", F.col("src").isNull().alias("pair"), "i").agg(F.sum("v")).collect():
+            if pair:
+                by_tab[tab][i] = v
+            else:
+                per_tab.setdefault(tab, np.zeros(K))[i] = v
+        models = {tab: Model(by_tab[tab]) for tab in per_tab}
+        if r and per_tab:
+            base = F.create_map(*[x for t, m in per_tab.items() for x in (F.lit(t), F.array(*map(F.lit, ((m + 0.5) / (m.sum() + 0.5 * K)).tolist())))])
+            mix = sums.where("src is not null").groupBy("tab", "src").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sum("v").alias("all"))
             mix = mix.select("tab", "src", F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) + PRIOR_WORDS * base[F.col("tab")][i]) / (F.col("all") + PRIOR_WORDS)).alias("mix"))
             mixes = maybe_broadcast(cut(mix), 64 + 8 * K)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cands_of: dict[tuple[str, str], tuple[list, np.ndarray]] = {}
+        held = Words(models)
         for b in batches:
+            tabs, texts = b["tab"].tolist(), b["text"].tolist()
+            units = [UNIT.findall(t) if tab in models else [] for tab, t in zip(tabs, texts)]
+            n = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            w = np.log(_mixtures(b["mix"].iloc[some]))
+            n = n[some]
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            at = held.at([tabs[r] for r in some for _ in units[r]], [u for r in some for u in units[r]])
+            lik = held.chance[at]
+            clean = lik[:, :1]
+            # Under a chain a word is garbled by it or was spared; nothing is spared that has lost characters.
+            score = np.add.reduceat(np.logaddexp(np.log(0.7) + lik, np.log(0.3) + clean), begin, axis=0) + w
+            score[:, 0] = np.add.reduceat(clean[:, 0], begin) + w[:, 0]
+            best = score.argmax(axis=1)
+            # A chain only counts if some word is likelier garbled by it than clean.
+            of = np.repeat(np.arange(len(some)), n)
+            gain = lik[np.arange(len(of)), best[of]] + w[of, best[of]] > lik[:, 0] + w[of, 0]
+            hit = (best > 0) & np.logical_or.reduceat(gain, begin)
             out = []
-            for tab, row_id, text, mix in zip(b["tab"], b["row_id"], b["text"], b["mix"]):
-                units = UNIT.findall(text)
-                if not units or tab not in models:
-                    continue
-                w = _weights(mix)
-                logs = []
-                for u in units:
-                    if (tab, u) not in cands_of:
-                        if len(cands_of) > 200_000:
-                            cands_of.clear()
-                        made = originals(u)
-                        cands_of[tab, u] = made, _chances(models, tab, made)
-                    logs.append(cands_of[tab, u][1])
-                lik = np.array(logs)
-                clean = lik[:, :1]
-                # Under a chain a word is garbled by it or was spared; nothing is spared that has lost characters.
-                spared = np.logaddexp(np.log(0.7) + lik, np.log(0.3) + clean)
-                score = spared.sum(axis=0) + np.log(w)
-                score[0] = clean.sum() + np.log(w[0])
-                best = int(score.argmax())
-                if best == 0:
-                    continue
-                # A chain only counts if some word is likelier garbled by it than clean.
-                if not (lik[:, best] + np.log(w[best]) > lik[:, 0] + np.log(w[0])).any():
-                    continue
-                fixed, pos, done = [], 0, False
-                for m, lk in zip(UNIT.finditer(text), lik):
-                    fixed.append(text[pos : m.start()])
-                    pos = m.end()
-                    to = (cands_of[tab, m.group()][0] if (tab, m.group()) in cands_of else originals(m.group()))[best]
-                    if best < K - 1 and to is not None and lk[best] > lk[0]:
-                        fixed.append(to)
-                        done = True
-                    else:
-                        fixed.append(m.group())
-                fixed.append(text[pos:])
-                out.append((tab, row_id, NAMES[best], "".join(fixed) if done else None))
+            for x in np.flatnonzero(hit):
+                r, chain = some[x], int(best[x])
+                text, fixed, pos, done = texts[r], [], 0, False
+                for j, m in enumerate(UNIT.finditer(text), begin[x]):
+                    to = held.made[at[j]][chain]
+                    good = chain < K - 1 and to is not None and lik[j, chain] > lik[j, 0]
+                    fixed += [text[pos : m.start()], to if good else m.group()]
+                    pos, done = m.end(), done or good
+                out.append((tabs[r], b["row_id"].iloc[r], NAMES[chain], "".join([*fixed, text[pos:]]) if done else None))
             if out:
                 yield pd.DataFrame(out, columns=["tab", "row_id", "chain", "repaired"])
 
-    given = rows.join(mixes[0], ["tab", "src"], "left")
+    given = rows.join(mixes[0], ["tab", "src"], "left") if mixes else rows.withColumn("mix", F.lit(None).cast("array<double>"))
     return given.select("tab", "row_id", "text", "mix").mapInPandas(judge, "tab string, row_id bigint, chain string, repaired string")
 
 

@@ -59,8 +59,8 @@ def test_against_brute_force(spark):
             want.add((d, i))
     df = spark.createDataFrame([(d, ", <b>".join(b), 0, "", "") for d, b in docs.items()] + [(None, "x", 0, "", ""), (900, None, 0, "", ""), (901, "", 0, "", "")], DOCS)
     idf = spark.createDataFrame([(i, " ".join(w), "s", 0) for i, w in items.items()] + [(90, None, "s", 0), (91, "--", "s", 0), (None, "x", "s", 0)], ITEMS)
-    for block in (20_000, 10):
-        got = {(r.doc_id, r.item_id) for r in leaked_items(df, idf, block=block).collect()}
+    for rows in (4_000_000, 10):  # the index in every task, or met in a join
+        got = {(r.doc_id, r.item_id) for r in leaked_items(df, idf, index_rows=rows).collect()}
         assert want <= got and got - want <= near
         assert not any(kinds[d][1] == "spread" and kinds[d][0] == i for d, i in got - want)
     report = leak_report(leaked_items(df, idf), df, idf.where("item_id is not null")).collect()
@@ -75,3 +75,39 @@ def test_markup_case_accents_and_copies(spark):
     assert got == [(1, 5), (2, 5), (3, 5)]
     assert leaked_items(df.where("false"), spark.createDataFrame([(5, item, "s", 0)], ITEMS)).collect() == []
     assert leaked_items(df, spark.createDataFrame([], ITEMS)).collect() == []
+
+
+def exact(docs, items, run=12, share=0.75):
+    out = set()
+    for d, b in docs.items():
+        for i, w in items.items():
+            if longest_run(w, b) >= min(run, len(w)) or len(w) < 400 and in_order(w, b) >= share * len(w) and len(b) < 2 * len(w):
+                out.add((d, i))
+    return out
+
+
+def test_size_partitions(spark):
+    """Short, middling and long items: runs at their edges, and as many single changes as may be, by themselves."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = {i: [rng.choice(vocab) for _ in range(n)] for i, n in enumerate([14, 20, 30, 60, 130, 300, 700, 2000] * 3)}
+    docs = {}
+    for i, w in items.items():
+        docs[len(docs)] = [rng.choice(vocab) for _ in range(9)] + w[:12] + [rng.choice(vocab) for _ in range(9)]
+        docs[len(docs)] = w[-12:] + ["z"]
+        docs[len(docs)] = w[:11] + ["z", *w[12:23], "z"]
+        if len(w) < 400:
+            for step in (4, 5):
+                docs[len(docs)] = [x if k % step != step - 1 else "changed" for k, x in enumerate(w)]
+    df = spark.createDataFrame([(d, " ".join(b), 0, "", "") for d, b in docs.items()], DOCS)
+    idf = spark.createDataFrame([(i, " ".join(w), "s", 0) for i, w in items.items()], ITEMS)
+    want = exact(docs, items)
+    got = {(r.doc_id, r.item_id) for r in leaked_items(df, idf).collect()}
+    assert got <= want and len(want - got) <= 0.001 * len(want) and len(want) > 80
+
+
+def test_markup_of_any_length(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    doc = text.replace("six", f'<a href="{"x" * 5000}">six</a>')
+    got = leaked_items(spark.createDataFrame([(1, doc, 0, "", "")], DOCS), spark.createDataFrame([(5, text, "s", 0)], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)]

@@ -1,14 +1,15 @@
-"""Test items inside training documents: MinHash containment search in size classes, verified by exact shingles.
+"""Test items inside training documents: MinHash containment search in size partitions, verified by exact shingles and words.
 
 The containment of an item in a document is the chance that the item's least shingle, by a random order, is in the document.
-So an item is kept as least shingles, one order per stretch: each stretch of its shingles that any passage of the wanted
-length must cover in full has its least one in the sketch.  The number of stretches, and of orders, follows from the size
-class of the item.  Documents are never sketched, only probed, whatever their length: a passage of that length in a
-document holds a whole stretch and so its least shingle, under every order.
+So an item is kept as least shingles: each stretch of its shingles that a passage of the wanted length must cover in full has
+its least one in the sketch, under as many orders as the item's size partition has.  Only the sketches are indexed.  Documents
+are never sketched, only probed once, whatever their length and however many items there are: a stretch of the document that
+holds as many of an item's least shingles as a true case must leave is a candidate, and meets the item's whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -20,13 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.common import cut
+from tramline.common import BROADCAST_BYTES, cut, hot_keys, skew_join
 
 #: Words of a shingle. Not the usual five: items count when up to a quarter of their words were changed, one by one,
 #: after which few runs of five unchanged words need be left.
 SHINGLE = 3
+#: One true case in so many may be lost to the threshold of its size partition.
+MISSED = 5000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-TAG = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+#: Markup of any length: what opens like a tag up to its end, and character references.
+TAG = re.compile(r"<[/!?]?[a-zA-Z-][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
 WORD = re.compile(r"\w+")
 
 
@@ -80,13 +84,13 @@ def _hashed(text: str | None) -> np.ndarray:
     return np.fromiter(map(NUMBERS[0].__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    if len(h) < SHINGLE:
+def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    if len(h) < width:
         return h[:0]
     with np.errstate(over="ignore"):
-        out = h[: len(h) - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            out = out * MIX + h[k : len(h) - SHINGLE + 1 + k]
+        out = h[: len(h) - width + 1].copy()
+        for k in range(1, width):
+            out = out * MIX + h[k : len(h) - width + 1 + k]
         return out ^ (out >> np.uint64(29))
 
 
@@ -94,12 +98,12 @@ def _sketch(sh: np.ndarray, run: int) -> set[int]:
     """Places in the item of the least shingles: one per stretch of run - SHINGLE + 1, under as many orders as its size class has.
 
     Class k holds items of 2^k to 2^(k+1) shingles.  One order finds every verbatim run; for items whose words were changed
-    one by one no stretch need be whole, so four orders raise the number of least shingles, and two more for each halving of
+    one by one no stretch need be whole, so six orders raise the number of least shingles, and two more for each halving of
     the number of stretches below 64.
     """
     width = run - SHINGLE + 1
     size = max(1, len(sh)).bit_length() - 1
-    orders = 4 + 2 * max(0, 6 - size)
+    orders = 6 + 2 * max(0, 6 - size)
     picks: set[int] = set()
     with np.errstate(over="ignore"):
         for o in range(orders):
@@ -127,8 +131,11 @@ def _common_in_order(item: np.ndarray, part: np.ndarray) -> int:
     return len(item) - bin(row).count("1")
 
 
-def _longest_run(item: np.ndarray, part: np.ndarray, at: dict[int, list[int]]) -> int:
-    """Most consecutive words that item and part share; at: places in the item by word."""
+def _longest_run(item: np.ndarray, part: np.ndarray) -> int:
+    """Most consecutive words that item and part share."""
+    at: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(item.tolist()):
+        at[w].append(i)
     best, last = 0, {}
     for w in part.tolist():
         now = {}
@@ -140,106 +147,234 @@ def _longest_run(item: np.ndarray, part: np.ndarray, at: dict[int, list[int]]) -
     return best
 
 
-class _Items:
-    """The items' shingles by number, with those of the sketches marked."""
-
-    def __init__(self, rows: list[tuple[int, str | None]], run: int, share: float):
-        self.run, self.share = run, share
-        self.ids, self.words, self.at = [], [], []
-        keys, item, place, picked, need = [], [], [], [], []
-        for item_id, text in rows:
-            h = _hashed(text)
-            if not len(h):
-                continue
-            at: dict[int, list[int]] = defaultdict(list)
-            for i, w in enumerate(h.tolist()):
-                at[w].append(i)
-            sh = _shingles(h)
-            picks = _sketch(sh, run)
-            keys.append(sh)
-            item += [len(self.ids)] * len(sh)
-            place += range(len(sh))
-            picked += [i in picks for i in range(len(sh))]
-            # Shingles that are left of a verbatim run, or when every word that may change breaks as many as it can.
-            need.append(max(1, min(min(run, len(h)) - SHINGLE + 1, len(sh) - SHINGLE * int((1 - share) * len(h)))))
-            self.ids.append(item_id)
-            self.words.append(h)
-            self.at.append(at)
-        all_keys = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.first = np.unique(all_keys[order], return_index=True)
-        self.last = np.append(self.first[1:], len(order)) if len(order) else self.first
-        self.item, self.place, self.picked = (np.array(x, dtype=np.int64)[order] for x in (item, place, picked))
-        self.any_picked = np.add.reduceat(self.picked, self.first) > 0 if len(order) else np.empty(0, dtype=bool)
-        self.need = np.array(need, dtype=np.int64)
-
-    def found(self, h: np.ndarray) -> list[int]:
-        sh = _shingles(h)
-        if not len(sh) or not len(self.keys):
-            return []
-        spot = np.searchsorted(self.keys, sh)
-        spot[spot == len(self.keys)] = 0
-        hits = np.nonzero(self.keys[spot] == sh)[0]
-        if not self.any_picked[spot[hits]].any():
-            return []
-        lo, n_uses = self.first[spot[hits]], self.last[spot[hits]] - self.first[spot[hits]]
-        use = np.repeat(lo - np.cumsum(n_uses) + n_uses, n_uses) + np.arange(n_uses.sum())
-        item, begin = self.item[use], np.repeat(hits, n_uses) - self.place[use]
-        sketched = np.bincount(item, weights=self.picked[use], minlength=len(self.ids)) > 0
-        candidates = np.nonzero(sketched & (np.bincount(item, minlength=len(self.ids)) >= self.need))[0]
-        starts = {int(n): begin[item == n].tolist() for n in candidates}
-        share = self.share
-        out = []
-        for n, begun in starts.items():
-            item = self.words[n]
-            size, slack = len(item), max(4, len(item) // 8)
-            begun = sorted(set(begun))
-            groups = [[begun[0], begun[0]]]
-            for b in begun[1:]:
-                if b - groups[-1][1] <= slack:
-                    groups[-1][1] = b
-                else:
-                    groups.append([b, b])
-            for lo, hi in groups:
-                part = h[max(0, lo - slack) : hi + size + slack]
-                if _longest_run(item, part, self.at[n]) >= min(self.run, size):
-                    out.append(self.ids[n])
-                    break
-                if _common_in_order(item, part) >= share * size:
-                    out.append(self.ids[n])
-                    break
-        return out
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, block: int = 20_000) -> DataFrame:
+def _need(picks: list[int], size: int, words: int, run: int, share: float) -> int:
+    """Sketched shingles that a true case leaves in one place; over the number of sketched ones it is the containment asked for.
+
+    A whole run leaves those in it, and the run that has fewest counts.  Words changed one by one leave at least a share of all
+    shingles, each of which the orders, being random, have put in the sketch as likely as any other: the number is one that
+    fewer than one such case in MISSED falls short of.
+    """
+    there = np.zeros(max(size, 1), dtype=np.int64)
+    there[picks] = 1
+    width = min(run, words) - SHINGLE + 1
+    total = np.concatenate([[0], np.cumsum(there)])
+    in_run = int((total[width:] - total[:-width]).min()) if size >= width > 0 else 1
+    intact, chance, missed, left = max(0, size - SHINGLE * int((1 - share) * words)), len(picks) / max(size, 1), 0.0, 0
+    while left < intact:
+        missed += math.comb(intact, left) * chance**left * (1 - chance) ** (intact - left)
+        if missed > 1 / MISSED:
+            break
+        left += 1
+    return max(1, min(in_run, left))
+
+
+def indexed_items(items: DataFrame, run: int, share: float) -> DataFrame:
+    """(key, item, place, words, need): one row per sketched shingle of items(item, h), h the numbers of the item's words as bytes."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for item, h in zip(b["item"], b["h"]):
+                h = np.frombuffer(h, dtype=np.uint64)
+                sh = _shingles(h)
+                if not len(sh):
+                    continue
+                picks = sorted(_sketch(sh, run))
+                need = _need(picks, len(sh), len(h), run, share)
+                out += [(int(k), item, p, len(h), need) for k, p in zip(sh[picks].view(np.int64), picks)]
+            if out:
+                yield pd.DataFrame(out, columns=["key", "item", "place", "words", "need"])
+
+    return items.mapInPandas(sketch, "key bigint, item bigint, place int, words int, need int")
+
+
+def _joint_shingles(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of texts one after another, which of them lie in one text); ends: where each text's words end."""
+    inside = np.ones(max(len(h) - SHINGLE + 1, 0), dtype=bool)
+    for k in range(1, SHINGLE):
+        at = ends - k
+        inside[at[(at >= 0) & (at < len(inside))]] = False
+    return _shingles(h), inside
+
+
+def _candidates(docs: list, ends: np.ndarray, h: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, words: np.ndarray, need: np.ndarray) -> list[tuple]:
+    """(doc, item, part): the stretches of documents' words that may hold an item, from all hits.
+
+    Per hit: the document's place among docs, the item, where the item would begin in it by that hit, and the item's words and
+    need.  Hits of an item whose begins lie close together are of one stretch.
+    """
+    order = np.lexsort((begin, item, doc))
+    doc, item, begin, words, need = doc[order], item[order], begin[order], words[order], need[order]
+    slack = np.maximum(4, words // 8)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(item)) - 1
+    good = last - first + 1 >= need[first]
+    first, last = first[good], last[good]
+    d = doc[first]
+    start = np.concatenate([[0], ends[:-1]])[d]
+    lo = start + np.maximum(0, begin[first] - slack[first])
+    hi = np.minimum(ends[d], start + begin[last] + words[first] + slack[first])
+    return [(docs[x], i, h[y:z].tobytes()) for x, i, y, z in zip(d.tolist(), item[first].tolist(), lo.tolist(), hi.tolist())]
+
+
+#: part: the numbers of the words, eight bytes each.
+PARTS = "doc_id bigint, item bigint, part binary"
+#: Words of documents that are probed together.
+TOGETHER = 1 << 20
+
+
+def _probed(texts: DataFrame, given) -> DataFrame:
+    """PARTS of documents probed with an index that every task holds."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, first, last, item, place, words, need = given.value
+        low = np.uint64((1 << 20) - 1)
+        seen = np.zeros(1 << 20, dtype=bool)
+        seen[keys & low] = True  # most shingles are in no item; one look tells
+
+        def found(docs: list, hs: list[np.ndarray]) -> pd.DataFrame | None:
+            h, ends = np.concatenate(hs), np.cumsum([len(x) for x in hs])
+            sh, inside = _joint_shingles(h, ends)
+            maybe = np.flatnonzero(seen[sh & low] & inside)
+            spot = np.searchsorted(keys, sh[maybe])
+            spot[spot == len(keys)] = 0
+            met = keys[spot] == sh[maybe]
+            hits, spot = maybe[met], spot[met]
+            if not len(hits):
+                return None
+            uses = last[spot] - first[spot]
+            use = np.repeat(first[spot] - np.cumsum(uses) + uses, uses) + np.arange(uses.sum())
+            doc = np.searchsorted(ends, hits, side="right")
+            begin = np.repeat(hits - np.concatenate([[0], ends[:-1]])[doc], uses) - place[use]
+            rows = _candidates(docs, ends, h, np.repeat(doc, uses), item[use], begin, words[use], need[use])
+            return pd.DataFrame(rows, columns=["doc_id", "item", "part"]) if rows else None
+
+        for b in batches:
+            docs, hs, size = [], [], 0
+            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
+                docs.append(doc)
+                hs.append(_hashed(text))
+                size += len(hs[-1])
+                if size >= TOGETHER:
+                    out = found(docs, hs)
+                    if out is not None:
+                        yield out
+                    docs, hs, size = [], [], 0
+            out = found(docs, hs) if size and len(keys) else None
+            if out is not None:
+                yield out
+
+    return texts.mapInPandas(probe, PARTS)
+
+
+def _joined(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """PARTS of documents whose shingles meet an index too large for a task in a join by key; the hits meet the texts again.
+
+    A document's shingles are rows of (key, document, place); keys that hold many of them are spread.
+    """
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"]):
+                h = _hashed(text)
+                sh = _shingles(h).view(np.int64)
+                if len(sh):
+                    yield pd.DataFrame({"key": sh, "doc_id": doc, "copy": xxhash.xxh3_64_intdigest(text) >> 1, "at": np.arange(len(sh), dtype=np.int32)})
+
+    shingles = texts.mapInPandas(spell, "key bigint, doc_id bigint, copy bigint, at int")
+    keys = index.groupBy("key").agg(F.count("*").alias("uses"))
+    met = cut(shingles.join(keys.select("key"), "key", "left_semi"))
+    hits = skew_join(met, index, ["key"], hot_keys(met.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n"), "n")
+    begun = hits.groupBy("doc_id", "copy", "item").agg(F.sort_array(F.collect_list(F.col("at") - F.col("place"))).alias("begin"), F.first("words").alias("words"), F.first("need").alias("need")).where(F.size("begin") >= F.col("need"))
+    per = begun.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item", "begin", "words", "need")).alias("found"))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, copy, text, found in zip(b["doc_id"], b["copy"], b["text"], b["found"]):
+                if xxhash.xxh3_64_intdigest(text) >> 1 != copy:
+                    continue
+                h, n = _hashed(text), [len(f["begin"]) for f in found]
+                spread = lambda c: np.repeat([f[c] for f in found], n)  # noqa: B023, E731
+                out += _candidates([doc], np.array([len(h)]), h, np.zeros(sum(n), dtype=np.int64), spread("item"), np.concatenate([np.asarray(f["begin"]) for f in found]), spread("words"), spread("need"))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item", "part"])
+
+    return texts.join(per, "doc_id").mapInPandas(parts, PARTS)
+
+
+def _holds(items: list[np.ndarray], parts: list[np.ndarray], run: int, share: float) -> list[int]:
+    """Places of the items that their part holds.
+
+    As many of the item's shingles must be in the part as a whole run leaves, or as many single changes as there may be.  Then
+    a shingle of `run` words that both have tells a run, else `share` of the words must come in order.
+    """
+    spelled = []
+    for texts in (items, parts):
+        h = np.concatenate(texts)
+        spelled += [_shingles(h).tolist(), _shingles(h, run).tolist(), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).tolist()]
+    short_i, long_i, at_i, short_p, long_p, at_p = spelled
+    out = []
+    for k, (x, y, p, q) in enumerate(zip(at_i, at_i[1:], at_p, at_p[1:])):
+        n = y - x
+        least = min(min(run, n) - SHINGLE + 1, n - SHINGLE + 1 - SHINGLE * int((1 - share) * n))
+        held = set(short_p[p : max(p, q - SHINGLE + 1)])
+        if sum(map(held.__contains__, short_i[x : max(x, y - SHINGLE + 1)])) < max(1, least):
+            continue
+        whole = not set(long_p[p : max(p, q - run + 1)]).isdisjoint(long_i[x : y - run + 1]) if n >= run else _longest_run(items[k], parts[k]) >= n
+        if whole or _common_in_order(items[k], parts[k]) >= share * n:
+            out.append(k)
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, index_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id): documents that hold at least `run` consecutive words of the item's text, or at least `share` of
     its words in order within a stretch about as long as the item; items shorter than `run` words only count whole.
 
-    Items are taken in blocks of `block`, whose sketches go to every task: the documents are read once per block, not
-    shuffled, and their whole texts probed.  Each document gives one row per item however often it holds it; copies of a
-    document give rows of their own, and a repeated doc_id with the same text gives one.  Null and empty texts, and items
-    without words, give no rows; further columns are ignored.
+    An index of up to `index_rows` sketched shingles (some 40 bytes each) goes to every task, and the documents are read once
+    and not shuffled; a larger one meets the documents' shingles in a join.  Candidate stretches then meet the items' whole
+    texts.  Each document gives one row per item however often it holds it; copies of a document give rows of their own, and
+    a repeated doc_id with the same text gives one.  Null and empty texts, and items of fewer words than a shingle has, give no
+    rows; further columns are ignored.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    n = listed.count()
-    parts = max(1, -(-n // block))
-    placed = listed.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    out = None
-    for k in range(parts):
-        given = spark.sparkContext.broadcast([(r.item_id, r.text) for r in placed.where(F.col("_part") == k).collect()])
-
-        def probe(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            held = _Items(given.value, run, share)
-            for b in batches:
-                rows = [(d, i) for d, t in zip(b["doc_id"], b["text"]) for i in held.found(_hashed(t))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
-
-        got = texts.mapInPandas(probe, "doc_id bigint, item_id bigint")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "item": [(xxhash.xxh3_64_intdigest(t, seed=i % (1 << 63)) >> 1) for i, t in zip(b["item_id"], b["text"])], "h": [_hashed(t).tobytes() for t in b["text"]]})
+
+    # `item` tells an item's text apart from another text of the same id.
+    held = cut(listed.mapInPandas(number, "item_id bigint, item bigint, h binary"))
+    index = cut(indexed_items(held, run, share))
+    if index.count() <= index_rows:
+        rows = index.toPandas()
+        rows = rows.iloc[np.lexsort((rows["place"], rows["item"], rows["key"].to_numpy().astype(np.int64).view(np.uint64)))]
+        keys, first = np.unique(rows["key"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
+        last = np.append(first[1:], len(rows)).astype(np.int64) if len(rows) else first
+        given = spark.sparkContext.broadcast((keys, first, last, *(rows[c].to_numpy().astype(np.int64) for c in ("item", "place", "words", "need"))))
+        found = _probed(texts, given)
+    else:
+        found = _joined(texts, index)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                good = _holds(*([np.frombuffer(x, dtype=np.uint64) for x in part[c]] for c in ("h", "part")), run, share)
+                if good:
+                    yield part.iloc[good][["doc_id", "item_id"]]
+
+    size = held.agg(F.sum(F.length("h"))).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    if small:
+        met = found.join(F.broadcast(held), "item")
+    else:
+        found = cut(found)
+        met = skew_join(found, held, ["item"], hot_keys(found.groupBy("item").agg(F.count("*").alias("n")), ["item"], "n"), "n")
+    return met.select("doc_id", "item_id", "h", "part").mapInPandas(verify, "doc_id bigint, item_id bigint").distinct()
 
 
 def leak_report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:

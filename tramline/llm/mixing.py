@@ -18,50 +18,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.common import cut
+from tramline.llm.sample import sampled
 
 HASHED = 1 << 14
 WORD = re.compile(r"\w+")
+RUN = re.compile(r"\s+")
 
 
-def default_tokenizer() -> str:
+#: Probabilities below it are numerical noise and count as 0.
+NIL = 1e-6
+#: Texts from this length on are counted in pieces.
+LONG = 100_000
+
+
+def default_tokenizer() -> tuple[str, str]:
+    """(file of ranks, pattern) of the public byte-level BPE on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def with_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens): the number of tokens of each document's whole text by a byte-level BPE, whose file of ranks is `vocabulary`.
+def token_count(coder, text: str | None) -> int:
+    """Tokens of the whole text.
 
-    Null texts have no tokens.  Runs of one character are cut at 20,000 characters between words, so that very long texts
-    take time in proportion to their length.
+    A long text is cut where a blank follows another character: there a token ends in any pattern whose tokens have blanks
+    in front alone.  Of a long run of blanks all but the last, which may belong to the next word, are one piece.
     """
-    path = vocabulary or default_tokenizer()
+    if not text:
+        return 0
+    if len(text) < LONG:
+        return len(coder.encode_ordinary(text))
+    n, at = 0, 0
+    for m in RUN.finditer(text):
+        if m.start() - at >= LONG or m.end() - m.start() >= LONG:
+            n += len(coder.encode_ordinary(text[at : m.start()])) if m.start() > at else 0
+            at = m.start()
+        if m.end() - m.start() >= LONG:
+            end = m.end() - (m.end() < len(text))
+            n += len(coder._encode_single_piece(text[at:end]))
+            at = end
+    return n + (len(coder.encode_ordinary(text[at:])) if at < len(text) else 0)
+
+
+def with_tokens(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, source, tokens): the number of tokens of each document's whole text by a byte-level BPE.
+
+    vocabulary is the file of its ranks, pattern what it splits words by; by default those of default_tokenizer().  Null
+    texts have no tokens.
+    """
+    path, pattern = (vocabulary, pattern) if vocabulary and pattern else [given or own for given, own in zip((vocabulary, pattern), default_tokenizer())]
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.trim("source").alias("source"), "text").where("doc_id is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-        def size(t: str | None) -> int:
-            if not t:
-                return 0
-            if len(t) < 20_000:
-                return len(coder.encode_ordinary(t))
-            n, at = 0, 0
-            while at < len(t):
-                end = min(len(t), at + 20_000)
-                space = t.rfind(" ", at + 1, end) if end < len(t) else -1
-                end = space if space > at else end
-                n += len(coder.encode_ordinary(t[at:end]))
-                at = end
-            return n
-
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [size(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [token_count(coder, t) for t in b["text"]]})
 
     return rows.mapInPandas(count, "doc_id bigint, source string, tokens bigint")
 
@@ -91,36 +106,33 @@ def fit_domains(rows: list[tuple[str, str]], names: list[str]) -> tuple[np.ndarr
     return w, b
 
 
-def domain_memberships(documents: DataFrame, targets: list[str], most_labelled: int = 4000, confident: float = 0.9, most_chars: int = 20_000_000) -> DataFrame:
-    """(doc_id, members): members maps domain to probability for the documents without a source.
+def domain_memberships(documents: DataFrame, targets: list[str], most_labelled: int = 4000, most_chars: int = 20_000_000, confident: float = 0.0) -> DataFrame:
+    """(doc_id, p): the probability of each domain, in the order of targets and then '', for the documents without a source.
 
-    The classifier is fitted on at most `most_labelled` documents with a source, of `most_chars` characters in all, taken in
-    order of a hash; sources that are not listed
-    count as one further domain ''.  A document whose likeliest domain stays below `confident` belongs to ''.
+    The classifier is fitted on at most `most_labelled` documents with a source, of `most_chars` characters in all, chosen by
+    a hash; sources that are not listed count as one further domain ''.  Domains without such a document have probability 0.
+    With `confident` above 0, documents whose likeliest domain stays below it belong to '' alone; by default all count as far
+    as they are likely to belong.
     """
     spark = documents.sparkSession
     names = [*targets, ""]
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.trim("source").alias("source"), "text").where("doc_id is not null")
-    known = docs.where("source is not null and source != '' and text is not null").orderBy(F.xxhash64("doc_id")).limit(most_labelled)
-    rows, size = [], 0
-    for r in known.toLocalIterator():
-        size += len(r.text)
-        if size > most_chars and rows:
-            break
-        rows.append((r.text, r.source if r.source in targets else ""))
-    rows.sort()
+    known = docs.where("source is not null and source != '' and text is not null")
+    rows = sorted((r.text, r.source if r.source in targets else "") for r in sampled(known, ["doc_id"], most_labelled, F.length("text"), most_chars))
     w, b = fit_domains(rows, names)
-    given = spark.sparkContext.broadcast((w.astype(np.float32), b))
+    seen = np.array([n in {s for _, s in rows} for n in names])
+    given = spark.sparkContext.broadcast((w.astype(np.float32), b, seen if seen.any() else seen | (np.arange(len(names)) == len(names) - 1)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, b = given.value
+        w, b, seen = given.value
         for x in batches:
             out = []
             for doc_id, text in zip(x["doc_id"], x["text"]):
                 f = _features(text)
                 z = w[f].sum(axis=0) / np.sqrt(len(f) + 1) + b
-                p = np.exp(z - z.max())
-                p = np.where(p >= 0.05 * p.sum(), p, 0.0)
+                p = np.where(seen, np.exp(z - z[seen].max()), 0.0)
+                p /= p.sum()
+                p = np.where(p >= NIL, p, 0.0)
                 p /= p.sum()
                 out.append((doc_id, [float(v) for v in (p if p[:-1].max(initial=0.0) >= confident else np.eye(len(p))[-1])]))
             yield pd.DataFrame(out, columns=["doc_id", "p"])
@@ -168,50 +180,56 @@ def rate_of(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.nda
     return rate
 
 
-def mixed_documents(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, total: float | None = None, buckets: int = 16) -> DataFrame:
-    """(doc_id, source, tokens, copies): how often each document is used so that each source has its share of all tokens used.
+def mixed_documents(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, total: float | None = None, buckets: int = 16, pattern: str | None = None, confident: float = 0.0) -> DataFrame:
+    """(doc_id, source, tokens, p, copies): how often each document is used so that each source has its share of all tokens used.
 
-    targets: source_name, target_share, max_repeats; shares are put to sum 1 over the sources that have text.  total is the
-    number of tokens wanted; by default the largest at which no source needs more than max_repeats copies of each of its
-    documents, so that every source that has text reaches its share.  With a larger total, sources too small for it stay at
-    their cap, and mix_shares() shows how far they got.  Documents of other sources, and of none unless the classifier is
-    sure of one, are not used (copies 0).  Copies are spread evenly over a source's documents in order of their size: whole
-    parts of the rate for all, one more for as many as the rest asks, exactly to one document per source.  No document has
-    more than max_repeats copies, of any row; null and empty texts have none.
+    targets: source_name, target_share, max_repeats; shares are put to sum 1 over the sources that have text.  p says how far
+    the document belongs to each source of domains() and, last, to none of them: wholly to its own source, if it has one,
+    else as likely as domain_memberships() says; `confident` is explained there.  A source's tokens are those expected by p.
+    total is the number of tokens wanted; by default the largest at which no source needs more than max_repeats copies of
+    what belongs to it, so that every source that has text reaches its share.  With a larger total, sources too small for it
+    stay at their cap, and mix_shares() shows how far they got.  Documents of sources that are not listed are not used
+    (copies 0).  Copies are spread evenly over a source's documents in order of their size: whole parts of the rate for all,
+    one more for as many as the rest asks, exactly to one document per source.  No document has more than max_repeats copies,
+    of any row, of any source it may belong to; null and empty texts have none.
     """
-    want = {r.source_name.strip(): (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.collect() if r.source_name and r.source_name.strip()}
+    want = domains(targets)
     names = list(want)
-    sized = cut(with_tokens(documents, vocabulary))
-    soft = domain_memberships(documents, names)
+    k = len(names)
+    sized = cut(with_tokens(documents, vocabulary, pattern))
+    soft = domain_memberships(documents, names, confident=confident)
     place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.lit(None).cast("map<string,int>")
-    at = F.coalesce(place[F.col("source")], F.lit(len(names)))
-    hard = F.transform(F.sequence(F.lit(0), F.lit(len(names))), lambda i: F.when(i == at, 1.0).otherwise(0.0))
-    rows = sized.join(soft, "doc_id", "left").withColumn("p", F.coalesce("p", hard))
-    caps = F.array(*[F.lit(float(want[n][1])) for n in names], F.lit(0.0))
-    # A document may not be used oftener than the strictest of the domains it may belong to allows.
-    rows = rows.withColumn("cap", F.when(F.col("tokens") > 0, F.array_min(F.transform(F.filter(F.arrays_zip(F.col("p").alias("p"), caps.alias("c")), lambda x: x["p"] >= 0.05), lambda x: x["c"]))).otherwise(0.0))
-    rows = cut(rows.select("doc_id", "source", "tokens", "p", F.coalesce("cap", F.lit(0.0)).alias("cap")))
+    at = F.coalesce(place[F.col("source")], F.lit(k))
+    hard = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
+    has_source = "source is not null and source != ''"
+    rows = sized.where(has_source).withColumn("p", hard).unionByName(sized.where(f"not coalesce({has_source}, false)").join(soft.groupBy("doc_id").agg(F.max("p").alias("p")), "doc_id").select(*sized.columns, "p"))
+    caps = F.array(*[F.lit(float(want[n][1])) for n in names], F.lit(None).cast("double"))
+    # A document may not be used oftener than the strictest of the sources it may well belong to allows.
+    allowed = F.array_min(F.transform(F.filter(F.arrays_zip(F.col("p").alias("p"), caps.alias("c")), lambda x: (x["p"] >= 0.05) & x["c"].isNotNull()), lambda x: x["c"]))
+    rows = cut(rows.select("doc_id", "source", "tokens", "p", F.when(F.col("tokens") > 0, F.coalesce(allowed, F.lit(0.0))).otherwise(0.0).alias("cap")))
     groups = cut(rows.where("cap > 0").groupBy("p", "cap").agg(F.sum("tokens").cast("double").alias("tokens")))
-    # What a domain can give is counted by the documents that chiefly belong to it.
-    room = {r.i: r.v for r in groups.select(F.posexplode("p").alias("i", "q"), "cap", "tokens").where("q >= 0.5").groupBy("i").agg(F.sum(F.col("q") * F.col("cap") * F.col("tokens")).alias("v")).collect()}
+    room = {r.i: r.v for r in groups.select(F.posexplode("p").alias("i", "q"), "cap", "tokens").groupBy("i").agg(F.sum(F.col("q") * F.col("cap") * F.col("tokens")).alias("v")).collect()}
     there = {n: want[n] for i, n in enumerate(names) if room.get(i, 0) > 0 and want[n][0] > 0}
     whole = sum(s for s, _ in there.values())
     if not there:
-        return rows.select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
+        return rows.select("doc_id", "source", "tokens", "p", F.lit(0).alias("copies"))
     shares = {n: (want[n][0] / whole if n in there else 0.0, want[n][1]) for n in names}
     size = total or min(room[i] / shares[n][0] for i, n in enumerate(names) if n in there)
     history = fit_rates(groups, shares, size)
-    k = len(names)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = np.array(b["p"].tolist()).reshape(len(b), -1)[:, :k]
-            yield pd.DataFrame({"p": b["p"], "cap": b["cap"], "rate": rate_of(p, b["cap"].to_numpy(), history)})
-
-    by_group = groups.mapInPandas(rates, "p array<double>, cap double, rate double")
-    rated = rows.join(by_group, ["p", "cap"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+            yield b.assign(rate=rate_of(p, b["cap"].to_numpy(), history))
+
+    # Rates of whole members go by their source; only documents without one are worked out one by one.
+    own = rate_of(np.eye(k), np.array([float(want[n][1]) for n in names]), history)
+    by_source = F.element_at(F.array(*map(F.lit, own.tolist()), F.lit(0.0)), F.array_position("p", F.lit(1.0)).cast("int"))
+    sure = F.array_max("p") == 1.0
+    rated = rows.where(sure).withColumn("rate", F.when(F.col("cap") > 0, by_source).otherwise(0.0))
+    rated = rated.unionByName(rows.where(~sure).mapInPandas(rates, "doc_id bigint, source string, tokens bigint, p array<double>, cap double, rate double"))
     main = F.array_position("p", F.array_max("p"))
-    rated = rated.select("doc_id", "source", "tokens", "cap", "rate", main.alias("domain"), F.floor(F.log2(F.greatest("tokens", F.lit(1))) * 16).cast("int").alias("size"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(buckets)).alias("bucket"), F.xxhash64("doc_id", F.lit(2)).alias("h"))
+    rated = rated.select("doc_id", "source", "tokens", "p", "cap", "rate", main.alias("domain"), F.floor(F.log2(F.greatest("tokens", F.lit(1))) * 16).cast("int").alias("size"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(buckets)).alias("bucket"), F.xxhash64("doc_id", F.lit(2)).alias("h"))
     # One more copy for every whole step of the running sum of the rates' parts, along the documents' size: so the documents
     # chosen have the sizes of all. The sum runs inside buckets of like size, from what the buckets before them had.
     rated = rated.withColumn("part", F.col("rate") - F.floor("rate"))
@@ -219,12 +237,29 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, vocabulary: str |
     run = F.sum("part").over(W.partitionBy("domain", "size", "bucket").orderBy("tokens", "h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
     spread = rated.join(F.broadcast(before), ["domain", "size", "bucket"]).withColumn("upto", F.col("past") + run)
     extra = F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("part") + 1e-9)
-    return spread.select("doc_id", "source", "tokens", F.least(F.floor("rate") + extra, F.col("cap")).cast("int").alias("copies"))
+    return spread.select("doc_id", "source", "tokens", "p", F.least(F.floor("rate") + extra, F.col("cap")).cast("int").alias("copies"))
+
+
+def domains(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Source name -> (target share, most copies), in order of the names; a table of targets is small by its nature."""
+    rows = targets.select("source_name", "target_share", "max_repeats").collect()
+    got = {r.source_name.strip(): (float(r.target_share or 0), int(r.max_repeats or 0)) for r in rows if r.source_name and r.source_name.strip()}
+    return dict(sorted(got.items()))
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source_name, target_share, share, tokens_used, documents_used, most_copies) per listed source, and '' for text of no listed source."""
-    used = mixed.where("copies > 0").groupBy(F.coalesce("source", F.lit("")).alias("source_name")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("documents_used"), F.max("copies").alias("most_copies"))
-    listed = targets.groupBy(F.trim("source_name").alias("source_name")).agg(F.max("target_share").alias("target_share"))
+    """(source_name, target_share, share, tokens_used, documents_used, most_copies) per listed source, and '' for other text that is used.
+
+    A document without a source counts for each source as far as it belongs to it; documents_used and most_copies are those
+    of the documents that chiefly belong to it.
+    """
+    want = domains(targets)
+    names = F.array(*map(F.lit, [*want, ""]))
+    chief = F.array_position("p", F.array_max("p")) - 1
+    each = mixed.where("copies > 0").select(F.posexplode("p").alias("i", "q"), "tokens", "copies", chief.alias("chief")).where("q > 0")
+    mine = F.col("i") == F.col("chief")
+    used = each.groupBy("i").agg(F.sum(F.col("q") * F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count_if(mine).alias("documents_used"), F.max(F.when(mine, F.col("copies"))).alias("most_copies"))
+    used = used.select(names[F.col("i")].alias("source_name"), "tokens_used", "documents_used", "most_copies")
+    listed = mixed.sparkSession.createDataFrame([(n, s) for n, (s, _) in want.items()], "source_name string, target_share double")
     every = used.join(listed, "source_name", "full").fillna(0)
-    return every.crossJoin(F.broadcast(every.agg(F.sum("tokens_used").alias("all")))).select("source_name", "target_share", F.round(F.col("tokens_used") / F.greatest("all", F.lit(1)), 6).alias("share"), "tokens_used", "documents_used", "most_copies")
+    return every.crossJoin(F.broadcast(every.agg(F.sum("tokens_used").alias("all")))).select("source_name", "target_share", F.round(F.col("tokens_used") / F.greatest("all", F.lit(1.0)), 6).alias("share"), F.round("tokens_used").cast("bigint").alias("tokens_used"), "documents_used", "most_copies")

@@ -81,7 +81,7 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_mix")
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets")).drop("p")
 
 
 @query("p9_shares")

@@ -48,3 +48,27 @@ def test_nulls_and_empty_tables(spark):
     assert {r.doc_id for r in document_subjects(docs, labels, subjects).collect()} <= {4}
     for d, l, s in ((docs.where("false"), labels, subjects), (docs, labels.where("false"), subjects), (docs, labels, subjects.where("false"))):
         assert document_subjects(d, l, s).collect() == []
+
+
+def test_languages_are_a_parameter(spark):
+    rng = random.Random(3)
+    words = {"law": ["gericht", "klausel", "richter"], "sport": ["spiel", "tor", "liga"]}
+    rows, truth = [], {}
+    for d in range(300):
+        sub = rng.choice(["law", "sport"])
+        rows.append((d, ". ".join(" ".join(w for _ in range(4) for w in (rng.choice(["der", "die", "und"]), rng.choice(words[sub]))) for _ in range(9)), "", 0.0))
+        truth[d] = sub
+    labels = spark.createDataFrame([(d, s) for d, s in truth.items() if d % 2], "doc_id bigint, subject string")
+    found = document_subjects(spark.createDataFrame(rows, DOCS), labels, spark.createDataFrame([("law",), ("sport",)], "subject string"), languages={"de": "der die und das in zu"})
+    got = {r.doc_id: r.subject for r in found.collect()}
+    assert sum(got.get(d) == s for d, s in truth.items()) >= 290
+
+
+def test_weights_solve_for_fixed_components():
+    import numpy as np
+
+    from tramline.llm.subjects import sentence_weights
+
+    h = np.array([[0.9, 0.05], [0.05, 0.9], [0.05, 0.05]], dtype=np.float32)
+    w = sentence_weights(np.array([0, 0, 0, 1, 1, 0, 2]), np.array([0, 3]), h, np.array([0.5, 0.5]), 30)
+    assert w[0, 0] > 0.99 and abs(w[1, 1] - 0.66) < 0.1 and np.allclose(w.sum(axis=1), 1)

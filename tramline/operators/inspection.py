@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tramline.common import strip
 from tramline.contract import REQUIRED
 from tramline.operators.service_dates import active_dates
-from tramline.plans.ledger import as_findings, finding, row_checks, union
+from tramline.plans.ledger import FINDING, as_findings, finding, row_checks, union
 
 BUS_TYPES, RAIL_TYPES = ["3", "11"], ["0", "1", "2", "5", "7", "12"]
 
@@ -61,11 +61,14 @@ def inspected(t: dict[str, DataFrame], kind: str = "bus") -> DataFrame:
     """All findings of the inspection; a feed without calendar or shapes counts as one where they are empty."""
     none = lambda name: t["trips"].select(*[F.lit("").alias(c) for c in REQUIRED[name]], "_feed", "_row").where("false")
     t = {name: none(name) for name in ("calendar", "shapes")} | t
-    per = trip_kinds(t)
-    severity, category = F.when(F.col("rule_id") == "INS010", "error").otherwise("warning"), F.when(F.col("rule_id") == "INS010", "Technical").otherwise("Agency review")
-    grouped = per.select(F.col("_feed").alias("feed"), *finding("", severity, "", "trips", F.col("first_row"), F.col("route_id"), F.col("trips").cast("string"))).drop("rule_id", "category")
-    named = per.select(F.col("_feed").alias("feed"), F.col("route_id").alias("key"), F.col("rule_id"), category.alias("category"), F.col("first_row").alias("row"))
-    return union([row_inspections(t, kind), routes_without_trips(t), grouped.join(named, ["feed", "key", "row"]).where((F.col("rule_id") == "INS010") == (F.col("severity") == "error")).dropDuplicates()])
+    return union([row_inspections(t, kind), routes_without_trips(t), kind_findings(trip_kinds(t))])
+
+
+def kind_findings(kinds: DataFrame) -> DataFrame:
+    """The findings of trip_kinds(): one per route and kind, at the first trip's row."""
+    hard = F.col("rule_id") == "INS010"
+    parts = finding("", F.when(hard, "error").otherwise("warning"), "", "trips", F.col("first_row"), F.col("route_id"), F.col("trips").cast("string"))
+    return kinds.select(F.col("_feed").alias("feed"), "rule_id", F.when(hard, "Technical").otherwise("Agency review").alias("category"), *[c for c, n in zip(parts, FINDING) if n not in ("rule_id", "category")])
 
 
 def route_rollup(t: dict[str, DataFrame]) -> DataFrame:

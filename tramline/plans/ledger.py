@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from tramline.contract import FINDINGS_CAP, SEVERITIES
 
-COLUMNS = ["feed", "rule_id", "severity", "category", "file", "row", "key", "observed", "expected"]
+FINDING = ["rule_id", "severity", "category", "file", "row", "key", "observed", "expected", "context"]
+COLUMNS = ["feed", *FINDING]
 
 
 def _text(v: Column | str | None) -> Column:
     return (F.lit(v) if v is None or isinstance(v, str) else v).cast("string")
 
 
-def finding(rule: str, severity: str | Column, category: str, file: str, row: Column | None = None, key: Column | str | None = None, observed: Column | str | None = None, expected: Column | str | None = None) -> list[Column]:
-    values = {"rule_id": _text(rule), "severity": _text(severity), "category": _text(category), "file": _text(file), "row": (F.lit(None) if row is None else row).cast("bigint"), "key": _text(key), "observed": _text(observed), "expected": _text(expected)}
+def finding(rule: str, severity: str | Column, category: str, file: str, row: Column | None = None, key: Column | str | None = None, observed: Column | str | None = None, expected: Column | str | None = None, context: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of FINDING; context is what else tells the finding, as JSON with its keys in order."""
+    values = {"rule_id": _text(rule), "severity": _text(severity), "category": _text(category), "file": _text(file), "row": (F.lit(None) if row is None else row).cast("bigint"), "key": _text(key), "observed": _text(observed), "expected": _text(expected), "context": F.to_json(F.struct(*[c.alias(n) for n, c in sorted(context.items())])) if context else _text(None)}
     return [v.alias(n) for n, v in values.items()]
 
 
@@ -63,12 +65,14 @@ def rule_counts(findings: DataFrame) -> DataFrame:
 
 def samples(findings: DataFrame, by: list[str], k: int, buckets: int = 64) -> DataFrame:
     """The first k rows per group with the group's exact total; the ranking runs in buckets first, so no group meets in one task whole."""
-    total = findings.groupBy(*by).agg(F.count("*").alias("total"))
     order = [F.col("row").asc_nulls_last(), "key", "observed"]
     near = findings.withColumn("_b", F.pmod(F.xxhash64("row", "key", "observed"), F.lit(buckets)))
-    near = near.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order))).where(F.col("_i") <= k)
-    top = near.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
-    return top.drop("_b", "_i").join(F.broadcast(total), by)
+    inside = W.partitionBy(*by, "_b")
+    near = near.withColumn("_i", F.row_number().over(inside.orderBy(*order))).withColumn("_n", F.count("*").over(inside)).where(F.col("_i") <= k)
+    # The first row of a bucket brings the bucket's number; the buckets' sum is the group's.
+    whole = W.partitionBy(*by)
+    top = near.withColumn("total", F.sum(F.when(F.col("_i") == 1, F.col("_n"))).over(whole)).withColumn("place", F.row_number().over(whole.orderBy(*order))).where(F.col("place") <= k)
+    return top.drop("_b", "_i", "_n")
 
 
 def capped(findings: DataFrame, cap: int = FINDINGS_CAP) -> tuple[DataFrame, int]:

@@ -51,14 +51,43 @@ def with_trips(summaries: DataFrame, trips: DataFrame, routes: DataFrame) -> Dat
 
 
 def variations(named: DataFrame) -> DataFrame:
-    """(_feed, route_name, stop_print, variation, ...): the distinct stop patterns of a route, numbered V1, V2 ...
+    """(_feed, route_name, stop_print, variation, ...): the distinct stop patterns of a route, numbered V1, V2 ..., with their
+    distinct headsigns, shapes and directions; the trips of each are rows of variation_members().
 
     Numbered by direction, headsign, number of stops, first time and print of the trip that leaves first, as texts.
     """
     first = F.min(F.struct("first_time", "last_time", "trip_id", "direction_id", "headsign", "stop_count")).alias("m")
-    per = named.groupBy("_feed", "route_name", "stop_print").agg(first, F.count("*").alias("trips"), F.count_distinct("shape_id").alias("shapes"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+    per = named.groupBy("_feed", "route_name", "stop_print").agg(first, F.count("*").alias("trips"), F.count_distinct("shape_id").alias("shapes"), *[F.sort_array(F.collect_set(c)).alias(n) for c, n in (("shape_id", "shape_ids"), ("direction_id", "direction_ids"), ("headsign", "headsigns"))], F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
     w = W.partitionBy("_feed", "route_name").orderBy("m.direction_id", "m.headsign", "m.stop_count", "m.first_time", "stop_print")
-    return per.withColumn("variation", F.concat(F.lit("V"), F.row_number().over(w).cast("string"))).select("_feed", "route_name", "stop_print", "variation", F.col("m.trip_id").alias("example_trip"), F.col("m.direction_id").alias("direction_id"), F.col("m.headsign").alias("headsign"), F.col("m.stop_count").alias("stop_count"), "trips", "shapes", "first_time", "last_time")
+    return per.withColumn("variation", F.concat(F.lit("V"), F.row_number().over(w).cast("string"))).select("_feed", "route_name", "stop_print", "variation", F.col("m.trip_id").alias("example_trip"), F.col("m.direction_id").alias("direction_id"), F.col("m.headsign").alias("headsign"), F.col("m.stop_count").alias("stop_count"), "trips", "shapes", "shape_ids", "direction_ids", F.array_join("headsigns", " ").alias("headsigns"), "first_time", "last_time")
+
+
+def variation_members(named: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(_feed, route_name, variation, trip_id): the trips of each variation of variations()."""
+    return named.join(catalog.select("_feed", "route_name", "stop_print", "variation"), ["_feed", "route_name", "stop_print"]).select("_feed", "route_name", "variation", "trip_id")
+
+
+def numbered_by_first(rows: DataFrame, within: list[str], key: list[str], prefix: str) -> DataFrame:
+    """(within, key, variation): distinct keys numbered <prefix>1, <prefix>2 ... by the first row (_row) that has them."""
+    first = rows.groupBy(*within, *key).agg(F.min("_row").alias("_first"))
+    return first.withColumn("variation", F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(*within).orderBy("_first", *key)).cast("string"))).drop("_first")
+
+
+def final_variations(named: DataFrame, catalog: DataFrame, left: str, right: str, final: str) -> DataFrame:
+    """(route_name, variation, stop_print, trips, source): a release's patterns per route, numbered in order of their prints,
+    and which of the two sources has the pattern on that route: both, left, right or none."""
+    per = named.where(F.col("_feed") == final).groupBy("route_name", "stop_print").agg(F.count("*").alias("trips"))
+    per = per.withColumn("variation", F.concat(F.lit("Final V"), F.row_number().over(W.partitionBy("route_name").orderBy("stop_print")).cast("string")))
+    held = catalog.where(F.col("_feed").isin(left, right)).groupBy("route_name", "stop_print").agg(F.max((F.col("_feed") == left).cast("int")).alias("l"), F.max((F.col("_feed") == right).cast("int")).alias("r"))
+    source = F.when((F.col("l") == 1) & (F.col("r") == 1), "both").when(F.col("l") == 1, left).when(F.col("r") == 1, right).otherwise("none")
+    return per.join(held, ["route_name", "stop_print"], "left").select("route_name", "variation", "stop_print", "trips", source.alias("source"))
+
+
+def journeys_by_variation(named: DataFrame, catalog: DataFrame, left: str, right: str) -> DataFrame:
+    """(_feed, route_name, variation, comparable, affected): common journeys that each variation serves, and those of them without a shared pattern."""
+    met = compared_journeys(named, left, right).select(*JOURNEY, F.when(F.col("shared") == 0, 1).otherwise(0).alias("bad"))
+    each = journeys(named.where(F.col("_feed").isin(left, right))).select("_feed", *JOURNEY, "stop_print").distinct().join(met, JOURNEY)
+    return each.join(catalog.select("_feed", "route_name", "stop_print", "variation"), ["_feed", "route_name", "stop_print"]).groupBy("_feed", "route_name", "variation").agg(F.count("*").alias("comparable"), F.sum("bad").alias("affected"))
 
 
 JOURNEY = ["route_name", "direction_id", "head", "first_time", "last_time"]

@@ -74,7 +74,7 @@ def journey_findings(journeys: DataFrame, pairs: DataFrame) -> DataFrame:
     """TRP102: common journeys without a shared pattern; TRP103: pairs of variations that differ and are not ambiguous."""
     key = F.concat_ws(" ¦ ", "route_name", "direction_id", "head", "first_time", "last_time")
     one = _as(journeys.where("shared = 0"), finding("TRP102", "warning", "Trip reconciliation", "stop_times", None, key, F.col("left_patterns").cast("string"), F.col("right_patterns").cast("string")))
-    two = _as(pairs.where("status = 'issues' and not ambiguous"), finding("TRP103", "warning", "Trip reconciliation", "stop_times", None, F.concat_ws(" ¦ ", "route_name", "left", "right"), F.col("difference").cast("string")))
+    two = _as(pairs.where("status = 'issues'"), finding("TRP103", "warning", "Trip reconciliation", "stop_times", None, F.concat_ws(" ¦ ", "route_name", "left", "right"), F.col("difference").cast("string")))
     return one.unionByName(two)
 
 

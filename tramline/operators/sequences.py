@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tramline.common import cut
+
 
 def _blocks(a: list, b: list) -> list[tuple]:
     return SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()
@@ -43,11 +45,12 @@ def mismatch_places(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def likeness(a: list, b: list, head_a: str, head_b: str) -> tuple[float, float]:
-    """(sequence ratio, score): 82 % sequence, 8 % equal end stops, 6 % equal headsign, 4 % like number of stops."""
+    """(sequence ratio, score): 82 % sequence, 8 % equal end stops, 6 % ratio of the headsigns' characters, 4 % like number of stops."""
     ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
-    ends = ((a[:1] == b[:1]) + (a[-1:] == b[-1:])) / 2
+    ends = ((a[0] == b[0]) + (a[-1] == b[-1])) / 2 if a and b else 0.0
+    heads = SequenceMatcher(None, head_a or "", head_b or "", autojunk=False).ratio()
     size = min(len(a), len(b)) / max(len(a), len(b), 1)
-    return ratio, 0.82 * ratio + 0.08 * ends + 0.06 * (head_a == head_b) + 0.04 * size
+    return ratio, 0.82 * ratio + 0.08 * ends + 0.06 * heads + 0.04 * size
 
 
 @F.pandas_udf(T.StructType().add("ratio", T.DoubleType()).add("score", T.DoubleType()))
@@ -110,72 +113,123 @@ def only_in_one(aligned: DataFrame, rows: str = "rows") -> DataFrame:
     return aligned.select("*", F.explode(rows).alias("_r")).where("_r.status in ('left_only', 'right_only') and _r.block != 'replace'").select("*", "_r.*").drop("_r", rows)
 
 
-PAIRS = "route_name string, left string, right string, left_trips bigint, right_trips bigint, difference int, similarity_pct double, ambiguous boolean, direction string, status string"
+def common_share(least: float) -> float:
+    """The share of its stops that a sequence has in common with any that reaches a ratio of `least` with it."""
+    # 2c >= least (x + y) and c <= min(x, y) give y >= x least / (2 - least), hence c >= x least / (2 - least).
+    return least / (2 - least)
 
 
-def paired_variations(variations: DataFrame, links: DataFrame, left: str, right: str, least: float = 0.70, close: float = 0.015) -> DataFrame:
-    """One-to-one pairs of the two feeds' variations of each route.
+def like_candidates(left: DataFrame, right: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(route_name, left, right): variations of one route that may reach a ratio of `least`, or that share journeys (links).
 
-    variations: (_feed, route_name, variation, direction_id, headsign, stops, trips); links: (route_name, left, right, n)
-    counts the journeys two variations share.  Whether direction ids agree or are swapped is judged by how many variations
-    find a like one in the same and in the other direction.  Candidates go by equality, then shared journeys, then score;
-    a pair is ambiguous if it differs and a variation still free scores within `close` of it.  The rest is not comparable.
-    Greedy choice is in sequence, so a route's variations - its distinct patterns, not its trips - meet in one task.
+    left, right: (route_name, variation, stops).  A stop and how often it came before make a token, so that common tokens
+    bound the ratio.  Tokens are ordered by how few of the route's variations have them; two sequences that are like enough
+    then share one among the first of each, so only variations that share a rare token meet, not all of a route.
     """
+    def token(df: DataFrame, name: str) -> DataFrame:
+        stops = df.select("route_name", F.col("variation").alias(name), F.explode("stops").alias("stop")).groupBy("route_name", name, "stop").agg(F.count("*").alias("n"))
+        return stops.select("route_name", name, "stop", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth")).select("route_name", name, F.concat_ws("\x01", "stop", F.col("nth").cast("string")).alias("token"))
+
+    l, r = token(left, "left"), token(right, "right")
+    rare = l.select("route_name", "token").unionByName(r.select("route_name", "token")).groupBy("route_name", "token").agg(F.count("*").alias("uses"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        w = W.partitionBy("route_name", name)
+        placed = df.join(rare, ["route_name", "token"]).withColumn("i", F.row_number().over(w.orderBy("uses", "token"))).withColumn("size", F.count("*").over(w))
+        return placed.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * common_share(least) - 1e-9) + 1).select("route_name", name, "token", "size")
 
-    def pair(key: tuple, vs: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
-        route = key[0]
-        side = lambda f: vs[vs["_feed"] == f].sort_values("variation").to_dict("records")
-        a, b = side(left), side(right)
-        linked = {(x, y): int(n) for x, y, n in zip(ls["left"], ls["right"], ls["n"])}
-        # A ratio of `least` takes that share of common stops; only variations that have it, or share journeys, are compared.
-        holders = defaultdict(list)
-        for j, y in enumerate(b):
-            for stop, n in Counter(y["stops"]).items():
-                holders[stop].append((j, n))
-        place_a, place_b = {x["variation"]: i for i, x in enumerate(a)}, {y["variation"]: j for j, y in enumerate(b)}
-        near = {(place_a[x], place_b[y]) for x, y in linked if x in place_a and y in place_b}
-        for i, x in enumerate(a):
-            common = Counter()
-            for stop, n in Counter(x["stops"]).items():
-                for j, m in holders[stop]:
-                    common[j] += min(n, m)
-            near |= {(i, j) for j, n in common.items() if 2 * n >= least * (len(x["stops"]) + len(b[j]["stops"]))}
-        like = {(i, j): likeness(list(a[i]["stops"]), list(b[j]["stops"]), a[i]["headsign"], b[j]["headsign"]) for i, j in near}
+    met = first(l, "left").join(first(r, "right").withColumnRenamed("size", "size_r"), ["route_name", "token"])
+    near = met.where((F.least("size", "size_r") >= F.greatest("size", "size_r") * common_share(least) - 1e-9)).select("route_name", "left", "right")
+    known = links.select("route_name", "left", "right")
+    # Two empty sequences are equal and share no token.
+    none = lambda df, name: df.where("size(stops) = 0").select("route_name", F.col("variation").alias(name))
+    return near.unionByName(known).unionByName(none(left, "left").join(none(right, "right"), "route_name")).distinct()
+
+
+@F.pandas_udf(T.StructType().add("ratio", T.DoubleType()).add("score", T.DoubleType()).add("difference", T.IntegerType()).add("places", T.ArrayType(T.StringType())))
+def compared(a: pd.Series, b: pd.Series, head_a: pd.Series, head_b: pd.Series) -> pd.DataFrame:
+    out = []
+    for x, y, p, q in zip(a, b, head_a, head_b):
+        x, y = list(x), list(y)
+        out.append((*likeness(x, y, p, q), sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in _blocks(x, y) if tag != "equal"), change_places(x, y)))
+    return pd.DataFrame(out, columns=["ratio", "score", "difference", "places"])
+
+
+PAIRS = "route_name string, left string, right string, difference int, similarity_pct double, places array<string>, linked bigint, direction string, status string, reason string"
+
+
+def paired_variations(variations: DataFrame, links: DataFrame, left: str, right: str, least: float = 0.70, close: float = 0.015) -> DataFrame:
+    """One-to-one pairs of the two feeds' variations of each route: (route_name, left, right, left_trips, right_trips,
+    difference, similarity_pct, places, linked, direction, status, reason).
+
+    variations: (_feed, route_name, variation, direction_id, headsigns, stops, trips), headsigns joined to one text; links:
+    (route_name, left, right, n) counts the journeys two variations share.  Whether direction ids agree or are swapped is
+    judged by how many variations find a like one in the same and in the other direction.  Candidates go by equality, then
+    shared journeys, then score; similarity_pct is 100 times the score.  A pair is matching if its stops are equal,
+    ambiguous if they differ and a rival still free scores within `close` of it, else it has issues; the rest is
+    not_comparable.  Candidates are compared in parallel; only the greedy choice, which is in sequence, takes place per
+    route, on ids and numbers.
+    """
+    v = cut(variations)
+    side = lambda f: v.where(F.col("_feed") == f)
+    parts = lambda f, n: side(f).select("route_name", F.col("variation").alias(n), F.col("stops").alias(f"{n}_stops"), F.col("headsigns").alias(f"{n}_head"), F.col("direction_id").alias(f"{n}_way"))
+    found = like_candidates(side(left), side(right), links, least).join(parts(left, "left"), ["route_name", "left"]).join(parts(right, "right"), ["route_name", "right"])
+    found = found.withColumn("x", compared("left_stops", "right_stops", "left_head", "right_head")).join(links, ["route_name", "left", "right"], "left")
+    found = found.select("route_name", "left", "right", "left_way", "right_way", "x.*", F.coalesce("n", F.lit(0)).alias("linked")).where((F.col("ratio") >= least) | (F.col("linked") > 0))
+    found = found.withColumn("kind", F.lit("pair"))
+    alone = v.select("route_name", F.when(F.col("_feed") == left, F.col("variation")).alias("left"), F.when(F.col("_feed") == right, F.col("variation")).alias("right"), F.when(F.col("_feed") == left, F.col("direction_id")).alias("left_way"), F.when(F.col("_feed") == right, F.col("direction_id")).alias("right_way"), F.lit("one").alias("kind"))
+    every = found.unionByName(alone, allowMissingColumns=True)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        route = rows["route_name"].iloc[0]
+        one = rows[rows["kind"] == "one"]
+        way_a = dict(sorted((x, w) for x, w in zip(one["left"], one["left_way"]) if isinstance(x, str)))
+        way_b = dict(sorted((y, w) for y, w in zip(one["right"], one["right_way"]) if isinstance(y, str)))
+        found = {(r.left, r.right): r for r in rows[rows["kind"] == "pair"].itertuples(index=False)}
+        by_a: dict[str, list] = {}
+        by_b: dict[str, list] = {}
+        for (x, y), r in found.items():
+            by_a.setdefault(x, []).append(r)
+            by_b.setdefault(y, []).append(r)
 
         def quality(swap: bool) -> tuple:
-            free, n, exact, total = set(range(len(b))), 0, 0, 0.0
-            for i, x in enumerate(a):
-                want = {"0": "1", "1": "0"}.get(x["direction_id"], x["direction_id"]) if swap else x["direction_id"]
-                fits = [(like[i, j][0], -j) for j in free if (i, j) in like and b[j]["direction_id"] == want]
+            free, n, exact, total = set(way_b), 0, 0, 0.0
+            rank = {y: i for i, y in enumerate(way_b)}
+            for x, way in way_a.items():
+                want = {"0": "1", "1": "0"}.get(way, way) if swap else way
+                fits = [(r.ratio, -rank[r.right], r.right) for r in by_a.get(x, []) if r.right in free and way_b[r.right] == want]
                 if fits and max(fits)[0] >= least:
-                    r, j = max(fits)
-                    free.discard(-j)
-                    n, exact, total = n + 1, exact + (r == 1.0), total + r
+                    ratio, _, y = max(fits)
+                    free.discard(y)
+                    n, exact, total = n + 1, exact + (ratio == 1.0), total + ratio
             return n, exact, total
 
-        ids = {v["direction_id"] for v in [*a, *b]}
+        ids = {*way_a.values(), *way_b.values()}
         swapped = ids <= {"0", "1"} and quality(True) > quality(False)
-        facing = lambda x, y: x == y or (swapped and {x, y} == {"0", "1"} and x != y) if not swapped else x != y or x not in ("0", "1")
-        cands = []
-        for (i, j), (ratio, score) in like.items():
-            n = linked.get((a[i]["variation"], b[j]["variation"]), 0)
-            if facing(a[i]["direction_id"], b[j]["direction_id"]) and (ratio == 1.0 or n or ratio >= least):
-                cands.append((3.0 if ratio == 1.0 else 2 + min(n, 50) / 1000 if n else score, score, i, j))
-        cands.sort(key=lambda c: (-c[0], -c[1], a[c[2]]["variation"], b[c[3]]["variation"]))
-        free_a, free_b, out = set(range(len(a))), set(range(len(b))), []
-        for _, score, i, j in cands:
-            if i not in free_a or j not in free_b:
+        facing = lambda x, y: (x != y) if swapped else (x == y)
+        weight = lambda r: 3.0 if r.difference == 0 else 2 + min(r.linked, 50) / 1000 if r.linked else r.score
+        cands = sorted((r for r in found.values() if facing(way_a.get(r.left), way_b.get(r.right))), key=lambda r: (-weight(r), -r.score, r.left, r.right))
+        free_a, free_b, out = set(way_a), set(way_b), []
+        direction = "reversed" if swapped else "same"
+        for r in cands:
+            if r.left not in free_a or r.right not in free_b:
                 continue
-            x, y = a[i], b[j]
-            d = sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in _blocks(x["stops"], y["stops"]) if tag != "equal")
-            rivals = [c for c in cands if (c[2] == i) != (c[3] == j) and c[2] in free_a and c[3] in free_b and abs(c[1] - score) <= close]
-            free_a.discard(i)
-            free_b.discard(j)
-            out.append((route, x["variation"], y["variation"], x["trips"], y["trips"], d, round(100 * like[i, j][0], 1), bool(d and rivals), "reversed" if swapped else "same", "match" if d == 0 else "issues"))
-        out += [(route, a[i]["variation"], None, a[i]["trips"], None, None, None, False, "reversed" if swapped else "same", "not_comparable") for i in sorted(free_a)]
-        out += [(route, None, b[j]["variation"], None, b[j]["trips"], None, None, False, "reversed" if swapped else "same", "not_comparable") for j in sorted(free_b)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")]).astype({"left_trips": "Int64", "right_trips": "Int64", "difference": "Int32"})
-
-    links = links.select(F.col("route_name").alias("route"), "left", "right", "n")  # a name of its own: links may come from the same rows
-    return variations.groupBy("route_name").cogroup(links.groupBy("route")).applyInPandas(pair, PAIRS)
+            rivals = [c for c in (*by_a[r.left], *by_b[r.right]) if c is not r and c.left in free_a and c.right in free_b and facing(way_a[c.left], way_b[c.right]) and abs(c.score - r.score) <= close]
+            status = "matching" if r.difference == 0 else "ambiguous" if rivals else "issues"
+            reason = "several candidates are about as strong" if status == "ambiguous" else "equal stops" if r.difference == 0 else "shared journeys" if r.linked else "like stops"
+            free_a.discard(r.left)
+            free_b.discard(r.right)
+            out.append((route, r.left, r.right, r.difference, round(r.score * 100, 1), list(r.places), r.linked, direction, status, reason))
+        out += [(route, x, None, None, None, None, 0, direction, "not_comparable", "no like variation in the same direction") for x in sorted(free_a)]
+        out += [(route, None, y, None, None, None, 0, direction, "not_comparable", "no like variation in the same direction") for y in sorted(free_b)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")]).astype({"difference": "Int32", "linked": "Int64"})
+
+    chosen = every.groupBy("route_name").applyInPandas(choose, PAIRS)
+    count = lambda f, n: side(f).select("route_name", F.col("variation").alias(n), F.col("trips").alias(f"{n}_trips"))
+    return chosen.join(count(left, "left"), ["route_name", "left"], "left").join(count(right, "right"), ["route_name", "right"], "left")
+
+
+def pair_order() -> list:
+    """Sort columns of pairs: issues, ambiguous, matching, not comparable, then the pair's ids."""
+    rank = F.array_position(F.array(*map(F.lit, ["issues", "ambiguous", "matching", "not_comparable"])), F.col("status"))
+    return [rank, F.concat_ws("|", F.coalesce("left", F.lit("")), F.coalesce("right", F.lit("")))]

@@ -12,10 +12,11 @@ from tramline.operators.rules import whole
 from tramline.operators.service_dates import active_dates
 
 
-def dated_trips(t: dict[str, DataFrame], walk: DataFrame | None = None) -> DataFrame:
-    """(trip_id, canonical, schedule_print, dates, shape_print, fields...) per trip of one feed; dates sorted as texts."""
+def dated_trips(t: dict[str, DataFrame], walk: DataFrame | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(trip_id, canonical, schedule_print, dates, shape_print, fields...) per trip of one feed; dates within first..last (yyyyMMdd), sorted as texts."""
     trips = t["trips"].groupBy(strip("trip_id").alias("trip_id")).agg(F.min(F.struct("_row", *[strip(c).alias(c) for c in ("route_id", "service_id", "trip_headsign", "direction_id", "shape_id", "wheelchair_accessible", "bikes_allowed")])).alias("m")).select("trip_id", "m.*").where("trip_id != ''")
-    days = active_dates(t["calendar"], t.get("calendar_dates")).groupBy("service_id").agg(F.sort_array(F.collect_set(F.date_format("date", "yyyyMMdd"))).alias("dates"))
+    day = lambda d: d and f"{d[:4]}-{d[4:6]}-{d[6:]}"
+    days = active_dates(t["calendar"], t.get("calendar_dates"), day(first), day(last)).groupBy("service_id").agg(F.sort_array(F.collect_set(F.date_format("date", "yyyyMMdd"))).alias("dates"))
     prints = trip_summaries(t["stop_times"], walk).select("trip_id", "stop_count", "stop_print", "schedule_print")
     out = trips.join(days, "service_id", "left").join(prints, "trip_id", "left")
     if "shapes" in t:

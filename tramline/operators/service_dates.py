@@ -16,7 +16,7 @@ def active_dates(calendar: DataFrame, exceptions: DataFrame | None = None, first
     """(_feed, service_id, date): the dates on which services run, within first..last if given.
 
     A service's later rows replace earlier ones (by _row).  Exceptions add (1) or remove (2) dates, the last row per date
-    counts.  Rows with an unusable date or a span over ten years give no dates.
+    counts.  Rows with an unusable date give no dates; a span of over ten years within the window is an error.
     """
     day_flags = F.array(*[strip(d) for d in DAYS])
     cal = calendar.groupBy("_feed", strip("service_id").alias("service_id")).agg(F.max(F.struct("_row", day_flags.alias("flags"), date_of(strip("start_date")).alias("a"), date_of(strip("end_date")).alias("b"))).alias("m")).select("_feed", "service_id", "m.flags", "m.a", "m.b")
@@ -24,7 +24,8 @@ def active_dates(calendar: DataFrame, exceptions: DataFrame | None = None, first
         cal = cal.withColumn("a", F.greatest("a", F.lit(first).cast("date")))
     if last:
         cal = cal.withColumn("b", F.least("b", F.lit(last).cast("date")))
-    cal = cal.where(f"service_id != '' and a is not null and b is not null and a <= b and datediff(b, a) <= {LONGEST_DAYS}")
+    cal = cal.where("service_id != '' and a is not null and b is not null and a <= b")
+    cal = cal.withColumn("b", F.when(F.datediff("b", "a") > LONGEST_DAYS, F.raise_error(F.concat(F.lit("service runs over ten years: "), F.col("service_id"))).cast("date")).otherwise(F.col("b")))
     days = cal.select("_feed", "service_id", "flags", F.explode(F.sequence("a", "b")).alias("date")).where(F.col("flags")[F.weekday("date")] == "1").select("_feed", "service_id", "date")
     if exceptions is None:
         return days

@@ -49,5 +49,10 @@ def test_results_are_kept_by_their_inputs(spark, tmp_path):
     one, made = identity([str(tmp_path / "a")], {"k": 1}), []
     for _ in range(2):
         assert kept(spark, str(tmp_path / "c"), one, lambda: made.append(1) or spark.range(3)).count() == 3
+    from tramline.sources.policy import prune
+
+    (tmp_path / "c" / "mine").mkdir()
+    assert prune(str(tmp_path / "c"), 1 << 30, 30) == [] and prune(str(tmp_path / "c"), 1 << 30, 30, keep=(one,), reserve=2 << 30) == []
+    assert prune(str(tmp_path / "c"), 0, 30) == [one] and (tmp_path / "c" / "mine").exists()
     (tmp_path / "a").write_text("y")
     assert made == [1] and identity([str(tmp_path / "a")], {"k": 1}) != one != identity([str(tmp_path / "a")], {"k": 2})

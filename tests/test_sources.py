@@ -81,14 +81,12 @@ def test_structure(spark, tmp_path):
 
 def test_built_archives_are_the_same_and_compare_equal(spark, tmp_path, good, baseline):
     t = good[1]
-    more = baseline(routes=[("q1", "A", "9", "Rail", "2", "", "")], calendar=[("wk2", *"1111100", "20260105", "20260118")], trips=[("q1", "wk2", "u1", "Mill", "0", "g9", "1", "1")], stop_times=[("u1", "08:00:00", "08:00:00", "s1", "2", "0", "0", "1")], shapes=[("g9", "1", "2", "1"), ("g8", "1", "2", "1")])
-    one = analyses.build(t, more, str(tmp_path / "1.zip"), "20260101", "20260110")
-    two = analyses.build(t, more, str(tmp_path / "2.zip"), "20260101", "20260110")
+    rail = baseline(routes=[("q1", "A", "9", "Rail", "2", "", "")], calendar=[("wk2", *"1111100", "20260105", "20260118")], calendar_dates=[], trips=[("q1", "wk2", "u1", "Mill", "0", "g9", "1", "1")], stop_times=[("u1", "08:00:00", "08:00:00", "s1", "2", "0", "0", "1")], shapes=[("g9", "1", "2", "1"), ("g8", "1", "2", "1")])
+    make = lambda n: analyses.build(t, t, str(tmp_path / n), "20260101", "20260118", rail, allow_draft=True)
+    one, two = make("1.zip"), make("2.zip")
     assert one["sha256"] == two["sha256"] and one["rows"]["trips"] == 2 and one["rows"]["shapes"] == 3
     with pytest.raises(FileExistsError):
-        analyses.build(t, more, str(tmp_path / "1.zip"), "20260101", "20260110")
-    with pytest.raises(ValueError):
-        analyses.build(t, t, str(tmp_path / "3.zip"), "20260101", "20260110")
+        make("1.zip")
     a, b = analyses.load(spark, one["path"], "a", True), analyses.load(spark, good[0], "b", True)
     assert all(d.isEmpty() for d in analyses.compare(a, analyses.load(spark, two["path"], "b")).values())
     diff = analyses.compare(a, b)
@@ -96,23 +94,63 @@ def test_built_archives_are_the_same_and_compare_equal(spark, tmp_path, good, ba
     sinks.verify_feed(one["path"])
 
 
-def test_a_built_archive_keeps_exceptions_and_states_its_window(spark, tmp_path, baseline):
-    t = {k: v for k, v in baseline(calendar_dates=[("wk", "20260107", "1"), ("wk", "20260301", "1")]).items() if k not in ("calendar", "shapes")}
-    got = analyses.build(t, {}, str(tmp_path / "1.zip"), "20260101", "20260110")
-    with zipfile.ZipFile(got["path"]) as z:
-        rows = lambda n: list(csv.DictReader(io.StringIO(z.read(f"{n}.txt").decode())))
-        assert [tuple(r.values()) for r in rows("calendar_dates")] == [("wk", "20260107", "1")]
-        assert [(r["feed_start_date"], r["feed_end_date"]) for r in rows("feed_info")] == [("20260101", "20260110")]
-        assert {"calendar.txt", "shapes.txt"}.isdisjoint(z.namelist())
+def test_headers_go_by_their_file(spark, tmp_path):
+    one = write_zip(tmp_path / "h1.zip", {}, raw={"stops.txt": "stop_id,stop_name,stop_lat,stop_lon,own\na,Quay,1,2,x\n", "routes.txt": ""})
+    write_zip(tmp_path / "h2.zip", {}, raw={"stops.txt": "stop_name,stop_id,stop_lon,stop_lat\nMill,b,4,3\n"})
+    rows = feed.records(spark, str(tmp_path / "h*.zip"), "f")
+    got = {r.stop_id: (r.stop_name, r.stop_lat, r.stop_lon, r.own) for r in feed.tables(rows)["stops"].collect()}
+    assert got == {"a": ("Quay", "1", "2", "x"), "b": ("Mill", "3", "4", "")}
+    assert [(r.rule_id, r.file) for r in feed.structure_findings(spark, feed.records(spark, one, "f")).collect() if r.rule_id == "CSV001"] == [("CSV001", "routes")]
+
+
+@pytest.mark.parametrize("raw", ["trip_id,route_id,service_id\nt,r,s\nt,r,s\n", "trip_id,trip_id,route_id,service_id\n", "trip_id,,route_id,service_id\n", "trip_id,route_id,service_id\nt,r,s,x\n", ""])
+def test_strict_sources_stop(spark, tmp_path, raw):
+    path = write_zip(tmp_path / "s.zip", {}, raw={"trips.txt": raw})
+    with pytest.raises(ValueError, match="trips"):
+        feed.strict_tables(spark, path, "f")
+
+
+def test_bundles_that_cannot_be_used(spark, tmp_path, good):
+    whole = {n: df for n, df in good[1].items()}
+    (tmp_path / "no.zip").write_bytes(b"x")
+    bad = {"MRG001": str(tmp_path / "none.zip"), "MRG002": str(tmp_path / "no.zip"), "MRG003": write_zip(tmp_path / "a.zip", whole, raw={"x/y.txt": "1"}), "MRG004": write_zip(tmp_path / "b.zip", {n: df for n, df in whole.items() if n != "stops"}), "MRG006": write_zip(tmp_path / "c.zip", {n: df for n, df in whole.items() if n != "stops"}, raw={"stops.txt": b"stop_id\n\xff\n"})}
+    for rule, path in bad.items():
+        t, told = analyses.load_bundle(spark, path, "a")
+        assert t is None and [r.rule_id for r in told.collect()] == [rule]
+    broken = tmp_path / "d.zip"
+    raw = bytearray(open(write_zip(broken, whole), "rb").read())
+    raw[60:70] = b"\x00" * 10
+    broken.write_bytes(raw)
+    assert [r.rule_id for r in analyses.load_bundle(spark, str(broken), "a")[1].collect()] in (["MRG005"], ["MRG002"])
+    t, told = analyses.load_bundle(spark, good[0], "a")
+    assert {"stops", "trips"} <= set(t) and told.collect() == []
+    assert [r.rule_id for r in analyses.validate(spark, str(tmp_path / "none.zip")).collect()] == ["RUN001"]
 
 
 def test_reports(spark, tmp_path, good, baseline):
     bad = analyses.validate(spark, write_zip(tmp_path / "bad.zip", baseline(trips=[("r1", "wk", "t1", "=cmd", "0", "g1", "1", "1"), ("r1", "zz", "=t2", "x", "0", "", "1", "1")])))
     body = sinks.report_json(bad, str(tmp_path / "r.json"))
-    assert json.load(open(tmp_path / "r.json"))["findings"] == body["findings"] and body["decisions"][0]["blockers"] == 0
+    read = json.load(open(tmp_path / "r.json"))
+    assert len(read["findings"]) == bad.count() and read["decisions"] == body["decisions"] and body["decisions"][0]["blockers"] == 0
+    assert len(json.load(open(tmp_path / "r.json"))["findings"][0]) == 10
+    few = sinks.report_json(bad, str(tmp_path / "few.json"), 1)
+    assert few["suppressed_findings"] == bad.count() - 1 and len(json.load(open(tmp_path / "few.json"))["findings"]) == 1
+    sinks.findings_sheet(bad, str(tmp_path / "f.csv"))
+    assert (tmp_path / "f.csv").read_bytes().startswith(b"\xef\xbb\xbffeed,rule_id") and "'=t2" in (tmp_path / "f.csv").read_text()
+    sinks.export_csv(spark.createDataFrame([("=1", None)], "`a.b` string, n int"), str(tmp_path / "e.csv"))
+    assert (tmp_path / "e.csv").read_text().splitlines() == ["a.b,n", "'=1,"]
+    sinks.write_once({"a": 1}, str(tmp_path / "once.json"))
+    with pytest.raises(FileExistsError):
+        sinks.write_once({"a": 2}, str(tmp_path / "once.json"))
+    sinks.notices_html([{"code": "<x>", "severity": "ERROR", "totalNotices": 2, "sampleNotices": [{"row": 1}]}], str(tmp_path / "n.html"), "N")
+    assert "&lt;x&gt; (2)" in (tmp_path / "n.html").read_text()
+    history = sinks.BuildHistory(str(tmp_path / "builds"), lines=2, builds=2)
+    for i in range(3):
+        history.save(f"b{i}", {"id": i, "log": list("abc")})
+    assert [h["id"] for h in history.all()] == [2, 1] and history.all()[0]["log"] == ["b", "c"]
     sinks.findings_csv(bad, str(tmp_path / "csv"))
     assert "'=t2" in "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
-    odd = spark.createDataFrame([("a\x01<&>", None), ("x" * 40_000, 2)], "text string, n int")
+    odd = spark.createDataFrame([("a\x01<&>", None), ("x" * 32_767, 2)], "text string, n int")
     sinks.write_xlsx({"One": odd, "Two": bad}, str(tmp_path / "b.xlsx"))
     with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
         from xml.dom.minidom import parseString
@@ -120,6 +158,9 @@ def test_reports(spark, tmp_path, good, baseline):
         assert z.testzip() is None and len(z.namelist()) == 6
         cells = [t.firstChild.data if t.firstChild else "" for t in parseString(z.read("xl/worksheets/sheet1.xml")).getElementsByTagName("t")]
         assert cells[:4] == ["text", "n", "a<&>", ""] and len(cells[4]) == 32_767
+    with pytest.raises(ValueError, match="A2"):
+        sinks.write_xlsx({"One": spark.createDataFrame([("x" * 32_768,)], "text string")}, str(tmp_path / "long.xlsx"))
+    assert sinks.LETTERS[0] == "A" and sinks.LETTERS[26] == "AA" and sinks.LETTERS[701] == "ZZ"
     sinks.write_html({"One": odd}, str(tmp_path / "r.html"), "A & B")
     assert "A &amp; B" in (tmp_path / "r.html").read_text()
 

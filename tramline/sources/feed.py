@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.contract import CALENDARS, EXPECTED_MEMBERS, MAX_MEMBER_BYTES, MAX_RATIO, MAX_TOTAL_BYTES, RATIO_FROM_BYTES, REQUIRED, REQUIRED_MEMBERS
+from tramline.common import cut, strip
+from tramline.contract import CALENDARS, EXPECTED_MEMBERS, KEYS, MAX_MEMBER_BYTES, MAX_RATIO, MAX_TOTAL_BYTES, RATIO_FROM_BYTES, REQUIRED, REQUIRED_MEMBERS
 from tramline.plans.ledger import as_findings, finding, row_checks, union
 
 UNSAFE = r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)|\\|/"
@@ -88,10 +89,11 @@ def package_findings(spark: SparkSession, inside: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """(_feed, table, _row, header, cells, width, bad): every record of every .txt member; _row counts the header as 1.
+    """(_feed, file, table, _row, header, cells, width, bad): every record of every .txt member; _row counts the header as 1.
 
-    A table's header comes as a row of its own, _row 1.  Cells are put to the header's width; width is what the record had,
-    bad names what stopped the reading of a member.  path may name several archives or CSV files.
+    A table's header comes as a row of its own, _row 1; file tells which file or archive, and which of its members of that
+    name, a record is of.  Cells are put to the header's width; width is what the record had, bad names what stopped the
+    reading of a member: encoding, csv, or empty for one without any record.  path may name several archives or CSV files.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +107,8 @@ def records(spark: SparkSession, path: str, feed: str) -> DataFrame:
                         yield (name, n, header, header, len(values), None)
                     else:
                         yield (name, n, None, (values + [""] * len(header))[: len(header)], len(values), None)
+                if not n:
+                    yield (name, 1, None, [], 0, "empty")
             except (UnicodeDecodeError, csv.Error) as e:
                 yield (name, n + 1, None, [], 0, "encoding" if isinstance(e, UnicodeDecodeError) else "csv")
 
@@ -114,14 +118,14 @@ def records(spark: SparkSession, path: str, feed: str) -> DataFrame:
                     z = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
                     return
-                for i in z.infolist():
+                for at, i in enumerate(z.infolist()):
                     if i.filename.endswith(".txt") and not unsafe_name(i.filename):
                         with z.open(i) as f:
-                            yield from rows_of(i.filename[:-4], f)
+                            yield from ((f"{path}#{at}", *r) for r in rows_of(i.filename[:-4], f))
             else:
-                yield from rows_of(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], io.BytesIO(content))
+                yield from ((path, *r) for r in rows_of(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], io.BytesIO(content)))
 
-        cols = ["table", "_row", "header", "cells", "width", "bad"]
+        cols = ["file", "table", "_row", "header", "cells", "width", "bad"]
         for b in batches:
             part: list[tuple] = []
             for p, content in zip(b["path"], b["content"]):
@@ -133,22 +137,29 @@ def records(spark: SparkSession, path: str, feed: str) -> DataFrame:
             if part:
                 yield pd.DataFrame(part, columns=cols)
 
-    got = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "table string, _row long, header array<string>, cells array<string>, width int, bad string")
+    got = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, table string, _row long, header array<string>, cells array<string>, width int, bad string")
     return got.select(F.lit(feed).alias("_feed"), "*")
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """Table name -> DataFrame of text columns, _feed and _row, from records(). Required columns that lack are ''; of repeated
-    column names the first counts. Only the headers are collected."""
-    heads = {r.table: r.header for r in rows.where("_row = 1 and header is not null").select("table", "header").collect()}
+    """Table name -> DataFrame of text columns, _feed and _row, from records(). Each file is read by its own header; columns that
+    another file of the table has, and required ones, are '' where a file lacks them; of repeated column names the first
+    counts. Only the distinct headers are collected."""
+    heads = rows.where("_row = 1 and header is not null").select("table", "header").distinct().collect()
     out = {}
-    for name, header in heads.items():
-        place: dict[str, int] = {}
-        for i, h in enumerate(header):
-            if h:
-                place.setdefault(h, i)
-        cols = [F.get("cells", F.lit(i)).alias(h) for h, i in place.items()] + [F.lit("").alias(c) for c in REQUIRED.get(name, []) if c not in place]
-        out[name] = rows.where((F.col("table") == name) & (F.col("_row") > 1) & F.col("bad").isNull()).select("_feed", "_row", *cols)
+    for name in dict.fromkeys(r.table for r in heads):
+        mine = sorted(tuple(r.header) for r in heads if r.table == name)
+        columns = list(dict.fromkeys([h for header in mine for h in header if h] + REQUIRED.get(name, [])))
+        body = rows.where((F.col("table") == name) & (F.col("_row") > 1) & F.col("bad").isNull())
+        if len(mine) == 1:
+            at = {h: mine[0].index(h) for h in columns if h in mine[0]}
+            cols = [F.get("cells", F.lit(at[h])).alias(h) if h in at else F.lit("").alias(h) for h in columns]
+        else:
+            # A file's header is one small row; it meets the file's records.
+            header = rows.where((F.col("table") == name) & (F.col("_row") == 1) & F.col("header").isNotNull()).select("file", F.col("header").alias("_header"))
+            body = body.join(F.broadcast(header), "file")
+            cols = [F.coalesce(F.try_element_at("cells", F.nullif(F.array_position("_header", h), F.lit(0)).cast("int")), F.lit("")).alias(h) for h in columns]
+        out[name] = body.select("_feed", "_row", *cols)
     return out
 
 
@@ -156,32 +167,51 @@ def structure_findings(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """CSV001 to CSV007 of records(): headers, encodings, widths and empty tables."""
     heads = rows.where("_row = 1 and header is not null")
     t = F.col("table")
-    wide = rows.where("_row > 1 and bad is null").join(F.broadcast(heads.select("_feed", "table", F.size("header").alias("h"))), ["_feed", "table"]).where("width != h")
+    wide = rows.where("_row > 1 and bad is null").join(F.broadcast(heads.select("file", "table", F.size("header").alias("h"))), ["file", "table"]).where("width != h")
     out = [
-        row_checks(rows.where("bad is not null"), [(F.col("bad") == "encoding", finding("CSV002", "blocker", "Structure", "", F.col("_row"), t)), (F.col("bad") == "csv", finding("CSV001", "blocker", "Structure", "", F.col("_row"), t))]),
+        row_checks(rows.where("bad is not null"), [(F.col("bad") == "encoding", finding("CSV002", "blocker", "Structure", "", F.col("_row"), t)), ((F.col("bad") == "csv"), finding("CSV002", "blocker", "Structure", "", F.col("_row"), t, F.lit("record that can't be parsed"))), (F.col("bad") == "empty", finding("CSV001", "blocker", "Structure", "", None, t))]),
         row_checks(heads, [(F.array_contains("header", ""), finding("CSV003", "blocker", "Structure", "", None, t)), (F.size("header") != F.size(F.array_distinct("header")), finding("CSV004", "blocker", "Structure", "", None, t))]),
         as_findings(wide, *finding("CSV006", "error", "Structure", "", F.col("_row"), t, F.col("width").cast("string"), F.col("h").cast("string"))),
     ]
     need = spark.createDataFrame([(n, c) for n, cs in REQUIRED.items() for c in cs], "table string, column string")
     lost = heads.join(F.broadcast(need), "table").where(~F.array_contains(F.col("header"), F.col("column")))
     out.append(as_findings(lost, *finding("CSV005", "blocker", "Structure", "", None, t, None, F.col("column"))))
-    empty = rows.groupBy("_feed", "table").agg(F.max("_row").alias("n")).where("n = 1")
+    empty = rows.groupBy("_feed", "file", "table").agg(F.max("_row").alias("n"), F.max("bad").alias("bad")).where("n = 1 and bad is null")
     out.append(as_findings(empty, *finding("CSV007", F.when(t == "calendar_dates", "info").otherwise("blocker"), "Structure", "", None, t)))
     # Findings carry the table as their file.
     return union([o.withColumn("file", F.col("key")).withColumn("key", F.lit(None).cast("string")) for o in out])
 
 
 def strict_tables(spark: SparkSession, path: str, feed: str) -> dict[str, DataFrame]:
-    """tables(), but a record wider than its header, a member that can't be read or a repeated key stops."""
-    rows = records(spark, path, feed)
-    worst = structure_findings(spark, rows).where("rule_id in ('CSV001', 'CSV002', 'CSV006')").limit(1).collect()
+    """tables(), but a record wider than its header, a member that can't be read, a header with blank or repeated names, a member
+    that is there twice or a repeated key stops."""
+    rows = kept_records(spark, path, feed)
+    worst = structure_findings(spark, rows).where("rule_id in ('CSV001', 'CSV002', 'CSV003', 'CSV004') or rule_id = 'CSV006' and cast(observed as int) > cast(expected as int)").limit(1).collect()
     if worst:
         raise ValueError(f"{worst[0].file}: {worst[0].rule_id} in record {worst[0].row}")
-    return tables(rows)
+    twice = rows.where("_row = 1").groupBy("_feed", "table").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0].table} is there twice")
+    got = tables(rows)
+    for name, key in KEYS.items():
+        if name in got and name != "agency":
+            again = got[name].groupBy(*[strip(k) for k in key]).count().where("count > 1").limit(1).collect()
+            if again:
+                raise ValueError(f"{name} repeats the key {', '.join(map(str, again[0][:-1]))}")
+    return got
+
+
+def kept_records(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """records(), parsed once and written to the checkpoint folder, so that every rule reads the parsed table."""
+    return cut(records(spark, path, feed))
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_number, message, encoding) of text logs in UTF-16 (with a mark), UTF-8 or, failing that, Windows-1252."""
+def log_lines(spark: SparkSession, path: str, most_bytes: int = 8 << 20) -> DataFrame:
+    """(path, line_number, message, encoding, warning) of text logs in UTF-16 (with a mark), UTF-8 or, failing that, Windows-1252.
+
+    warning tells that characters were replaced, or that the file is larger than `most_bytes`, which a log by hand hardly is;
+    it is read all the same.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,10 +225,13 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
                             break
                         except UnicodeDecodeError:
                             continue
+                told = [w for w, said in (("characters were replaced", not enc), (f"larger than {most_bytes} bytes", len(raw) > most_bytes)) if said]
                 lines = text.splitlines()
-                yield pd.DataFrame({"path": p, "line_number": range(1, len(lines) + 1), "message": lines, "encoding": enc or "utf-8 with losses"})
+                for at in range(0, len(lines), 50_000):
+                    part = lines[at : at + 50_000]
+                    yield pd.DataFrame({"path": p, "line_number": range(at + 1, at + 1 + len(part)), "message": part, "encoding": enc or "utf-8 with losses", "warning": "; ".join(told)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, line_number int, message string, encoding string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, line_number int, message string, encoding string, warning string")
 
 
 def from_tables(source: dict[str, DataFrame], feed: str = "feed", row: str = "row_id") -> dict[str, DataFrame]:

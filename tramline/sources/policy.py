@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import shutil
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +44,31 @@ def identity(inputs: list[str], settings: dict) -> str:
     return h.hexdigest()
 
 
-def kept(spark: SparkSession, folder: str, ident: str, make) -> DataFrame:
-    """The result kept under ident, or make()'s, which is then kept; one that was not written whole is made again."""
+def kept(spark: SparkSession, folder: str, ident: str, make, budget: int = 10 << 30, days: int = 30) -> DataFrame:
+    """The result kept under ident, or make()'s, which is then kept; one that was not written whole is made again.
+
+    Results not used for `days`, and the longest unused ones beyond `budget` bytes, are removed first.
+    """
     at = f"{folder}/{ident}"
     if not os.path.exists(f"{at}/_SUCCESS"):
+        prune(folder, budget, days, keep=(ident,))
         make().write.mode("overwrite").parquet(at)
+    os.utime(f"{at}/_SUCCESS")
     return spark.read.parquet(at)
+
+
+def prune(folder: str, budget: int, days: int, keep: tuple[str, ...] = (), reserve: int = 0) -> list[str]:
+    """Removes kept results by age and size, those unused longest first, and nothing that is no kept result; returns their names."""
+    held = []
+    for name in os.listdir(folder) if os.path.isdir(folder) else []:
+        done = os.path.join(folder, name, "_SUCCESS")
+        if re.fullmatch("[0-9a-f]{64}", name) and os.path.exists(done) and not os.path.islink(os.path.join(folder, name)):
+            size = sum(e.stat().st_size for e in os.scandir(os.path.join(folder, name)) if e.is_file())
+            held.append((os.stat(done).st_mtime, name, size))
+    total, gone = sum(s for _, _, s in held) + reserve, []
+    for used, name, size in sorted(held):
+        if name not in keep and (time.time() - used > days * 86400 or total > budget):
+            shutil.rmtree(os.path.join(folder, name))
+            total -= size
+            gone.append(name)
+    return gone

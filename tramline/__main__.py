@@ -1,4 +1,4 @@
-"""python -m tramline validate FEED.zip [REPORT.json] | reconcile A.zip B.zip BOOK.xlsx | audit SOURCE.zip FINAL.zip | compare A.zip B.zip | build BASE.zip MORE.zip OUT.zip FIRST LAST"""
+"""python -m tramline validate FEED.zip [REPORT.json] | reconcile A.zip B.zip BOOK.xlsx | audit SOURCE.zip FINAL.zip | compare A.zip B.zip | build BASE.zip OTHER.zip OUT.zip FIRST LAST [RAIL.zip] [POLICY.json] [--draft]"""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from tramline.plans import analyses, ledger
 from tramline.sources import sinks
 from tramline.sources.feed import plain_path
+from tramline.sources.policy import load_policy
 
 
 def main(args: list[str]) -> int:
@@ -27,7 +28,12 @@ def main(args: list[str]) -> int:
             print(*told, sep="\n")
             return 2 if any(r.blockers for r in told) else 1 if any(r.errors + r.warnings for r in told) else 0
         if what == "build":
-            print(analyses.build(analyses.load(spark, paths[0], "base", True), analyses.load(spark, paths[1], "more", True), *paths[2:5]))
+            more = [p for p in paths[5:] if p != "--draft"]
+            rail = next((p for p in more if p.endswith(".zip")), None)
+            policy = next((load_policy(p) for p in more if p.endswith(".json")), None)
+            inputs = tuple(p for p in (paths[0], paths[1], rail) if p)
+            feeds = [analyses.load(spark, p, f, True) for p, f in zip(inputs, ("base", "other", "rail"))]
+            print(analyses.build(*feeds[:2], *paths[2:5], feeds[2] if rail else None, policy, allow_draft="--draft" in paths, inputs=inputs))
             return 0
         a, b = analyses.load(spark, paths[0], "a", what == "compare"), analyses.load(spark, paths[1], "b", what == "compare")
         if what == "reconcile":

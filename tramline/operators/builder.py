@@ -39,17 +39,6 @@ def merged_stops(sources: list[DataFrame], walk: DataFrame | None = None) -> Dat
     return out.withColumn("_p", strip("parent_station")).join(up, "_p", "left").withColumn("parent_station", F.coalesce("_t", "_p")).drop("_p", "_t")
 
 
-def mapped_stops(base: DataFrame, other: DataFrame, walk: DataFrame, from_other: list[str]) -> DataFrame:
-    """other's stops under base's ids: fields of from_other from other, the rest, coordinates above all, from base; unmapped ones but stations are left out."""
-    o = other.withColumn("source_id", strip("stop_id"))
-    met = o.join(walk.select("source_id", "target_id"), "source_id", "left")
-    b = base.select(strip("stop_id").alias("target_id"), *[F.col(c).alias(f"b_{c}") for c in base.columns if c != "stop_id"])
-    both = met.join(b, "target_id", "left")
-    out = {c: F.when(F.col("target_id").isNull() | F.lit(c in from_other), F.col(c)).otherwise(F.coalesce(f"b_{c}", c)) for c in other.columns if c != "stop_id" and f"b_{c}" in both.columns}
-    kept = both.where((F.col("target_id").isNotNull()) | (strip("location_type") == "1"))
-    return kept.select(F.coalesce("target_id", "source_id").alias("stop_id"), *[v.alias(c) for c, v in out.items()])
-
-
 def appended(base: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
     """base and more below it; a key that both have stops the build."""
     trimmed = lambda df: df.select(*[strip(k).alias(k) for k in key]).distinct()
@@ -64,7 +53,7 @@ def merged_exceptions(sources: list[DataFrame], first: str, last: str) -> DataFr
     for s in sources:
         part = s.select(*[strip(c).alias(c) for c in FIELDS["calendar_dates"]]).where(F.col("date").between(first, last))
         every = part if every is None else every.unionByName(part)
-    every = every.distinct()
+    every = every.distinct().withColumn("_row", F.lit(None).cast("bigint"))
     if not every.groupBy("service_id", "date").count().where("count > 1").isEmpty():
         raise ValueError("exceptions of one service and date differ")
     return every

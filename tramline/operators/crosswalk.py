@@ -55,22 +55,27 @@ def crosswalk(source: DataFrame, target: DataFrame, tiers: tuple[str, ...] = TIE
 
 
 PAIR_COLUMNS = ["stop_name", "stop_lat", "stop_lon", "location_type", "parent_station", "wheelchair_boarding"]
+#: Compared as names, where both feeds have them.
+TEXT_COLUMNS = ["platform_code", "zone_id", "stop_desc"]
 
 
 def stop_pairs(walk: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """(source_id, target_id, distance_m, names_differ, differs): mapped pairs with what differs; differs is an array of fields.
 
-    A blank location type is a stop; parents are compared through the same mapping.
+    A blank location type or wheelchair value is 0; platform, zone and description are compared as names, where both feeds have
+    the column; parents are compared through the same mapping.
     """
-    s = one_state(source, "stop_id", PAIR_COLUMNS).select(*[F.col(c).alias(f"s_{c}") for c in ["stop_id", *PAIR_COLUMNS]])
-    t = one_state(target, "stop_id", PAIR_COLUMNS).select(*[F.col(c).alias(f"t_{c}") for c in ["stop_id", *PAIR_COLUMNS]])
+    texts = [c for c in TEXT_COLUMNS if c in source.columns and c in target.columns]
+    s = one_state(source, "stop_id", [*PAIR_COLUMNS, *texts]).select(*[F.col(c).alias(f"s_{c}") for c in ["stop_id", *PAIR_COLUMNS, *texts]])
+    t = one_state(target, "stop_id", [*PAIR_COLUMNS, *texts]).select(*[F.col(c).alias(f"t_{c}") for c in ["stop_id", *PAIR_COLUMNS, *texts]])
     up = walk.select(F.col("source_id").alias("s_parent_station"), F.col("target_id").alias("mapped_parent"))
     both = walk.join(s, F.col("source_id") == F.col("s_stop_id")).join(t, F.col("target_id") == F.col("t_stop_id")).join(up, "s_parent_station", "left")
     c = lambda x: coordinate(F.col(x))
     kind = lambda x: F.when(F.col(x) == "", "0").otherwise(F.col(x))
     fields = {
         "location_type": kind("s_location_type") != kind("t_location_type"),
-        "wheelchair_boarding": F.col("s_wheelchair_boarding") != F.col("t_wheelchair_boarding"),
+        "wheelchair_boarding": kind("s_wheelchair_boarding") != kind("t_wheelchair_boarding"),
+        **{c: alnum_name(F.col(f"s_{c}")) != alnum_name(F.col(f"t_{c}")) for c in texts},
         "parent_station": F.coalesce("mapped_parent", "s_parent_station") != F.col("t_parent_station"),
     }
     differs = F.array_compact(F.array(*[F.when(hit, F.lit(f)) for f, hit in fields.items()]))

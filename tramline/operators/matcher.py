@@ -34,6 +34,14 @@ def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sum(m.size for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks()) / max(1, len(x), len(y)) for x, y in zip(a, b)])
 
 
+def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(trip_id, candidate, method) of the first tier alone: equal route, stops and first departure, and a common date."""
+    l = left.select(*[F.col(c).alias(f"l_{c}") for c in ("trip_id", "route", "start", "dates")], F.xxhash64("stops").alias("k"), F.col("stops").alias("l_stops"))
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in ("trip_id", "route", "start", "dates")], F.xxhash64("stops").alias("k"), F.col("stops").alias("r_stops"))
+    same = (l["k"] == r["k"]) & (F.col("l_route") == F.col("r_route")) & (F.col("l_start") == F.col("r_start"))
+    return l.join(r, same).where((F.col("l_stops") == F.col("r_stops")) & F.arrays_overlap("l_dates", "r_dates")).select(F.col("l_trip_id").alias("trip_id"), F.col("r_trip_id").alias("candidate"), F.lit(METHODS[0]).alias("method"))
+
+
 def match_sources(left: DataFrame, right: DataFrame, tolerance: int = 60, least: float = 0.8, sure: float = 0.9) -> DataFrame:
     """(trip_id, candidate, method): all candidates of each left trip in the first tier that has any; candidate null if none has.
 
@@ -44,9 +52,7 @@ def match_sources(left: DataFrame, right: DataFrame, tolerance: int = 60, least:
     l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     shared_day = F.arrays_overlap("l_dates", "r_dates")
-    key = lambda s: F.sha2(F.array_join(f"{s}_stops", "\n"), 256)
-    one = l.withColumn("k", key("l")).join(r.withColumn("k", key("r")), "k").where((F.col("l_route") == F.col("r_route")) & (F.col("l_start") == F.col("r_start")) & shared_day)
-    got = cut(one.select("l_trip_id", "r_trip_id", F.lit(METHODS[0]).alias("method")))
+    got = cut(exact_matches(left, right).select(F.col("trip_id").alias("l_trip_id"), F.col("candidate").alias("r_trip_id"), "method"))
     rest = l.join(got.select("l_trip_id").distinct(), "l_trip_id", "left_anti")
     two = rest.join(r, (F.col("l_route") == F.col("r_route")) & (F.col("l_start") == F.col("r_start")) & (F.col("l_end") == F.col("r_end"))).where(shared_day).where(coverage("l_stops", "r_stops") >= sure)
     second = cut(two.select("l_trip_id", "r_trip_id", F.lit(METHODS[1]).alias("method")))

@@ -2,33 +2,101 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.common import cut, strip
 from tramline.contract import DIFF_KEYS, FIELDS
-from tramline.operators import builder, crosswalk, dated, inspection, patterns, releasediff, rules, sequences, service_dates
+from tramline.operators import audits, crosswalk, dated, inspection, patterns, reconciliation, release, releasediff, rules, sequences, service_dates
 from tramline.plans import ledger
 from tramline.sources import feed as source
 from tramline.sources import sinks
+from tramline.sources.policy import DEFAULT
 
 
 def load(spark: SparkSession, path: str, feed: str, strict: bool = False) -> dict[str, DataFrame]:
-    return source.strict_tables(spark, path, feed) if strict else source.tables(source.records(spark, path, feed))
+    return source.strict_tables(spark, path, feed) if strict else source.tables(source.kept_records(spark, path, feed))
+
 
+def validate(spark: SparkSession, path: str, feed: str = "feed", kind: str = "bus") -> DataFrame:
+    """All findings of one archive: its package, its structure and, where the tables allow, the technical rules and the inspection.
 
-def validate(spark: SparkSession, path: str, feed: str = "feed") -> DataFrame:
-    """All findings of one archive: its package, its structure and, where the tables allow, the technical rules and the inspection."""
-    rows = source.records(spark, path, feed)
+    An archive that isn't there is RUN001; a part of the run that stops is RUN002 or INS999, and the other parts go on.
+    """
+    if "://" not in path and not any(c in path for c in "*?[{") and not os.path.exists(path):
+        return audits.told(spark, "RUN001", "blocker", "Run setup", path, "does not exist")
+    rows = source.kept_records(spark, path, feed)
     parts = [source.package_findings(spark, source.members(spark, path, feed)), source.structure_findings(spark, rows)]
     t = source.tables(rows)
-    if {"routes", "stops", "trips", "stop_times"} <= set(t) and ("calendar" in t or "calendar_dates" in t):
-        parts.append(rules.technical(t))
     if {"routes", "stops", "trips", "stop_times"} <= set(t):
-        parts.append(inspection.inspected(t))
+        if "calendar" in t or "calendar_dates" in t:
+            parts.append(audits.attempted(spark, "run", feed, lambda: rules.technical(t)))
+        parts.append(audits.attempted(spark, "inspection", feed, lambda: inspection.inspected(t, kind)))
     return ledger.union(parts)
 
 
+def load_bundle(spark: SparkSession, path: str, label: str) -> tuple[dict[str, DataFrame] | None, DataFrame]:
+    """(tables, findings) of a source: None and one of MRG001 to MRG006 if it can't be used - it isn't there, is no archive, has
+    members off its root, lacks tables, has a broken member, or can't be parsed."""
+    stop = lambda rule, seen: (None, audits.told(spark, rule, "blocker", "Merge inputs", label, seen))
+    none = audits.told(spark, "", "info", "", "").where("false")
+    if not os.path.isfile(path):
+        return stop("MRG001", path)
+    inside = source.members(spark, path, label).select("name", "broken").collect()  # an archive's list of members
+    if any(m.name is None for m in inside):
+        return stop("MRG002", path)
+    odd = [m.name for m in inside if source.unsafe_name(m.name)]
+    if odd:
+        return stop("MRG003", ", ".join(odd[:20]))
+    lacking = sorted({"routes.txt", "stops.txt", "trips.txt", "stop_times.txt", "calendar.txt", "shapes.txt"} - {m.name for m in inside})
+    if lacking:
+        return stop("MRG004", ", ".join(lacking))
+    if any(m.broken for m in inside):
+        return stop("MRG005", next(m.name for m in inside if m.broken))
+    rows = source.kept_records(spark, path, label)
+    bad = rows.where("bad in ('encoding', 'csv')").select("table").limit(1).collect()
+    return stop("MRG006", bad[0].table) if bad else (source.tables(rows), none)
+
+
+def reconciled_findings(a: dict[str, DataFrame], b: dict[str, DataFrame], final: dict[str, DataFrame] | None = None, rail: dict[str, DataFrame] | None = None, left: str = "a", right: str = "b") -> DataFrame:
+    """Every finding of two sources against each other and, if given, a release and a rail source: stops, ids, schedules, patterns.
+
+    Routes named like rail's are left out of the bus sources; the rail source is audited by date.
+    """
+    spark = a["trips"].sparkSession
+    out = []
+    bus = {left: a, right: b}
+    resolved = None
+    if rail and final:
+        def audit() -> DataFrame:
+            statuses = cut(audit_source(rail, final))
+            walk = crosswalk.crosswalk(rail["stops"], final["stops"])
+            changes = reconciliation.stop_changes(rail["stops"], final["stops"], rail["stop_times"], walk, ["stop_name", "stop_code"])
+            ids = final["trips"].join(final["routes"].withColumn("_n", strip("route_short_name")).join(rail["routes"].select(strip("route_short_name").alias("_n")).distinct(), "_n", "left_semi").select("route_id").distinct(), "route_id", "left_semi").select(strip("trip_id").alias("trip_id"))
+            return audits.rail_findings(rail, final, bus, rules.technical(rail), statuses, changes).unionByName(reconciliation.audit_findings(statuses, ids))
+
+        out.append(audits.attempted(spark, "rail", "rail", audit))
+        if {"trips", "stop_times", "stops", "calendar"} <= set(rail):
+            resolved = audit_source(rail, final).where("final_trip_id is not null").select("final_trip_id")
+    if rail:
+        names = rail["routes"].select(strip("route_short_name"))
+        a, b = reconciliation.without_routes_named(a, names), reconciliation.without_routes_named(b, names)
+    got = reconcile(a, b, left, right)
+    out += [audits.ambiguity_findings(a["stops"], b["stops"]), got["stops"], audits.contiguity_findings(a["stop_times"]), audits.contiguity_findings(b["stop_times"])]
+    out.append(reconciliation.journey_findings(got["journeys"], got["pairs"]))
+    if final:
+        walk = got["crosswalk"]
+        renamed = b["stops"].withColumn("_s", strip("stop_id")).join(walk.select(F.col("source_id").alias("_s"), "target_id"), "_s", "left").withColumn("stop_id", F.coalesce("target_id", "_s")).drop("_s", "target_id")
+        out += [reconciliation.stops_missing(a["stops"], a["stop_times"], final["stops"]), reconciliation.stops_missing(b["stops"], b["stop_times"], final["stops"], walk, "STP003")]
+        out.append(reconciliation.stops_of_no_source(final["stops"], [a["stops"], renamed, *([rail["stops"]] if rail else [])]))
+        out.append(reconciliation.kept_metadata(final["stops"], [a["stops"], renamed], ["wheelchair_boarding"]))
+        out.append(audits.provenance_findings(audits.provenance_sides(final, [a, b], rail, resolved)))
+        out.append(reconciliation.changed_trips(named_trips(final), named_trips(a).unionByName(named_trips(b, walk))))
+    return ledger.union(out)
+
+
 def named_trips(t: dict[str, DataFrame], walk: DataFrame | None = None) -> DataFrame:
     return patterns.with_trips(patterns.trip_summaries(t["stop_times"], walk), t["trips"], t["routes"])
 
@@ -47,12 +115,13 @@ def reconcile(a: dict[str, DataFrame], b: dict[str, DataFrame], left: str = "a",
     tagged = patterns.journeys(named).join(v.select("_feed", "route_name", "stop_print", "variation"), ["_feed", "route_name", "stop_print"])
     side = lambda f, n: tagged.where(F.col("_feed") == f).select(*patterns.JOURNEY, F.col("variation").alias(n)).distinct()
     links = side(left, "left").join(side(right, "right"), patterns.JOURNEY).groupBy("route_name", "left", "right").agg(F.count("*").alias("n"))
-    full = v.join(example, ["_feed", "example_trip"]).select("_feed", "route_name", "variation", "direction_id", "headsign", "stops", "trips")
+    full = v.join(example, ["_feed", "example_trip"]).select("_feed", "route_name", "variation", "direction_id", "headsigns", "stops", "trips")
     return {
         "crosswalk": walk,
         "stops": crosswalk.stop_findings(crosswalk.stop_pairs(walk, b["stops"], a["stops"])),
         "journeys": patterns.compared_journeys(named, left, right),
         "variations": full,
+        "members": patterns.variation_members(named, v),
         "pairs": sequences.paired_variations(full, links, left, right),
         "routes": patterns.route_health(named, left, right),
     }
@@ -82,7 +151,8 @@ def audit_source(a: dict[str, DataFrame], final: dict[str, DataFrame], tiers: tu
     walk = crosswalk.crosswalk(a["stops"], final["stops"], tiers)
     window = service_dates.coverage(final["calendar"], final.get("feed_info") if "feed_start_date" in getattr(final.get("feed_info"), "columns", []) else None)
     window = window.agg(F.date_format(F.min("first"), "yyyyMMdd").alias("w1"), F.date_format(F.max("last"), "yyyyMMdd").alias("w2"))
-    return dated.dated_status(dated.dated_trips(a, walk), dated.dated_trips(final), changed, shapes, window)
+    w1, w2 = window.first()  # one row
+    return dated.dated_status(dated.dated_trips(a, walk, w1, w2), dated.dated_trips(final, None, w1, w2), changed, shapes, window)
 
 
 def compare(candidate: dict[str, DataFrame], reference: dict[str, DataFrame], strict: bool = True) -> dict[str, DataFrame]:
@@ -99,30 +169,86 @@ def compare(candidate: dict[str, DataFrame], reference: dict[str, DataFrame], st
     return out
 
 
-def build(base: dict[str, DataFrame], more: dict[str, DataFrame], path: str, first: str, last: str) -> dict:
-    """Writes a feed of base with `more` below it, calendars clipped to first..last (yyyyMMdd), and returns a receipt.
+def reviewed(base: DataFrame, candidate: DataFrame) -> dict:
+    """A receipt's summary: findings per severity and warnings per kind with examples."""
+    found = {r.severity: r.n for r in candidate.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    return {"findings": found, "warnings": [r.asDict() for r in release.warning_groups(base).orderBy(F.col("n").desc(), "kind").collect()]}
+
+
+def build(
+    base: dict[str, DataFrame], other: dict[str, DataFrame], path: str, first: str, last: str, rail: dict[str, DataFrame] | None = None,
+    policy: dict | None = None, order: DataFrame | None = None, allow_draft: bool = False, inputs: tuple[str, ...] = (),
+) -> dict:
+    """Writes a release for first..last (yyyyMMdd) and beside it a receipt, which is returned; neither may exist.
 
-    Ids of trips, routes, shapes and services that both have stop the build, as do exceptions that differ on one service and
-    date; stops go by precedence. Services and shapes no trip uses and exceptions outside the window are left out.  feed_info
-    is base's first row with the window as its dates. calendar, calendar_dates and shapes may be missing.
+    The release is base's schedule with other's metadata where its trips match (see release.assembled()) and rail's below it.
+    Warnings, or errors that the written archive has, stop the build unless a draft is allowed; so does an input archive of
+    `inputs` that changes meanwhile.  If anything stops it nothing is left behind.
     """
-    out = {}
-    for name, key in (("routes", ["route_id"]), ("trips", ["trip_id"]), ("stop_times", ["trip_id"]), ("shapes", ["shape_id"]), ("calendar", ["service_id"])):
-        if name in base and name in more:
-            out[name] = builder.appended(base[name], more[name], key)
-        elif name in base or name in more:
-            out[name] = base.get(name, more.get(name))
-    out["stops"] = builder.merged_stops([base["stops"], *([more["stops"]] if "stops" in more else [])])
-    used = lambda c: out["trips"].select(strip(c).alias("_u")).distinct()
-    if "calendar" in out:
-        out["calendar"] = service_dates.clipped(out["calendar"], first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
-    extra = [t["calendar_dates"] for t in (base, more) if "calendar_dates" in t]
-    if extra:
-        out["calendar_dates"] = builder.merged_exceptions(extra, first, last).withColumn("_u", strip("service_id")).join(used("service_id"), "_u", "left_semi")
-    if "shapes" in out:
-        out["shapes"] = out["shapes"].withColumn("_u", strip("shape_id")).join(used("shape_id"), "_u", "left_semi")
-    if "agency" in base:
-        out["agency"] = base["agency"]
-    out["feed_info"] = builder.stated_window(base["trips"], base.get("feed_info"), first, last)
-    sinks.write_feed(out, path)
-    return {"path": path, "sha256": source.digest(path), "rows": {n: df.count() for n, df in out.items()}, "window": [first, last]}
+    spark = base["trips"].sparkSession
+    policy = DEFAULT | (policy or {})
+    receipt = f"{path.removesuffix('.zip')}.report.json"
+    for p in (path, receipt):
+        if os.path.exists(p):
+            raise FileExistsError(p)
+    if first > last:
+        raise ValueError("the window ends before it begins")
+    before = {p: source.digest(p) for p in inputs}
+    tables, warnings, matches = release.assembled(spark, base, other, rail, policy, first, last, order)
+    warnings = cut(warnings)
+    kinds = sorted(r.kind for r in warnings.select("kind").distinct().collect())
+    if kinds and not allow_draft:
+        raise ValueError(f"to be reviewed before a release is made: {', '.join(kinds)}")
+    staged = f"{path}.draft.zip"
+    made = []
+    try:
+        sinks.write_feed(tables, staged)
+        found = validate(spark, staged, "release")
+        summary = reviewed(warnings, found)
+        if not allow_draft and any(summary["findings"].get(s) for s in ("error", "blocker")):
+            raise ValueError("the release has errors")
+        changed = [p for p, was in before.items() if source.digest(p) != was]
+        if changed:
+            raise ValueError(f"changed while it was read: {changed[0]}")
+        methods = {r.method: r.n for r in matches.groupBy("method").agg(F.count_distinct("trip_id").alias("n")).collect()}
+        body = {"path": path, "sha256": source.digest(staged), "window": [first, last], "inputs": before, "policy": policy, "rows": {n: df.count() for n, df in tables.items()}, "matched_trips": methods, **summary}
+        os.link(staged, path)
+        made.append(path)
+        sinks.write_once(body, receipt)
+        made.append(receipt)
+        return body
+    except BaseException:
+        for p in made:
+            os.remove(p)
+        raise
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
+
+
+def report_sheets(got: dict[str, DataFrame], a: dict[str, DataFrame], b: dict[str, DataFrame], missing_in: str, left: str = "a", right: str = "b", search: str = "") -> dict[str, DataFrame]:
+    """The ten sheets of a report on what `missing_in` lacks, from reconcile(): totals, variations, and all records of the other feed behind them."""
+    t, feed = (a, left) if missing_in == right else (b, right)
+    report = cut(missing_report(got["pairs"], got["variations"], missing_in, left, right, search))
+    spark = report.sparkSession
+    totals = missing_totals(report)
+    n = totals.first()
+    about = spark.createDataFrame([(k, str(v)) for k, v in (("Missing in", missing_in), ("Search", search), *n.asDict().items())], "item string, value string")
+    members = cut(got["members"].where(F.col("_feed") == feed).join(report.select("route_name", "variation"), ["route_name", "variation"], "left_semi").select("route_name", "variation", F.col("trip_id").alias("_t")))
+    public = lambda df: df.select([c for c in df.columns if not c.startswith("_")])
+    trips = t["trips"].withColumn("_t", strip("trip_id")).join(members, "_t")
+    semi = lambda name, c, ids: public(t[name].withColumn("_k", strip(c)).join(ids.select(F.col(ids.columns[0]).alias("_k")).distinct(), "_k", "left_semi"))
+    calls = t["stop_times"].withColumn("_t", strip("trip_id")).join(members, "_t")
+    used = calls.select(strip("stop_id").alias("stop_id")).distinct()
+    parents = semi("stops", "stop_id", used).select(strip("parent_station").alias("stop_id")).where("stop_id != ''")
+    services = None
+    for name in ("calendar", "calendar_dates"):
+        if name in t:
+            part = semi(name, "service_id", trips.select(strip("service_id"))).withColumn("source_table", F.lit(name))
+            services = part if services is None else services.unionByName(part, allowMissingColumns=True)
+    pairs = got["pairs"].join(report.select("route_name", F.col("variation").alias("left" if feed == left else "right")).distinct(), ["route_name", "left" if feed == left else "right"], "left_semi")
+    return {
+        "Report": about, "Variations": report.withColumn("missing_stops", F.array_join("missing_stops", ", ")), "Routes": semi("routes", "route_id", trips.select(strip("route_id"))), "Trips": public(trips),
+        "Stop times": public(calls), "Stops": semi("stops", "stop_id", used.unionByName(parents)), "Shapes": semi("shapes", "shape_id", trips.select(strip("shape_id")).where("shape_id != ''")) if "shapes" in t else about.where("false"),
+        "Services": services if services is not None else about.where("false"), "Missing items": report.select("route_name", "variation", F.posexplode("missing_stops").alias("place", "stop_id")), "Comparisons": pairs.withColumn("places", F.array_join("places", ", ")),
+    }

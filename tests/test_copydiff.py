@@ -58,3 +58,18 @@ def test_empty_and_one_sided(spark, day):
     assert copy_differences(latest(none, "t", "k", FIELDS), {"t": list(FIELDS)}).collect() == []
     one = spark.createDataFrame([("cad", "k", "a", "", "", None, None, "", "", "", ""), ("cad", " ", "", "", "", day(1), None, "", "", "", ""), ("final", "z", "", "", "", day(1), None, "", "", "", "")], SCHEMA)
     assert [(r.record_key, r.kind) for r in copy_differences(latest(one, "t", "k", FIELDS), {"t": list(FIELDS)}).collect()] == [("k", "only_cad")]
+
+
+def test_chunks_are_cut_alike_whatever_the_batches():
+    import numpy as np
+    import pandas as pd
+
+    from tramline.operators.copydiff import _chunks
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    rows = pd.DataFrame({"tab": "t", "copy": rng.choice(["a", "b"], n), "key": [f"k{i:05}" for i in range(n)], "kh": rng.integers(-(2**62), 2**62, n), "rh": rng.integers(-(2**62), 2**62, n)})
+    whole = pd.concat(_chunks([rows], 3, 16, 40)).sort_values("key", ignore_index=True)
+    parts = pd.concat(_chunks([rows[i : i + 7] for i in range(0, n, 7)], 3, 16, 40)).sort_values("key", ignore_index=True)
+    pd.testing.assert_frame_equal(whole, parts)
+    assert len(whole) == n and whole["size"].max() <= 40 and whole["size"].mean() > 8

@@ -109,7 +109,7 @@ def variation(feed, name, direction, stops, trips=1):
 
 
 def paired(spark, rows, links=()):
-    v = spark.createDataFrame(rows, "_feed string, route_name string, variation string, direction_id string, headsign string, stops array<string>, trips bigint")
+    v = spark.createDataFrame(rows, "_feed string, route_name string, variation string, direction_id string, headsigns string, stops array<string>, trips bigint")
     return sequences.paired_variations(v, spark.createDataFrame(list(links), "route_name string, left string, right string, n bigint"), "a", "b").collect()
 
 
@@ -118,9 +118,34 @@ def test_variations_pair_one_to_one(spark):
     assert {(r.left, r.right, r.difference, r.status) for r in got} == {("V1", "V1", 1, "issues"), ("V2", None, None, "not_comparable")}
 
 
+def test_scores_statuses_and_links(spark):
+    got = paired(spark, [variation("a", "V1", "0", "abcdef"), variation("a", "V2", "0", "pq"), variation("b", "V1", "0", "abcdeg"), variation("b", "V2", "0", "abcdeh"), variation("b", "V3", "0", "rs", 4)], [("7", "V2", "V3", 3)])
+    by = {(r.left, r.right): r for r in got}
+    assert by["V1", "V1"].status == "ambiguous" and by["V1", "V1"].similarity_pct == round(100 * sequences.likeness(list("abcdef"), list("abcdeg"), "x", "x")[1], 1) and by["V1", "V1"].places == ["last"]
+    assert (by["V2", "V3"].status, by["V2", "V3"].linked, by["V2", "V3"].right_trips, by["V2", "V3"].reason) == ("issues", 3, 4, "shared journeys")
+    assert by[None, "V2"].status == "not_comparable" and by[None, "V2"].linked == 0
+
+
+def test_headsigns_count_by_likeness():
+    same, near, far = (sequences.likeness(list("ab"), list("ac"), "Mill North", h)[1] for h in ("Mill North", "Mill Nort", "Zoo"))
+    assert same > near > far and abs(near - same + 0.06 * (1 - 18 / 19)) < 1e-9
+
+
+def test_candidates_lose_no_like_pair(spark):
+    rng = random.Random(12)
+    seqs = [[rng.choice("abcdefghij") for _ in range(rng.randrange(0, 12))] for _ in range(60)]
+    seqs += [[*s[: len(s) // 2], "x", *s[len(s) // 2 :]] for s in seqs[:30]]
+    side = lambda rows: spark.createDataFrame([("7", f"V{i}", s) for i, s in rows], "route_name string, variation string, stops array<string>")
+    a, b = list(enumerate(seqs[::2])), list(enumerate(seqs[1::2]))
+    none = spark.createDataFrame([], "route_name string, left string, right string, n bigint")
+    got = {(r.left, r.right) for r in sequences.like_candidates(side(a), side(b), none, 0.7).collect()}
+    want = {(f"V{i}", f"V{j}") for i, x in a for j, y in b if SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.7}
+    assert want <= got and len(want) > 20
+
+
 def test_swapped_directions_are_seen(spark):
     got = paired(spark, [variation("a", "V1", "0", "abcd"), variation("a", "V2", "1", "dcba"), variation("b", "V1", "1", "abcd"), variation("b", "V2", "0", "dcba")])
-    assert {(r.left, r.right, r.status, r.direction) for r in got} == {("V1", "V1", "match", "reversed"), ("V2", "V2", "match", "reversed")}
+    assert {(r.left, r.right, r.status, r.direction) for r in got} == {("V1", "V1", "matching", "reversed"), ("V2", "V2", "matching", "reversed")}
 
 
 def test_crosswalk_tiers(spark):
@@ -139,6 +164,10 @@ def test_dates_and_clipping(baseline):
     assert len(days) == 9 and "2026-01-07" not in days and days[0] == "2026-01-05"
     out = service_dates.clipped(t["calendar"], "20260201", "20260228").first()
     assert (out.monday, out.start_date, out.end_date) == ("0", "20260201", "20260228")
+    long = baseline(calendar=[("wk", *"1111111", "20100101", "20260101")])["calendar"]
+    with pytest.raises(Exception, match="ten years"):
+        service_dates.active_dates(long).collect()
+    assert service_dates.active_dates(long, None, "2026-01-01", "2026-12-31").count() == 1
     cover = service_dates.coverage(t["calendar"]).first()
     assert str(cover.first if not callable(cover.first) else cover["first"]) == "2026-01-05"
 
@@ -237,6 +266,39 @@ def test_messages(spark):
     assert (got[7].stop_code, got[7].stop_id, got[2].service_id, got[1].source_severity) == ("A", "b1", "S1", "Warning")
 
 
+def test_fields_of_messages(spark):
+    lines = [
+        ("Trips for route: 57x Direction: To Mill has no name for its last node/timpoint: Quay 2. East", {"internal_route": "57x", "public_direction": "To Mill", "end_place": "Quay 2. East"}),
+        ("Avertissement: utilise une localisation d’arrêt: A1 différente de la localisation de défaut: B2", {"pattern_stop_location": "A1", "default_stop_location": "B2"}),
+        ("Route 5 is missing its main colour value", {"public_route": "5"}),
+        ("Error: wk 1 has at least one day exception. no variations operating on the day: 2026-01-05 for scheduling unit U 7. Check it", {"service_id": "wk 1", "exception_date": "2026-01-05", "scheduling_unit": "U 7"}),
+        ("ERREUR: été est planifié. sans variations EN SERVICE pour ce jour: lundi pour l'unité horaire U9", {"service_id": "été", "exception_date": "lundi", "scheduling_unit": "U9"}),
+        ("bus stop 12 ( b 1 ) and others", {"stop_code": "12", "stop_id": "b 1"}),
+        (None, {}),
+    ]
+    got = {r.row_id: r for r in diagnostics.parsed_messages(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "row_id bigint, message string")).collect()}
+    for i, (_, want) in enumerate(lines):
+        assert {f: got[i][f] for f in diagnostics.MESSAGE_FIELDS if got[i][f]} == want, i
+
+
+def test_what_messages_concern(spark, baseline):
+    t = baseline(routes=[("57x-3", "A", "7", "x", "3", "", ""), ("57x-4", "A", "7", "x", "3", "", ""), ("57x-b", "A", "8", "x", "3", "", "")], trips=[("57x-3", "wk", "t1", "Mill", "0", "57x0012", "1", "1")], shapes=[])
+    lines = ["Parcours type ligne: 57x numéro: 12 : itinéraire manquant", "Stop q ( s1 ) of usage stop not station", "Error: wk is planned with more than one scheduling unit", "Route 7 is missing its colour value", "Trip pattern route: 57x Number: 99 does not exist anymore", "?"]
+    m = diagnostics.parsed_messages(spark.createDataFrame(list(enumerate(lines)), "row_id bigint, message string")).cache()
+    trips = diagnostics.concerned_trips(m, t)
+    assert {(r.row_id, r.via, r.trip_id) for r in trips.collect()} == {(0, "shape_id", "t1"), (1, "stop_id", "t1"), (2, "service_id", "t1")}
+    routes = {(r.row_id, r.via, r.route_id) for r in diagnostics.concerned_routes(m, t, trips).collect()}
+    assert routes == {(0, "trip", "57x-3"), (1, "trip", "57x-3"), (2, "trip", "57x-3"), (3, "public_route", "57x-3"), (3, "public_route", "57x-4"), (4, "internal_route", "57x-3"), (4, "internal_route", "57x-4")}
+    seen = diagnostics.assessed_messages(m, t)
+    assert {r.row_id for r in diagnostics.by_assessment(seen, "confirmed").collect()} == {0} and {r.row_id for r in diagnostics.by_assessment(seen, "unknown").collect()} == {5}
+    assert {r.row_id for r in diagnostics.by_assessment(seen, "review").collect()} == {1, 2, 3, 4}
+    n = diagnostics.diagnostic_counts(seen, diagnostics.missing_shapes(t["trips"], t["shapes"], t["stop_times"])).first()
+    assert (n.messages, n.source_errors, n.unknown_messages, n.source_review, n.missing_shapes, n.affected_trips) == (6, 1, 1, 5, 1, 1)
+    assert [(r.trip_id, r.pattern_ids, r.calls) for r in diagnostics.affected_trips(t, m, "57x0012").collect()] == [("t1", "12", 2)]
+    with pytest.raises(ValueError):
+        diagnostics.affected_trips(t, m, "zz")
+
+
 def test_profile(spark, baseline):
     t = baseline(stops=[("s1", "", "Q", "5", "-75", "", "zz", ""), ("", "x1", "", "5", "-75", "1", "", "9")])
     assert [(r.key, r.observed) for r in profile.missing_values(t["stops"], "stops", ["stop_code", "stop_name"], "stop_id", {"stop_code": ["s1"]}).collect()] == [("row 3", "stop_name")]

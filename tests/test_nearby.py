@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tramline.operators import nearby
 from tramline.operators.nearby import near_pairs, usable_points
 
 SCHEMA = "row_id bigint, stop_id string, stop_lat string, stop_lon string, id string, label int, lat int, lon int, task int"
@@ -19,8 +20,10 @@ def found(spark, points, limit=35.0, tasks=None):
     return sorted((r.a, r.b) for r in near_pairs(usable_points(df, "stop_lat", "stop_lon"), "row_id", "stop_id", limit, tasks).collect())
 
 
-@pytest.mark.parametrize("tasks", [1, 7])
-def test_against_brute_force(spark, tasks):
+@pytest.mark.parametrize("tasks, limit", [(1, None), (7, None), (3, 0)])
+def test_against_brute_force(spark, tasks, limit, monkeypatch):
+    if limit is not None:  # rows of full places too many to broadcast
+        monkeypatch.setattr(nearby, "BROADCAST_BYTES", limit)
     rng = random.Random(4)
     pts = []
     for i in range(900):
@@ -28,6 +31,7 @@ def test_against_brute_force(spark, tasks):
         la = max(-90.0, min(90.0, round(la + rng.uniform(-6e-4, 6e-4), 7)))
         lo = round((lo + rng.uniform(-6e-4, 6e-4) + 180) % 360 - 180, 7)
         pts.append((i, f"s{rng.randrange(300)}", la, lo))
+    pts += [(1000 + i, *rng.choice(pts[:40])[1:]) for i in range(60)]  # repeated rows
     want = sorted((a[0], b[0]) for n, a in enumerate(pts) for b in pts[n + 1 :] if a[1] != b[1] and metres(a, b) <= 35)
     assert found(spark, pts, tasks=tasks) == want and len(want) > 1000
 
@@ -44,3 +48,10 @@ def test_unusable_and_repeated(spark):
     got = sorted((r.a, r.b) for r in near_pairs(pts, "row_id", "stop_id", 35.0).collect())
     assert got == [(1, 2), (1, 10), (2, 3), (2, 10), (3, 10)]
     assert near_pairs(pts.where("false"), "row_id", "stop_id", 35.0).collect() == []
+
+
+def test_a_full_place(spark):
+    """100,000 rows of one stop at one place make no pairs among themselves, and one each with the other stop there."""
+    rows = spark.range(100_000).selectExpr("id", "'s' as k", "45.0D as _lat", "-75.0D as _lon").unionByName(spark.createDataFrame([(100_000, "t", 45.0001, -75.0), (100_001, "u", 46.0, -75.0)], "id bigint, k string, _lat double, _lon double"))
+    got = near_pairs(rows, "id", "k", 35.0, 4)
+    assert got.count() == 100_000 and got.where("b != 100000").count() == 0 and got.select("a").distinct().count() == 100_000

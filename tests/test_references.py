@@ -49,3 +49,21 @@ def test_nulls_and_empty_tables(spark, day):
     held = spark.createDataFrame([(None, None, "x", None, None, 0, 0)], PARENT)
     assert R.orphan_references(refs, R.parents(held, "trips", "trip_id")).collect() == []
     assert R.orphan_references(refs.where("false"), R.parents(held, "trips", "trip_id")).collect() == []
+
+
+def test_spans_of_any_length_and_number(spark, day):
+    """A parent without loaded_at that was withdrawn, and thousands of overlapping spans on one key."""
+    import datetime as dt
+
+    kids = spark.createDataFrame([(i, "a", "x", "y", day(i % 300, i % 24), "", "", "") for i in range(2000)] + [(9000, "a", "x", "z", None, "", "", "")], CHILD)
+    held = spark.createDataFrame([("a", None, "x", None, day(100), 0, 0), *[("a", "y", None, day(n % 250) + dt.timedelta(seconds=n), day(n % 250 + 2), 0, 0) for n in range(3000)], ("a", "z", None, day(1), day(2), 0, 0)], PARENT)
+    refs = R.references(kids, "t", {"trip_id": "trips", "stop_id": "stops"})
+    found = R.orphan_references(refs, R.parents(held, "trips", "trip_id").unionByName(R.parents(held, "stops", "stop_id"))).collect()
+    got = {(r.fld, r.row_id): r.reason for r in found}
+    assert len(got) == len(found)
+    for i in range(2000):
+        at = day(i % 300, i % 24)
+        assert got.get(("trip_id", i)) == (None if at < day(100) else "deleted")
+        live = any(day(b) + dt.timedelta(seconds=n) <= at < day(b + 2) for b in range(max(0, i % 300 - 3), min(250, i % 300 + 1)) for n in (b, b + 250 * 11))
+        assert (got.get(("stop_id", i)) is None) == live
+    assert got["trip_id", 9000] == "deleted" and got["stop_id", 9000] == "deleted"

@@ -61,3 +61,10 @@ def test_dates_and_tables(spark):
     good, bad = split_table(rows, ["start_date"])
     assert [r.row_id for r in good.collect()] == [2] and sorted(r.row_id for r in bad.collect()) == [1, 3, 4, 5]
     assert checked_table(rows.where("false"), ["start_date"]).collect() == []
+
+
+def test_repeated_names_lose_no_record(spark):
+    df = spark.createDataFrame([(1, "f", 1, "trip_id,stop_sequence,stop_sequence,", "", "", 0), (2, "f", 2, "t,1,2,x", "", "", 0), (3, "f", 3, "t,q,2,", "", "", 0)], SCHEMA)
+    rows = checked_lines(df)
+    assert {r.row_id: r.record for r in loaded_lines(rows).collect()} == {2: {"trip_id": "t", "stop_sequence": "1", "": "x"}}
+    assert {r.row_id: r.reason for r in rows.collect()} == {2: "", 3: "value"}

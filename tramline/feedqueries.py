@@ -214,13 +214,6 @@ def time_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 TECHNICAL_SQL = ALL.join(f"select {FIND} from ({q})" for q in (_enum_sql(ENUMS), DATE_SQL, COORD_SQL, COLOUR_SQL, BLANK_SQL, DUP_SQL, FK_SQL, UNUSED_SQL, PARENT_SQL, TIME_SQL, REGRESS_SQL))
-DECISION_SQL = f"""with e as (select feed, case when rule_id = 'REL010' then 'warning' else 'error' end s from ({TECHNICAL_SQL}))
-select feed, 0::bigint blockers, count(*) filter (s = 'error') errors, count(*) filter (s = 'warning') warnings, 0::bigint infos, 'NEEDS REVIEW' decision from e group by 1"""
-
-
-@query("severity_decision", DECISION_SQL)
-def severity_decision(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.decision(rules.technical(feeds(spark, d)))
 
 
 @query("top_rules", f"select rule_id, count(*) n from ({TECHNICAL_SQL}) group by 1 order by n desc, rule_id limit 6")
@@ -297,7 +290,7 @@ def crosswalk_unique(spark: SparkSession, d: str) -> DataFrame:
 PLAIN = lambda v: f"case when regexp_full_match({v}, '[+-]?[0-9]+(\\.[0-9]+)?') then {v}::double end"
 _STATE = lambda f: f"(select k, c.* from (select {x('stop_id')} k, arg_min(struct_pack(la := {x('stop_lat')}, lo := {x('stop_lon')}, ty := {KIND}, pa := {x('parent_station')}, wh := {x('wheelchair_boarding')}), row_id) c from stops where feed = '{f}' and {x('stop_id')} <> '' group by 1))"
 _HAV = lambda a, b: f"case when {' + '.join(PLAIN(f'{t}.{c}') for t in (a, b) for c in ('la', 'lo'))} is not null then 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({PLAIN(b + '.la')} - {PLAIN(a + '.la')}) / 2), 2) + cos(radians({PLAIN(a + '.la')})) * cos(radians({PLAIN(b + '.la')})) * pow(sin(radians({PLAIN(b + '.lo')} - {PLAIN(a + '.lo')}) / 2), 2)))) end"
-PAIR_SQL = f"""with w as ({WALK_SQL}) select w.source_id, w.target_id, round({_HAV('s', 't')}, 1) distance_m, s.ty <> t.ty type_differs, s.wh <> t.wh wheelchair_differs, coalesce(u.target_id, s.pa) <> t.pa parent_differs
+PAIR_SQL = f"""with w as ({WALK_SQL}) select w.source_id, w.target_id, round({_HAV('s', 't')}, 1) distance_m, s.ty <> t.ty type_differs, coalesce(nullif(s.wh, ''), '0') <> coalesce(nullif(t.wh, ''), '0') wheelchair_differs, coalesce(u.target_id, s.pa) <> t.pa parent_differs
 from w join {_STATE('cad')} s on s.k = w.source_id join {_STATE('hastus')} t on t.k = w.target_id left join w u on u.source_id = s.pa"""
 
 
@@ -311,7 +304,7 @@ def attribute_diff(spark: SparkSession, d: str) -> DataFrame:
 
 _STATE_N = lambda f: _STATE(f).replace("struct_pack(", f"struct_pack(nm := {x('stop_name')}, ")
 STP_SQL = f"""with w as ({WALK_SQL}), p as (select w.target_id || ' ↔ ' || w.source_id as key, s.nm <> '' and t.nm <> '' and {NAME('s.nm')} <> {NAME('t.nm')} names, {_HAV('s', 't')} dist,
-concat_ws(', ', case when s.ty <> t.ty then 'location_type' end, case when s.wh <> t.wh then 'wheelchair_boarding' end, case when coalesce(u.target_id, s.pa) <> t.pa then 'parent_station' end) diff
+concat_ws(', ', case when s.ty <> t.ty then 'location_type' end, case when coalesce(nullif(s.wh, ''), '0') <> coalesce(nullif(t.wh, ''), '0') then 'wheelchair_boarding' end, case when coalesce(u.target_id, s.pa) <> t.pa then 'parent_station' end) diff
 from w join {_STATE_N('cad')} s on s.k = w.source_id join {_STATE_N('hastus')} t on t.k = w.target_id left join w u on u.source_id = s.pa)
 select null::varchar feed, 'STP005' rule_id, 'stops' file, null::bigint as row, key, null::varchar observed from p where names
 union all select null, 'STP006', 'stops', null, key, format('{{:,.1f}}', dist) from p where dist > 35 union all select null, 'STP010', 'stops', null, key, diff from p where diff <> ''"""
@@ -385,7 +378,7 @@ def variation_pairs(spark: SparkSession, d: str) -> DataFrame:
     named = _named(spark, d).where("_feed in ('cad', 'hastus')")
     v = patterns.variations(named)
     example = named.select("_feed", F.col("trip_id").alias("example_trip"), "stops")
-    full = v.join(example, ["_feed", "example_trip"]).select("_feed", "route_name", "variation", "direction_id", "headsign", "stops", "trips")
+    full = v.join(example, ["_feed", "example_trip"]).select("_feed", "route_name", "variation", "direction_id", "headsigns", "stops", "trips")
     tagged = patterns.journeys(named).join(v.select("_feed", "route_name", "stop_print", "variation"), ["_feed", "route_name", "stop_print"])
     side = lambda f, n: tagged.where(F.col("_feed") == f).select(*patterns.JOURNEY, F.col("variation").alias(n)).distinct()
     links = side("cad", "left").join(side("hastus", "right"), patterns.JOURNEY).groupBy("route_name", "left", "right").agg(F.count("*").alias("n"))
@@ -444,7 +437,7 @@ q as (select a.t trip_id, b.t candidate, a.rn || '/' || substr(a.st::varchar, 1,
 
 @query("exact_tier_match", f"with {TIER_SQL} select trip_id, candidate, 'exact_pattern_and_departure' as method from q")
 def exact_tier_match(spark: SparkSession, d: str) -> DataFrame:
-    return matcher.match_sources(*_models(spark, d)).where(F.col("method") == matcher.METHODS[0])
+    return matcher.exact_matches(*_models(spark, d))
 
 
 @query("match_tiers")
@@ -583,12 +576,6 @@ def service_seconds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stop_times").select("row_id", scalars.seconds(strip("arrival_time")).alias("arrival_s"), scalars.seconds(strip("departure_time")).alias("departure_s"))
 
 
-@query("log_classify", """select row_id, case when regexp_matches(lower(trim(message)), '^(warning|avertissement)\\s*:') then 'Warning' when regexp_matches(lower(trim(message)), '^(error|erreur)\\s*:') then 'Error' else 'Unspecified' end source_severity,
-case when contains(lower(message), 'missing itinerary') then 'missing_itinerary' else 'unknown' end kind from error_warning""")
-def log_classify(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics.parsed_messages(table(spark, d, "error_warning")).select("row_id", "source_severity", "kind")
-
-
 MISSING_SHAPE_SQL = f"""with t as (select distinct coalesce(feed, '') f, {x('route_id')} r, {x('direction_id')} di, {x('shape_id')} s, {x('trip_id')} t from trips where {x('shape_id')} <> ''),
 l as (select * from t where not exists (select 1 from shapes h where coalesce(h.feed, '') = t.f and {x('h.shape_id')} = t.s)), c as (select coalesce(feed, '') f, {x('trip_id')} t, count(*) n from stop_times group by 1, 2)
 select l.f feed, r route_id, di direction_id, s shape_id, count(*) trips, coalesce(sum(n), 0)::bigint calls, count(*) filter (n is null) trips_without_calls from l left join c on c.f = l.f and c.t = l.t group by 1, 2, 3, 4"""
@@ -648,11 +635,6 @@ def profile_missing_values(spark: SparkSession, d: str) -> DataFrame:
     return found(profile.missing_values(feeds(spark, d)["trips"], "trips", ["trip_headsign", "direction_id", "shape_id", "bikes_allowed"], "trip_id"))
 
 
-@query("profile_formats", _f("AG07", "routes", f"{x('route_short_name')} <> '' and not regexp_full_match({x('route_short_name')}, '[0-9]+')", _LABEL.format(x("route_id"), x("route_id")), f"'route_short_name: ' || {x('route_short_name')}"))
-def profile_formats(spark: SparkSession, d: str) -> DataFrame:
-    return found(profile.formats(feeds(spark, d)["routes"], "routes", {"route_short_name": "digits"}, "route_id"))
-
-
 @query("profile_value_counts", f"select coalesce(feed, '') feed, {x('location_type')} as value, count(*) n from stops group by 1, 2")
 def profile_value_counts(spark: SparkSession, d: str) -> DataFrame:
     return profile.value_counts(feeds(spark, d)["stops"], "location_type")
@@ -674,11 +656,6 @@ def profile_sort_order(spark: SparkSession, d: str) -> DataFrame:
     return profile.sort_order(t.where("_feed = 'rail'"), t.where("_feed = 'final'"))
 
 
-@query("table_status", f"select feed, file, 'FAIL' status from ({TIME_SQL}) group by 1, 2")
-def table_status(spark: SparkSession, d: str) -> DataFrame:
-    return profile.status(rules.table_checks(feeds(spark, d)["stop_times"], "stop_times").where("rule_id like 'TIME%'"))
-
-
 _IDS = lambda f: f"(select {x('stop_id')} id, min({x('stop_name')}) nm from stops where feed = '{f}' and {x('stop_id')} <> '' group by 1)"
 
 

@@ -94,15 +94,24 @@ def duplicate_key_values(rows: DataFrame, table: str) -> DataFrame:
     return keyed(rows, table).where("not _blank").groupBy(F.col("_feed").alias("feed"), F.col("_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def unknown_references(rows: DataFrame, field: str, parent: DataFrame, parent_field: str, rule: str, table: str, key: Column, blank_ok: bool = False) -> DataFrame:
-    """Rows whose reference is no id of the parent table in the same feed. Distinct ids are anti-joined, then meet the rows."""
-    ref = strip(field)
-    named = rows.select("_feed", ref.alias("_ref")).distinct()
-    if blank_ok:
-        named = named.where("_ref != ''")
-    lost = named.join(parent.select("_feed", strip(parent_field).alias("_ref")).distinct(), ["_feed", "_ref"], "left_anti")
-    bad = rows.select("_feed", "_row", key.alias("_k"), ref.alias("_ref")).join(lost, ["_feed", "_ref"])
-    return as_findings(bad, *finding(rule, "error", "Relationships", table, F.col("_row"), F.col("_k"), F.col("_ref")))
+def unknown_references(rows: DataFrame, table: str, fields: list[tuple[str, DataFrame, str, str, Column, bool]]) -> DataFrame:
+    """Rows whose references are no ids of their parent tables in the same feed; fields: (field, parent, its id, rule, key, blank is fine).
+
+    The distinct ids of all fields are anti-joined in one pass, then meet the rows in another.
+    """
+    ref = lambda i, f: F.struct(F.lit(i).alias("_i"), strip(f).alias("_ref"))
+    named = rows.select("_feed", F.inline(F.array(*[ref(i, f) for i, (f, *_) in enumerate(fields)]))).distinct()
+    blank = [i for i, f in enumerate(fields) if f[5]]
+    if blank:
+        named = named.where((F.col("_ref") != "") | ~F.col("_i").isin(blank))
+    held = None
+    for i, (_, parent, ident, *_) in enumerate(fields):
+        part = parent.select("_feed", F.lit(i).alias("_i"), strip(ident).alias("_ref"))
+        held = part if held is None else held.unionByName(part)
+    lost = named.join(held.distinct(), ["_feed", "_i", "_ref"], "left_anti")
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), strip(f).alias("_ref"), key.alias("_k"), F.lit(rule).alias("_rule")) for i, (f, _, _, rule, key, _) in enumerate(fields)])
+    bad = rows.select("_feed", "_row", F.inline(each)).join(lost, ["_feed", "_i", "_ref"])
+    return bad.select(F.col("_feed").alias("feed"), F.col("_rule").alias("rule_id"), *finding("", "error", "Relationships", table, F.col("_row"), F.col("_k"), F.col("_ref"))[1:])
 
 
 def parent_checks(stops: DataFrame) -> DataFrame:
@@ -151,17 +160,14 @@ def time_regressions(stop_times: DataFrame) -> DataFrame:
 
 def reference_checks(t: dict[str, DataFrame]) -> DataFrame:
     """REL005 to REL009 over the tables that are there; service ids may come from either calendar."""
-    out = []
-    calls = t["stop_times"]
-    out.append(unknown_references(calls, "trip_id", t["trips"], "trip_id", "REL005", "stop_times", strip("trip_id")))
-    out.append(unknown_references(calls, "stop_id", t["stops"], "stop_id", "REL006", "stop_times", F.concat(strip("trip_id"), F.lit(":"), strip("stop_sequence"))))
-    out.append(unknown_references(t["trips"], "route_id", t["routes"], "route_id", "REL007", "trips", strip("trip_id")))
+    trip, call = strip("trip_id"), F.concat(strip("trip_id"), F.lit(":"), strip("stop_sequence"))
     services = [t[c].select("_feed", "service_id") for c in ("calendar", "calendar_dates") if c in t]
-    out.append(unknown_references(t["trips"], "service_id", services[0] if len(services) == 1 else services[0].unionByName(services[1]), "service_id", "REL008", "trips", strip("trip_id")))
+    fields = [("route_id", t["routes"], "route_id", "REL007", trip, False), ("service_id", services[0] if len(services) == 1 else services[0].unionByName(services[1]), "service_id", "REL008", trip, False)]
     if "shapes" in t and "shape_id" in t["trips"].columns:
         held = t["shapes"].where(whole(strip("shape_pt_sequence")).isNotNull())
-        out.append(unknown_references(t["trips"], "shape_id", held, "shape_id", "REL009", "trips", strip("trip_id"), blank_ok=True))
-    return union(out)
+        fields.append(("shape_id", held, "shape_id", "REL009", trip, True))
+    calls = unknown_references(t["stop_times"], "stop_times", [("trip_id", t["trips"], "trip_id", "REL005", trip, False), ("stop_id", t["stops"], "stop_id", "REL006", call, False)])
+    return calls.unionByName(unknown_references(t["trips"], "trips", fields))
 
 
 def technical(t: dict[str, DataFrame]) -> DataFrame:

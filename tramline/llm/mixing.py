@@ -140,12 +140,13 @@ def domain_memberships(documents: DataFrame, targets: list[str], most_labelled:
     return docs.where("source is null or source = ''").mapInPandas(judge, "doc_id bigint, p array<double>")
 
 
-def fit_rates(groups: DataFrame, targets: dict[str, tuple[float, int]], total: float, rounds: int = 60, close: float = 1e-7) -> list[np.ndarray]:
+def fit_rates(groups: DataFrame, targets: dict[str, tuple[float, int]], total: float, rounds: int = 60, close: float = 1e-5) -> list[np.ndarray]:
     """The history of residuals from which each document's rate follows (see rate_of), by projected gradient for least squares.
 
     groups: (p array<double>, cap, tokens): documents of equal membership may come as one row.  A step moves a rate by how far
     the document's domains fall short of `total` times their share, then clips it to 0..cap; each step is one pass over
-    groups, which returns one sum per domain.
+    groups, which returns one sum per domain.  It ends once every domain is within `close` of the total, which is far less
+    than whole copies can keep to, or steps no longer change.
     """
     names = list(targets)
     want = np.array([targets[n][0] for n in names]) * total

@@ -195,7 +195,8 @@ def build(
         raise ValueError("the window ends before it begins")
     before = {p: source.digest(p) for p in inputs}
     tables, warnings, matches = release.assembled(spark, base, other, rail, policy, first, last, order)
-    warnings = cut(warnings)
+    # Each table is worked out once, and then written and counted.
+    tables, warnings = {n: cut(df) for n, df in tables.items()}, cut(warnings)
     kinds = sorted(r.kind for r in warnings.select("kind").distinct().collect())
     if kinds and not allow_draft:
         raise ValueError(f"to be reviewed before a release is made: {', '.join(kinds)}")

@@ -134,6 +134,7 @@ def test_headsigns_count_by_likeness():
 def test_candidates_lose_no_like_pair(spark):
     rng = random.Random(12)
     seqs = [[rng.choice("abcdefghij") for _ in range(rng.randrange(0, 12))] for _ in range(60)]
+    seqs.append(["z"])  # so that a sequence and its like are on different sides
     seqs += [[*s[: len(s) // 2], "x", *s[len(s) // 2 :]] for s in seqs[:30]]
     side = lambda rows: spark.createDataFrame([("7", f"V{i}", s) for i, s in rows], "route_name string, variation string, stops array<string>")
     a, b = list(enumerate(seqs[::2])), list(enumerate(seqs[1::2]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ def validate(spark: SparkSession, path: str, feed: str = "feed", kind: str = "bu
 
     An archive that isn't there is RUN001; a part of the run that stops is RUN002 or INS999, and the other parts go on.
     """
-    if "://" not in path and not any(c in path for c in "*?[{") and not os.path.exists(path):
+    elsewhere = re.match("[a-z][a-z0-9+.-]+:/", path) or any(c in path for c in "*?[{")
+    if not elsewhere and not os.path.exists(path):
         return audits.told(spark, "RUN001", "blocker", "Run setup", path, "does not exist")
     rows = source.kept_records(spark, path, feed)
     parts = [source.package_findings(spark, source.members(spark, path, feed)), source.structure_findings(spark, rows)]

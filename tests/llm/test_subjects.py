@@ -50,6 +50,16 @@ def test_nulls_and_empty_tables(spark):
         assert document_subjects(d, l, s).collect() == []
 
 
+def test_partitions_without_any_subject(spark):
+    rng = random.Random(5)
+    rows, truth = corpus(rng, 200)
+    plain = [(1000 + i, "".join(sentence(rng, 0, None) for _ in range(9)), "", 0.0) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1).unionByName(spark.createDataFrame(plain, DOCS).repartition(2, "doc_id"))
+    labels = spark.createDataFrame([(d, s) for d, ss in truth.items() for s in ss], "doc_id bigint, subject string")
+    found = {r.doc_id for r in document_subjects(docs, labels, spark.createDataFrame([("law",), ("sport",)], "subject string")).collect()}
+    assert found and max(found) < 1000
+
+
 def test_languages_are_a_parameter(spark):
     rng = random.Random(3)
     words = {"law": ["gericht", "klausel", "richter"], "sport": ["spiel", "tor", "liga"]}

@@ -170,10 +170,8 @@ def document_subjects(
         terms, weight, sizes = given.value
         known = Words({w: i + 2 for i, w in enumerate(terms)})
 
-        def told(held: list[tuple]) -> pd.DataFrame | None:
-            """Rows of documents (doc_id, words, begins), whose sentences are weighed together."""
-            if not held:
-                return None
+        def told(held: list[tuple]) -> Iterator[pd.DataFrame]:
+            """Rows of documents (doc_id, words, begins), whose sentences are weighed together; no frame if none has a subject, as an empty one has no text column for Arrow."""
             word = np.concatenate([w for _, w, _ in held])
             n = np.array([len(b) for _, _, b in held])
             offset = np.cumsum([0, *[len(w) for _, w, _ in held[:-1]]])
@@ -183,7 +181,8 @@ def document_subjects(
             doc = np.repeat(np.arange(len(held)), n)
             count = np.bincount(doc * per + top, minlength=len(held) * per).reshape(-1, per)[:, : len(names)]
             d, j = np.nonzero((count >= share * n[:, None] - 1e-9) & (count > 0))
-            return pd.DataFrame({"doc_id": [held[i][0] for i in d], "subject": [names[i] for i in j], "part": count[d, j] / n[d]})
+            if len(d):
+                yield pd.DataFrame({"doc_id": [held[i][0] for i in d], "subject": [names[i] for i in j], "part": count[d, j] / n[d]})
 
         for b in batches:
             held, size = [], 0
@@ -194,10 +193,10 @@ def document_subjects(
                     held.append((doc_id, word, begin))
                     size += len(word)
                 if size > 50_000:
-                    yield told(held)
+                    yield from told(held)
                     held, size = [], 0
             if held:
-                yield told(held)
+                yield from told(held)
 
     return docs.mapInPandas(mix, "doc_id bigint, subject string, part double")
 

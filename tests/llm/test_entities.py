@@ -54,6 +54,18 @@ def test_pairs_and_decoys(spark, day):
     assert all(0.5 <= r.confidence <= 1 and r.gap <= 120 for r in rows)
 
 
+def test_candidates_do_not_grow_with_the_square_of_lines(spark):
+    rng = random.Random(4)
+    towns = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(80)]
+    row = lambda f, n, number, head, start: (f"{f}{n}", f"{f}line{number or n}", number, "R", "", "1111100", head, "0", start, 8)
+    sides = [[row(f, n, str(n), f"terminus {t}", 30000) for n, t in enumerate(towns)] for f in "lr"]
+    sides[0] += [row("l", 901, "700", "gare mavito", 40000), row("l", 902, "700", "quai", 50000), row("l", 903, "", "gare nopita", 60000)]
+    sides[1] += [row("r", 901, "800", "gare mavito", 40060), row("r", 902, "800", "quai nord", 50000), row("r", 903, "9", "nopita", 60000)]  # renumbered, and without a number
+    l, r = (spark.createDataFrame(x, "id string, line string, number string, letters string, long string, days string, head string, direction string, start int, calls long") for x in sides)
+    got = {(x.l, x.r) for x in candidate_pairs(l, r).collect()}
+    assert {(f"l{n}", f"r{n}") for n in [*range(80), 901, 902, 903]} == got
+
+
 def test_one_to_one_takes_the_best_in_rounds(spark):
     pairs = spark.createDataFrame([("a", "x", 0, 0.9), ("a", "y", 0, 0.8), ("b", "x", 0, 0.85), ("b", "y", 0, 0.4), ("c", "y", 5, 0.7), ("d", "y", 5, 0.7)], "l string, r string, gap int, confidence double")
     assert sorted((r.l, r.r) for r in one_to_one(pairs).collect()) == [("a", "x"), ("c", "y")]

@@ -66,19 +66,39 @@ def _least(tokens: Column, seed: int) -> Column:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, near: int = 120, orders: int = 4) -> DataFrame:
-    """Distinct (l, r) ids that share a block: equal days, starts at most `near` seconds apart, and equal MinHash of an attribute.
-
-    The attributes are the line's number, of one token, so its MinHash is the number itself, and the character grams of
-    the headsign and of the line's long name under `orders` orders each, which find partners whose line is spelled
-    another way.  The start's slot of `near` seconds is part of every key, with the right side's put in three slots: so
-    even a line that holds much of all trips falls apart into blocks of the few trips that leave together.
+    """Distinct (l, r) ids that share a block: equal days, starts at most `near` seconds apart, and a key by the lines' numbers.
+
+    Where both lines have a number the key is the number.  Where one has none it is the MinHash of the character grams of
+    the headsign or of the line's long name, under `orders` orders each, which finds partners that are spelled another way.
+    Lines with two different numbers are compared by the same MinHashes, but only lines of which some trips meet under one
+    headsign or long name, as their number grows with the square of the trips else.  The start's slot of `near` seconds is
+    part of every key, with the right side's put in three slots: so even a line that holds much of all trips falls apart
+    into blocks of the few trips that leave together.
     """
-    slot = F.floor(F.col("start") / near)
-    keys = [F.when(F.col("number") != "", F.xxhash64(F.lit("number"), "number"))]
-    keys += [F.xxhash64(F.lit(f"{c}{k}"), _least(grams(F.col(c)), k)) for c in ("head", "long") for k in range(orders)]
-    keyed = lambda df: df.where("start is not null and days != ''").select("id", "days", "start", slot.alias("slot"), F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(c) != "", k) if c else k for c, k in zip(["", *["head"] * orders, *["long"] * orders], keys)])))).alias("key"))
-    l, r = keyed(left).withColumnsRenamed({"id": "l", "start": "ls"}), keyed(right).withColumnsRenamed({"id": "r", "start": "rs"}).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    return l.join(r, ["key", "days", "slot"]).where(F.abs(F.col("ls") - F.col("rs")) <= near).select("l", "r").distinct()
+    hashed = lambda c, kind, of: F.when(F.col(c) != "", F.xxhash64(F.lit(kind), of))
+    least = F.array_distinct(F.array_compact(F.array(*[hashed(c, f"{c}{k}", _least(grams(F.col(c)), k)) for c in ("head", "long") for k in range(orders)])))
+    whole = F.array_compact(F.array(*[hashed(c, c, F.col(c)) for c in ("head", "long")]))
+    slot, number = F.floor(F.col("start") / near), F.array_compact(F.array(hashed("number", "number", F.col("number"))))
+    known = lambda df: df.where("start is not null and days != ''")
+    none, some = F.col("number") == "", F.col("number") != ""
+
+    def side(df: DataFrame, to: str, keys: Column, slots: Column) -> DataFrame:
+        return known(df).select(F.col("id").alias(to), F.col("line").alias(f"{to}_line"), F.col("number").alias(f"{to}_number"), F.col("start").alias(f"{to}_start"), "days", keys.alias("key"), slots.alias("slot"))
+
+    def met(l: DataFrame, r: DataFrame, lk: Column, rk: Column) -> DataFrame:
+        """Pairs of rows that share a key and leave at most `near` seconds apart."""
+        l, r = side(l, "l", lk, slot).withColumn("key", F.explode("key")), side(r, "r", rk, F.array(slot - 1, slot, slot + 1)).withColumn("key", F.explode("key")).withColumn("slot", F.explode("slot"))
+        return l.join(r, ["key", "days", "slot"]).where(close)
+
+    close = F.abs(F.col("l_start") - F.col("r_start")) <= near
+    pairs = met(left.where(some), right.where(some), number, number).select("l", "r")
+    for l, r in ((left.where(none), right), (left.where(some), right.where(none))):
+        if not l.isEmpty() and not r.isEmpty():
+            pairs = pairs.unionByName(met(l, r, least, least).select("l", "r"))
+    lines = met(left.where(some), right.where(some), whole, whole).where("l_number != r_number").select("l_line", "r_line").distinct()
+    l, r = side(left.where(some), "l", least, slot), side(right.where(some), "r", least, F.explode(F.array(slot - 1, slot, slot + 1))).withColumnRenamed("key", "r_key")
+    renamed = l.join(lines, "l_line").join(r, ["r_line", "days", "slot"]).where(close & F.arrays_overlap("key", "r_key"))
+    return pairs.unionByName(renamed.select("l", "r")).distinct()
 
 
 def _overlap(a: Column, b: Column) -> Column:
